@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.llm.byte_bpe import encode_documents
 from fleetscope.llm.common import documents
 from fleetscope.llm.exact_dedup import drop_exact_duplicates
 from fleetscope.llm.quality_rules import quality_verdicts
+from fleetscope.llm.source_mix import mix_sources
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,7 +29,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("exact dedup", exact_dedup)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it; an id that repeats gets its largest number of copies."""
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and whether these decode to the text."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("exact dedup", exact_dedup),
+    ("source mix", source_mix),
+    ("byte-level BPE", byte_bpe),
+]
 
 ORACLE_SQL: str | None = None
 

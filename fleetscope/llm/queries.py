@@ -4,11 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetscope.llm import pii_spans, secret_scan
+from fleetscope.llm.byte_bpe import encode_documents
 from fleetscope.llm.common import documents
 from fleetscope.llm.exact_dedup import exact_duplicates
 from fleetscope.llm.quality_rules import quality_verdicts
+from fleetscope.llm.source_mix import mix_sources
+from fleetscope.llm.token_counts import count_tokens
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).drop("copies")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(rank).alias(f"n_{kind.name}") for rank, kind in enumerate(secret_scan.KINDS) if kind.base],
+        F.sha2(secret_scan.text_of(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.text_of(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_example",
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans.find_personal_data(documents(spark, sf_dir))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(rank).alias(f"n_{name}") for rank, name in enumerate(pii_spans.BASE)],
+        F.sha2(pii_spans.text_of(F.col("base")), 256).alias("base_sha256"),
+        pii_spans.text_of(F.col("spans")).alias("spans"),
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +69,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
+    "op6_pii_spans": op6_pii_spans,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
