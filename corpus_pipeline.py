@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetscope.llm.byte_bpe import encode_documents
 from fleetscope.llm.common import documents
 from fleetscope.llm.exact_dedup import drop_exact_duplicates
+from fleetscope.llm.ngram_join import one_of_each_component
 from fleetscope.llm.quality_rules import quality_verdicts
 from fleetscope.llm.source_mix import mix_sources
 
@@ -29,6 +30,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingle links connect."""
+    return one_of_each_component(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; an id that repeats gets its largest number of copies."""
     copies = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
@@ -47,6 +53,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
     ("source mix", source_mix),
     ("byte-level BPE", byte_bpe),
 ]

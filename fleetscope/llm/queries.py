@@ -12,6 +12,7 @@ from fleetscope.llm import pii_spans, secret_scan
 from fleetscope.llm.byte_bpe import encode_documents
 from fleetscope.llm.common import documents
 from fleetscope.llm.exact_dedup import exact_duplicates
+from fleetscope.llm.ngram_join import jaccard_components
 from fleetscope.llm.quality_rules import quality_verdicts
 from fleetscope.llm.source_mix import mix_sources
 from fleetscope.llm.token_counts import count_tokens
@@ -68,6 +69,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_spans": op6_pii_spans,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
