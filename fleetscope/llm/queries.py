@@ -15,6 +15,7 @@ from fleetscope.llm.exact_dedup import exact_duplicates
 from fleetscope.llm.ngram_join import jaccard_components
 from fleetscope.llm.quality_rules import quality_verdicts
 from fleetscope.llm.source_mix import mix_sources
+from fleetscope.llm.substring_dedup import remove_duplicate_passages
 from fleetscope.llm.token_counts import count_tokens
 
 
@@ -50,6 +51,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_duplicate_passages(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans.find_personal_data(documents(spark, sf_dir))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_pii_spans": op6_pii_spans,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
