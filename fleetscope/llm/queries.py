@@ -12,6 +12,7 @@ from fleetscope.llm import pii_spans, secret_scan
 from fleetscope.llm.byte_bpe import encode_documents
 from fleetscope.llm.common import documents
 from fleetscope.llm.exact_dedup import exact_duplicates
+from fleetscope.llm.lm_scoring import score_documents
 from fleetscope.llm.ngram_join import jaccard_components
 from fleetscope.llm.quality_rules import quality_verdicts
 from fleetscope.llm.source_mix import mix_sources
@@ -71,6 +72,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii_spans": op6_pii_spans,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
 }
