@@ -30,7 +30,7 @@ EMBEDDED = """
                list_sum(list_transform(range(1, 9), lambda k: pow(v[n.node * 8 + k] - pv[n.node * 8 + k], 2))) AS g
         FROM em JOIN pr USING (client), (SELECT unnest(range(8)) AS node) n
     ), near AS (
-        SELECT vec_id, client, label, m, sum(g) AS d_proto FROM gaps GROUP BY ALL
+        SELECT vec_id, client, label, m, sum(g) AS d_proto FROM gaps GROUP BY vec_id, client, label, m
         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sum(g), m) = 1
     ), dn AS (
         SELECT near.vec_id, near.client, near.label, near.m, near.d_proto, gaps.node, gaps.g
