@@ -31,15 +31,16 @@ def detection_metrics(df: DataFrame, by: Sequence[str], score: str, truth: Colum
         .withColumn("P", F.sum("pos").over(whole))
         .withColumn("N", F.sum("neg").over(whole))
     )
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("P")
-    f1 = F.coalesce(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P")), F.lit(0.0))
+    precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    recall = F.try_divide(F.col("tp"), F.col("P"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")), F.lit(0.0))
     below = F.col("N") - F.col("fp")
     both = (F.max("P") > 0) & (F.max("N") > 0)
     best = F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("minus"), precision.alias("p"), recall.alias("r")))
     out = curve.groupBy(*by).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),
         F.when(both, F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / (F.max("P") * F.max("N"))).alias("auroc"),
-        F.when(both, F.sum(F.col("pos") / F.col("P") * precision)).alias("auprc"),
+        F.when(both, F.sum(F.try_divide(F.col("pos"), F.col("P")) * precision)).alias("auprc"),
         F.when(both, best).alias("__best"),
     )
     return out.select(

@@ -236,7 +236,7 @@ def agg03(spark, sf_dir):
 NODE_Z = f"""
     {EMBEDDED}, cal AS (SELECT *, vec_id % 3 = 0 AS calib FROM dn), ns AS (
         SELECT client, node, quantile_cont(g, 0.5) AS med, quantile_cont(g, 0.75) - quantile_cont(g, 0.25) AS iqr FROM cal WHERE calib GROUP BY ALL
-    ), nz AS (SELECT cal.*, (g - med) / greatest(iqr, 1e-8) AS z FROM cal JOIN ns USING (client, node)),
+    ), nz AS (SELECT cal.*, iqr, (g - med) / greatest(iqr, 1e-8) AS z FROM cal JOIN ns USING (client, node)),
     tk AS (SELECT vec_id, client, calib, avg(z) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC) AS r FROM nz) WHERE r <= 3 GROUP BY ALL),
     s2 AS (SELECT client, quantile_cont(score, 0.5) AS med, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM tk WHERE calib GROUP BY ALL)"""
