@@ -207,6 +207,6 @@ def capacity_clusters(prototypes: DataFrame, k: int, rounds: int = 10) -> DataFr
                 label[label == c] = -1
         return pd.DataFrame({"gid": part["gid"], "cluster": label.astype("int64")})
 
-    return wide.groupBy(F.lit(0)).applyInPandas(run, "gid long, cluster long")
+    return wide.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "gid long, cluster long")
 
 
