@@ -108,4 +108,90 @@ ORACLES: dict[str, str] = {
                sha256(n.content) AS text_sha256
         FROM n JOIN g USING (content)
     """,
+    "op5_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), p AS (
+            SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM w WHERE len(ws) >= 35
+        ), k AS (
+            SELECT doc_id, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM p
+        ), d AS (
+            SELECT doc_id, s FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM d
+        ), t AS (
+            SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+        ), l AS (
+            SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept, count(*) AS n_kept
+            FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i WHERE c.i IS NULL GROUP BY t.doc_id
+        )
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN l USING (doc_id)
+    """,
+    "op9_quality_rules": r"""
+        WITH w AS (
+            SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), k AS (
+            SELECT doc_id, s, array_to_string(ws[s:s + 7], ' ') AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS s FROM w WHERE len(ws) >= 8)
+        ), r AS (
+            SELECT doc_id, count(DISTINCT i) AS n FROM (
+                SELECT doc_id, unnest(range(s, s + 8)) AS i FROM k JOIN (
+                    SELECT doc_id, h FROM k GROUP BY doc_id, h HAVING count(*) > 1) USING (doc_id, h)) GROUP BY doc_id
+        ), f AS (
+            SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN r USING (doc_id)
+        ), b AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+        ), x AS (
+            SELECT doc_id, lang, base_failed, unnest([
+                {'rule': 'symbols', 'v': n_symbols / greatest(word_chars, 1), 'cuts': [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]::DOUBLE[]},
+                {'rule': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1), 'cuts': [0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]},
+                {'rule': 'repeats', 'v': n_repeat_words / greatest(n_words, 1), 'cuts': [0.05, 0.1, 0.15, 0.2, 0.25, 0.3]::DOUBLE[]},
+                {'rule': 'long_words', 'v': word_chars / greatest(n_words, 1), 'cuts': [7, 8, 10, 12, 16, 24, 40]::DOUBLE[]}], recursive := true)
+            FROM b
+        ), good AS (
+            SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) > 0
+        ), g AS (
+            SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (v > cut) AS k
+            FROM (SELECT lang, rule, v, unnest(cuts) AS cut FROM x JOIN good USING (doc_id) WHERE NOT base_failed) GROUP BY ALL
+        ), tested AS (
+            SELECT lang, rule, cut, k <= n * 0.0025 AND list_sum(list_transform(range(0, k + 1), lambda j:
+                       exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0025) + (n - j) * ln(1 - 0.0025))))
+                       <= 0.05 / (27 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM g)) AS passes
+            FROM g
+        ), cutoff AS (
+            SELECT lang, rule, min(cut) AS cut FROM tested WHERE passes GROUP BY ALL
+        ), bad AS (
+            SELECT DISTINCT doc_id FROM x JOIN cutoff c ON c.rule = x.rule AND c.lang IS NOT DISTINCT FROM x.lang WHERE v > c.cut
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
+        FROM b
+    """,
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), l AS (
+            SELECT p.a, p.b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL) p
+            JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other
+        ), c AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+    """,
 }
