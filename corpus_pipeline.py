@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm.byte_bpe import encode_documents
-from fleetscope.llm.common import documents
+from fleetscope.llm.common import documents, materialize
 from fleetscope.llm.exact_dedup import drop_exact_duplicates
 from fleetscope.llm.ngram_join import one_of_each_component
 from fleetscope.llm.quality_rules import quality_verdicts
@@ -62,7 +62,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written and read again before the next."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
