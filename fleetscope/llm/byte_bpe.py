@@ -19,8 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-LEAF = 8
-CACHED = 300_000
+LEAF = 16
+CACHED = 600_000
+NEVER = 1 << 62
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -40,6 +41,28 @@ class TreeBPE:
 
     def merged(self, data: bytes) -> list[int]:
         """Merge the leftmost pair of lowest rank until no pair is a token."""
+        return self._merged_by_scan(data) if len(data) <= 2 * LEAF else self._merged_by_queue(data)
+
+    def _merged_by_scan(self, data: bytes) -> list[int]:
+        """For a few bytes: look at all pairs for each merge."""
+        rank = self.ranks.get
+        part = [data[i : i + 1] for i in range(len(data))]
+        pair = [rank(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pair:
+            lowest = min(pair)
+            if lowest == NEVER:
+                break
+            i = pair.index(lowest)
+            part[i] += part.pop(i + 1)
+            del pair[i]
+            if i < len(pair):
+                pair[i] = rank(part[i] + part[i + 1], NEVER)
+            if i:
+                pair[i - 1] = rank(part[i - 1] + part[i], NEVER)
+        return [self.ranks[p] for p in part]
+
+    def _merged_by_queue(self, data: bytes) -> list[int]:
+        """For many bytes: a heap of candidate pairs over a linked list of parts."""
         ranks, n = self.ranks, len(data)
         part = [data[i : i + 1] for i in range(n)]
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
