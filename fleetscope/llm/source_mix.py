@@ -156,7 +156,7 @@ def mix_sources(
     blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK), F.lit(1))
     rows = rows.withColumn("block", F.pmod(F.col("mixed"), blocks)).drop("n_docs")
     chosen = (F.col("size") > 0) & (F.col("p") > EDGE)
-    fixed = rows.where(~chosen).withColumn("p", F.when(F.col("size") > 0, 0.0).otherwise(F.greatest(1 - F.col("whole"), F.lit(0)).cast("double")))
+    fixed = rows.where(~chosen).withColumn("p", F.lit(0.0))
     largest = named.agg(F.max("n_docs")).first()[0] or 0
     levels = 1 + max(0, math.ceil(math.log(max(1.0, largest / BLOCK), FAN_IN)))
     done, open_rows = [fixed], rows.where(chosen)
@@ -169,7 +169,7 @@ def mix_sources(
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    copies = (F.col("whole") + F.round("p")).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p")).otherwise(1).cast("int")
     return out.select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
         (F.col("size") * copies).cast("long").alias("taken"),
