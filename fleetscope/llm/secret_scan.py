@@ -145,14 +145,16 @@ def scan_secrets(
 ) -> DataFrame:
     """Per row: ``spans`` (array of start, rank, end, value), ``n_live`` and ``n_example``.
 
-    Base spans always stay.  A loose candidate becomes a span if exactly one
+    The repository is the owner and, where there is one, the language, unless
+    ``repository`` gives another.  Base spans always stay.  A loose candidate becomes a span if exactly one
     owner has its value and it overlaps no base span.  ``n_live`` counts spans
     whose value one owner has, ``n_example`` those that ``example_owners`` or
     more have.  A null text is empty; null owners and repositories are values
     of their own.  The same id on several rows is one document: such rows share
     the union of their verdicts.  An empty table gives an empty result.
     """
-    place = F.concat_ws("/", F.col(owner_col).cast("string"), F.col("lang").cast("string")) if repository is None else repository
+    parts = [F.col(c).cast("string") for c in (owner_col, "lang") if c in df.columns]
+    place = F.concat_ws("/", *parts) if repository is None else repository
     found = materialize(find_candidates(df, id_col, text_col, owner_col, place), "secret-candidates")
     hits = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select(
         "doc_id",
