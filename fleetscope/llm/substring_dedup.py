@@ -24,8 +24,6 @@ from fleetscope.llm.word_hashes import M1, chunks, hashed_words, mixed, runs
 
 WINDOW = 35
 ANCHOR = 8
-#: Ranges of documents that are broadcast at most (about 50 bytes each); more are joined by shuffle.
-MOST_RANGES = 400_000
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -128,11 +126,9 @@ def windows_in(rows: DataFrame) -> DataFrame:
 
 
 def _with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """Rows with the ranges of their key, broadcast only if these are few."""
+    """Rows with the ranges of their key."""
     per_key = ranges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("ranges"))
-    per_key = materialize(per_key, "ranges")
-    small = (per_key.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= MOST_RANGES
-    return rows.join(F.broadcast(per_key) if small else per_key, "key", how)
+    return rows.join(materialize(per_key, "ranges"), "key", how)
 
 
 def duplicate_windows(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from corpus import SCHEMA, awkward_texts, rows
 
-from fleetscope.llm import substring_dedup
 from fleetscope.llm.substring_dedup import WINDOW, remove_duplicate_passages, sliding_argmin
 
 
@@ -35,12 +34,13 @@ def passages(seed, n=150):
     return texts + ["same " * 80, "x y " * 30, "q r s " * 12, texts[3], texts[3]]
 
 
-@pytest.mark.parametrize("seed,most", [(1, 400_000), (2, 0)])
-def test_matches_brute_force(spark, monkeypatch, seed, most):
-    monkeypatch.setattr(substring_dedup, "MOST_RANGES", most)
+@pytest.mark.parametrize("seed,broadcast", [(1, "10m"), (2, "-1")])
+def test_matches_brute_force(spark, seed, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     data = rows(passages(seed) + awkward_texts())
     got = remove_duplicate_passages(spark.createDataFrame(data, SCHEMA)).collect()
     assert len(got) == len(data)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute({r[0]: r[1] for r in data})
 
 
