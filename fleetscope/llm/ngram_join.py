@@ -172,9 +172,10 @@ class _Join:
             .distinct()
         )
         groups = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        inside = groups.select(F.col("gid").alias("item"), "gid")  # a group's own nodes meet as well
-        met = shared.unionByName(inside)
-        self.shared = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "node", "n"), "shared")
+        # A group's own nodes meet as well; they share the whole prefix, not one element.
+        inside = groups.select(F.col("gid").alias("item"), "gid", F.lit(True).alias("own"))
+        met = shared.withColumn("own", F.lit(False)).unionByName(inside)
+        self.shared = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "own", "node", "n"), "shared")
         self.docs, self.nodes = docs, nodes
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -188,7 +189,7 @@ class _Join:
         else:
             rows = rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_items = rows.groupBy("item").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("item")
-        return rows.join(open_items, "item").select("item", "node", "n", "label")
+        return rows.join(open_items, "item").select("item", "own", "node", "n", "label")
 
     def _pairs(self, rows: DataFrame, chosen: DataFrame, exact: bool) -> DataFrame:
         """Pairs of a chosen node and another of the same element, with bounds applied."""
@@ -197,6 +198,7 @@ class _Join:
         first = F.col("node") < F.col("x")
         pairs = met.select(
             "item",
+            "own",
             F.least("node", "x").alias("a"),
             F.greatest("node", "x").alias("b"),
             F.when(first, F.col("n")).otherwise(F.col("nx")).alias("na"),
@@ -204,9 +206,9 @@ class _Join:
         )
         # In the last round a pair may come twice from an element, once from either side.
         common = F.countDistinct("item") if exact else F.count(F.lit(1))
-        counted = pairs.groupBy("a", "b", "na", "nb").agg(common.alias("common"))
+        counted = pairs.groupBy("a", "b", "na", "nb").agg(common.alias("common"), F.bool_or("own").alias("own"))
         outside = F.greatest(_outside(F.col("na")), _outside(F.col("nb")))
-        fit = counted.where(F.col("common") + outside >= _needed(F.col("na"), F.col("nb")))
+        fit = counted.where(F.col("own") | (F.col("common") + outside >= _needed(F.col("na"), F.col("nb"))))
         if self.tried is not None:
             fit = fit.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")
         return materialize(fit.select("a", "b", "na", "nb"), "pairs")

@@ -62,6 +62,22 @@ def test_components_match_brute_force(spark, monkeypatch, seed, step):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute({r[0]: r[1] for r in data})
 
 
+def test_isolated_pairs_with_equal_prefixes_link(spark):
+    """Pairs that differ behind the prefix only: in the last word, or in the first (one shingle of each set)."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(104)]
+        changed = [*words[:-1], word()] if i % 2 else [word(), *words[1:]]
+        texts += [" ".join(words), " ".join(changed)]
+    data = rows(texts)
+    got = jaccard_components(spark.createDataFrame(data, SCHEMA)).collect()
+    want = brute({r[0]: r[1] for r in data})
+    assert all(want[i + 1][1] == i for i in range(0, len(texts), 2))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_few_leaders_and_shuffled_ids_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEADERS", (1,))
     monkeypatch.setattr(ngram_join, "MOST_IDS", 0)
