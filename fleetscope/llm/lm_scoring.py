@@ -1,16 +1,21 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Every frequent word (and the start of a text) is a context with a restaurant of
+Every word seen (and the start of a text) is a context with a restaurant of
 its own; all contexts share the root restaurant as parent, whose base measure is
 uniform over the known tokens and one unknown.  Customers are token occurrences,
 a context's tables are customers of the root.  Gibbs moves take a customer from
 its table and seat it again; predictive terms are averaged over the sweeps
 after the burn-in.
 
-The restaurants are split by word: a task holds a bucket of words with their
+The restaurants of frequent contexts and the root are split by word: a task holds a bucket of words with their
 tables in all contexts and in the root, so a move only needs bucket state and
-the tables per context, estimated from the bucket's share of words.  Scoring
-sends, per chunk of texts, each distinct word with its places to the model's
+the tables per context, estimated from the bucket's share of words.  The other
+contexts are split by context, each whole in one task; their tables are fixed
+before the root is seated.
+
+A token's score is the back-off of its context and the root term of the word;
+if the pair was seen, a correction is added.  So scoring joins a word's terms by
+word and the corrections by (word, context).  For the first it sends, per chunk of texts, each distinct word with its places to the model's
 partition of that word, and adds the chunk's terms up afterwards.
 """
 
@@ -31,13 +36,17 @@ from fleetscope.llm.word_hashes import chunks, hashed_words
 
 #: Hashes of the end of a text (a token) and of its start (a context only).
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: A context word has at least this share of all training tokens, so there are at most 512 of them.
+#: A frequent context word has at least this share of all training tokens, so there are at most 512 of them.
 CONTEXT_SHARE = 1 / 512
 STRENGTH = 1.0
 BURN_IN, SAMPLES, MOVES = 2, 3, 3
 #: Words in a bucket of the sampler, and texts in a chunk of the scorer.
 BUCKET_WORDS = 150_000
 CHUNK_TEXTS = 4096
+#: Pairs in a bucket of the sampler of the contexts that are not frequent.
+BUCKET_PAIRS = 1_000_000
+#: Seatings that are proposed after the first.
+PROPOSALS = 3
 #: Texts whose partial sums a scoring task holds at most before it passes them on.
 HELD_TEXTS = 2_000_000
 
@@ -78,24 +87,94 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """``w, u, c``: counts of tokens after the context with place ``u`` in ``contexts``, a row for each pair."""
+    """``w, u, v, c``: counts of tokens after the context with place ``u`` in ``contexts``, or else (-1) after the word ``v``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, places = [], []
             for a, b in chunks(batch.column(0)):
                 tokens, _, before = tokens_of(batch.column(0).slice(a, b - a))
                 place = places_in(contexts, before)
-                words.append(tokens[place >= 0])
-                places.append(place[place >= 0])
-            if words:
-                (w, u), c = _summed(np.concatenate(words), np.concatenate(places))
+                (w, u, v), c = _summed(tokens, place, np.where(place < 0, before, np.uint64(0)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.view(np.int64)), pa.array(u.astype(np.int32)), pa.array(c)], names=["w", "u", "c"]
+                    [pa.array(w.view(np.int64)), pa.array(u.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(c)],
+                    names=["w", "u", "v", "c"],
                 )
 
-    part = rows.select("text").mapInArrow(run, "w long, u int, c long")
-    return part.groupBy("w", "u").agg(F.sum("c").alias("c"))
+    part = rows.select("text").mapInArrow(run, "w long, u int, v long, c long")
+    return part.groupBy("w", "u", "v").agg(F.sum("c").alias("c"))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after a shift by eight."""
+    shift = np.zeros_like(x)
+    for k in range(8):
+        shift += np.log(x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def _one_by_one(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator):
+    """Tables after all customers of each pair sat down in turn, and the log of the product of the normalisers.
+
+    The gap to the next new table is geometric with a beta-distributed chance,
+    so the cost follows tables and not customers.
+    """
+    t, n, z = np.minimum(customers, 1), np.minimum(customers, 1), np.zeros(len(customers))
+    k = np.flatnonzero(customers > 1)
+    while len(k):
+        left, mass = customers[k] - n[k], n[k] - discount * t[k]
+        chance = np.clip(rng.beta(weight[k], mass), 1e-15, 1 - 1e-15)
+        gap = 1 + np.floor(np.log(1 - rng.random(len(k))) / np.log1p(-chance))
+        step = np.minimum(gap, left).astype(np.int64)
+        z[k] += _log_gamma(weight[k] + mass + step) - _log_gamma(weight[k] + mass)
+        t[k] += gap <= left
+        n[k] += step
+        k = k[n[k] < customers[k]]
+    return t, z
+
+
+def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each pair, all customers seated anew, by their law for a constant weight of a new table.
+
+    Seating in turn is the proposal; the product of its normalisers corrects it
+    (independence Metropolis-Hastings).
+    """
+    t, z = _one_by_one(customers, weight, discount, rng)
+    for _ in range(PROPOSALS):
+        other, y = _one_by_one(customers, weight, discount, rng)
+        take = np.log(1 - rng.random(len(z))) < y - z
+        t, z = np.where(take, other, t), np.where(take, y, z)
+    return t
+
+
+def rare_contexts(pairs: DataFrame, counts: DataFrame, n_tokens: int, discount: float, seed: int) -> DataFrame:
+    """``w, v, t, a, b`` for pairs ``w, v, c``: tables at the end, averaged term of the pair and back-off of the context.
+
+    A context is whole in its bucket, so its tables are exact sums.  The root's
+    probability of a word is its share of tokens here; single customers need none.
+    """
+    share = counts.select("w", (F.col("c") / max(n_tokens, 1)).alias("p"))
+    several = pairs.where("c > 1").select("w", "v", "c").join(share, "w")
+    rows = several.unionByName(pairs.where("c = 1").select("w", "v", "c", F.lit(1.0).alias("p")))
+    buckets = max(1, -(-pairs.count() // BUCKET_PAIRS))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, 1, int(part["bucket"].iloc[0])])
+        c, p = part["c"].to_numpy().astype(np.int64), part["p"].to_numpy()
+        _, at = np.unique(part["v"].to_numpy(), return_inverse=True)
+        total, t = np.bincount(at, c), np.ones(len(c), np.int64)
+        many = np.flatnonzero(c > 1)
+        a, b = np.zeros(len(c)), np.zeros(len(total))
+        for sweep in range(BURN_IN + SAMPLES):
+            weight = (STRENGTH + discount * np.bincount(at, t)[at[many]]) * p[many]
+            t[many] = seated(c[many], weight, discount, rng)
+            if sweep >= BURN_IN:
+                a += (c - discount * t) / (STRENGTH + total[at]) / SAMPLES
+                b += (STRENGTH + discount * np.bincount(at, t)) / (STRENGTH + total) / SAMPLES
+        return pd.DataFrame({"w": part["w"], "v": part["v"], "t": t, "a": a, "b": b[at]})
+
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    return keyed.groupBy("bucket").applyInPandas(run, "w long, v long, t long, a double, b double")
 
 
 def places_in(contexts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -175,18 +254,19 @@ def expected_tables(customers: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def sample_bucket(w, u, c, context_totals, n_tokens, n_known, share, discount, seed):
     """Averages for one bucket of words.
 
-    ``u < 0`` rows are a word's whole count, the others its count in a context.
+    Rows with ``u`` -1 are a word's whole count, with -2 its tables in contexts
+    that are not frequent, the others its count in a frequent context.
     ``share`` is the bucket's part of all words.  Returns the words, their counts
     and root terms, per (word, context) the context term, and the averaged sums
     over the bucket of tables by context, root customers and root tables.
     """
     rng = np.random.default_rng(seed)
     words, wi = np.unique(w, return_inverse=True)
-    whole = u < 0
+    whole, inside = u == -1, u >= 0
     total = np.bincount(wi[whole], c[whole], len(words)).astype(np.int64)
-    (tw, tu), place = _distinct_pairs(wi[~whole], u[~whole])
-    tc = np.bincount(place, c[~whole], len(tw)).astype(np.int64)
-    direct = total - np.bincount(tw, tc, len(words)).astype(np.int64)
+    (tw, tu), place = _distinct_pairs(wi[inside], u[inside])
+    tc = np.bincount(place, c[inside], len(tw)).astype(np.int64)
+    direct = np.bincount(wi[u == -2], c[u == -2], len(words)).astype(np.int64)
     n_contexts = len(context_totals)
     base = 1.0 / (n_known + 1)
 
@@ -250,9 +330,10 @@ MODEL = "w long, c long, x double, contexts binary, terms binary, sums binary"
 
 
 class PitmanYor:
-    """A fitted model: the table of words and the totals, all of which are of bounded size."""
+    """A fitted model: the tables of words and of pairs, and the totals, all of which are of bounded size."""
 
-    def __init__(self, words, contexts, context_totals, n_tokens, n_known, discount, sums):
+    def __init__(self, words, contexts, context_totals, n_tokens, n_known, discount, sums, pairs):
+        self.pairs = pairs
         self.words, self.contexts, self.n_tokens, self.n_known, self.discount = words, contexts, n_tokens, n_known, discount
         n = len(contexts)
         self.backoff = (STRENGTH + discount * sums[:n]) / (STRENGTH + context_totals)
@@ -277,7 +358,13 @@ def fit(rows: DataFrame, seed: int = 0) -> PitmanYor:
     contexts, totals = hashes[order], totals[order]
 
     buckets = max(1, -(-n_known // BUCKET_WORDS))
-    everything = counts.select("w", F.lit(-1).alias("u"), "c").unionByName(pair_counts(rows, contexts))
+    pairs = materialize(pair_counts(rows, contexts), "lm-pairs")
+    rare = materialize(rare_contexts(pairs.where("u < 0"), counts, n_tokens, discount, seed), "lm-rare")
+    everything = (
+        counts.select("w", F.lit(-1).alias("u"), "c")
+        .unionByName(rare.groupBy("w").agg(F.sum("t").alias("c")).select("w", F.lit(-2).alias("u"), "c"))
+        .unionByName(pairs.where("u >= 0").select("w", "u", "c"))
+    )
     keyed = everything.withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -297,7 +384,9 @@ def fit(rows: DataFrame, seed: int = 0) -> PitmanYor:
     sums = np.zeros(len(contexts) + 2)
     for row in model.where("sums is not null").select("sums").toLocalIterator():  # one short row per bucket, added up as they come
         sums += np.frombuffer(row["sums"])
-    return PitmanYor(model.drop("sums"), contexts, totals, n_tokens, n_known, discount, sums)
+    backs = rare.groupBy(F.col("v").alias("w")).agg(F.first("b").alias("b"))
+    words = materialize(model.drop("sums").join(backs, "w", "left"), "lm-terms")
+    return PitmanYor(words, contexts, totals, n_tokens, n_known, discount, sums, rare)
 
 
 REQUEST = "w long, chunk long, keys binary, times binary, ids array<long>, lengths binary"
@@ -344,11 +433,73 @@ def requests(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, REQUEST)
 
 
+def pair_requests(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
+    """``w, v, chunk, text, times``: tokens after a word that is no frequent context; chunks are numbered as in ``requests``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK_TEXTS):
+                batch = whole.slice(start, CHUNK_TEXTS)
+                for a, b in chunks(batch.column(1)):
+                    tokens, text, before = tokens_of(batch.column(1).slice(a, b - a))
+                    rare = places_in(contexts, before) < 0
+                    (w, v, t), times = _summed(tokens[rare], before[rare], text[rare] + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(w), serial)),
+                            pa.array(t.astype(np.int32)), pa.array(times),
+                        ],
+                        names=["w", "v", "chunk", "text", "times"],
+                    )
+                serial += 1
+
+    return rows.select("key", "text").mapInArrow(run, "w long, v long, chunk long, text int, times long")
+
+
+def corrections(rows: DataFrame, model: PitmanYor) -> DataFrame:
+    """Partial sums per chunk of what seen pairs of the contexts that are not frequent add to the score."""
+    root = (F.col("x") + model.root_base) / model.root_below
+    gains = model.pairs.join(model.words.select("w", "x"), "w").select(
+        "w", "v", F.log10(1 + F.col("a") / (F.col("b") * root)).alias("gain")
+    )
+    found = pair_requests(rows, model.contexts).join(gains, ["w", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            chunk, text, value = (np.concatenate(p) for p in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(chunk, kind="stable")
+            heads = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
+            for of in np.split(order, heads[1:]):
+                line = np.bincount(text[of], value[of], CHUNK_TEXTS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(chunk[of[0]])]), pa.array([line.tobytes()], pa.binary())], names=["chunk", "score"]
+                )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk, text, value = (np.asarray(batch.column(n)) for n in ("chunk", "text", "value"))
+            parts.append((chunk, text, value))
+            if sum(len(p[0]) for p in parts) > HELD_TEXTS:
+                yield from passed_on()
+        if parts:
+            yield from passed_on()
+
+    return found.select("chunk", "text", (F.col("gain") * F.col("times")).alias("value")).mapInArrow(
+        run, "chunk long, score binary"
+    )
+
+
 def score_texts(rows: DataFrame, model: PitmanYor) -> DataFrame:
     """``key, n_tokens, n_known, base_score, score`` for rows of ``key, text``."""
     contexts, backoff = model.contexts, np.append(1.0, model.backoff)  # place 0: no context, the root itself
     below, root_base = model.root_below, model.root_base
     n_tokens, n_known = model.n_tokens, model.n_known
+    rows = materialize(rows.select("key", "text"), "lm-texts")  # read twice, in the same chunks
     found = requests(rows, contexts).join(model.words, "w", "left")
     names = ["chunk", "ids", "lengths", "known", "base", "score"]
 
@@ -391,7 +542,8 @@ def score_texts(rows: DataFrame, model: PitmanYor) -> DataFrame:
                 wanted = row << 16 | place
                 spot = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
                 term = np.where(pairs[spot] == wanted, flat("terms", np.float32)[spot].astype(float), 0.0)
-            value = np.log10(term + backoff[place] * root[row]) * times
+            back = np.log10(np.asarray(batch.column("b").fill_null(1.0)))  # every word stands before one token
+            value = (np.log10(term + backoff[place] * root[row]) + back[row]) * times
             plain = np.log10((count + 0.1) / (n_tokens + 0.1 * (n_known + 1)))[row] * times
             chunk = np.asarray(batch.column("chunk"))
             serials, which = np.unique(chunk, return_inverse=True)
@@ -410,11 +562,12 @@ def score_texts(rows: DataFrame, model: PitmanYor) -> DataFrame:
 
     partial = found.mapInArrow(run, "chunk long, ids array<long>, lengths binary, known binary, base binary, score binary")
 
+    partial = partial.unionByName(corrections(rows, model), allowMissingColumns=True)
+
     def add(part: pd.DataFrame) -> pd.DataFrame:
         listed = part[part["ids"].notna()].iloc[0]
         n = len(listed["ids"])
-        sums = part[part["known"].notna()]
-        total = lambda name: sum((np.frombuffer(b)[:n] for b in sums[name]), np.zeros(n))
+        total = lambda name: sum((np.frombuffer(b)[:n] for b in part[name].dropna()), np.zeros(n))
         return pd.DataFrame(
             {
                 "key": pd.array(listed["ids"], "Int64"),

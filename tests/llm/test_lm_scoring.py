@@ -87,6 +87,32 @@ def test_probabilities_of_all_words_add_up_to_one(spark):
     assert all(math.isfinite(v) for v in (*sums.values(), *ends.values()))
 
 
+def test_words_that_are_not_frequent_are_contexts_too(spark):
+    """Each "k<i>" is always followed by its own "v<i>", and none is frequent enough to be dense."""
+    texts = [(i, " ".join(f"k{j} v{j}" for j in range(i % 3, 1500, 3))) for i in range(12)]
+    model = fit(spark.createDataFrame(texts, "key long, text string"))
+    probes = spark.createDataFrame([(i, f"k{i} v{i}") for i in range(9)] + [(100 + i, f"k{i} v{i + 9}") for i in range(9)], "key long, text string")
+    got = {r.key: r.score for r in score_texts(probes, model).collect()}
+    assert all(got[i] > got[100 + i] + 1.5 for i in range(9))
+
+
+def test_probabilities_after_a_word_that_is_not_frequent_add_up_to_one(spark):
+    """By the tables that scoring joins."""
+    import pyarrow as pa
+
+    words = ["x" if i % 9 == 0 else f"w{i * i % 1013}" for i in range(6000)]
+    texts = [(i, " ".join(words[i::7][:400])) for i in range(14)]
+    model = fit(spark.createDataFrame(texts, "key long, text string"))
+    table = {r.w: r for r in model.words.collect()}
+    pairs = model.pairs.collect()
+    root = lambda w: (table[w].x + model.root_base) / model.root_below
+    v = int(hashed_words(pa.array(["w4"])).hashes.view(np.int64)[0])
+    own = {r.w: r for r in pairs if r.v == v}
+    back = next(iter(own.values())).b
+    whole = sum((own[w].a if w in own else 0.0) + back * root(w) for w in table) + back * model.root_base / model.root_below
+    assert abs(whole - 1) < 1e-3
+
+
 def test_gibbs_moves_keep_customers_and_find_the_stationary_law():
     """One dish, constant weight of a new table: two customers share with probability (1 - d) / (1 - d + weight)."""
     rng, d, weight, n = np.random.default_rng(3), 0.4, 0.7, 4000
