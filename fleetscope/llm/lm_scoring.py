@@ -3,12 +3,12 @@
 Every word seen (and the start of a text) is a context with a restaurant of
 its own; all contexts share the root restaurant as parent, whose base measure is
 uniform over the known tokens and one unknown.  Customers are token occurrences,
-a context's tables are customers of the root.  Gibbs moves take a customer from
-its table and seat it again; predictive terms are averaged over the sweeps
-after the burn-in.
+a context's tables are customers of the root.  A Gibbs sweep seats all customers
+of every pair anew, given the root's distribution and the context's tables;
+predictive terms are averaged over the sweeps after the burn-in.
 
 The restaurants of frequent contexts and the root are split by word: a task holds a bucket of words with their
-tables in all contexts and in the root, so a move only needs bucket state and
+tables in all contexts and in the root, so a sweep only needs bucket state and
 the tables per context, estimated from the bucket's share of words.  The other
 contexts are split by context, each whole in one task; their tables are fixed
 before the root is seated.
@@ -39,7 +39,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: A frequent context word has at least this share of all training tokens, so there are at most 512 of them.
 CONTEXT_SHARE = 1 / 512
 STRENGTH = 1.0
-BURN_IN, SAMPLES, MOVES = 2, 3, 3
+BURN_IN, SAMPLES = 2, 3
 #: Words in a bucket of the sampler, and texts in a chunk of the scorer.
 BUCKET_WORDS = 150_000
 CHUNK_TEXTS = 4096
@@ -237,20 +237,6 @@ class Restaurants:
         return new
 
 
-def _one_each(words: np.ndarray) -> Iterator[np.ndarray]:
-    """The words in rounds without repeats."""
-    while len(words):
-        _, first = np.unique(words, return_index=True)
-        yield words[first]
-        words = np.delete(words, first)
-
-
-def expected_tables(customers: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Where seating begins: about the mean number of tables for a constant weight of a new one."""
-    grown = 1 + np.round(weight * np.log((customers + weight) / (1 + weight)))
-    return np.where(customers > 0, np.minimum(customers, np.maximum(grown, 1)), 0).astype(np.int64)
-
-
 def sample_bucket(w, u, c, context_totals, n_tokens, n_known, share, discount, seed):
     """Averages for one bucket of words.
 
@@ -270,46 +256,29 @@ def sample_bucket(w, u, c, context_totals, n_tokens, n_known, share, discount, s
     n_contexts = len(context_totals)
     base = 1.0 / (n_known + 1)
 
-    seen = np.bincount(tu, minlength=n_contexts) / share
-    by_context = np.minimum(np.maximum(seen, 1), np.maximum(context_totals, 1)).astype(float)
-    weight = (STRENGTH + discount * by_context[tu]) * (total[tw] / max(n_tokens, 1))
-    contexts = Restaurants(tc, expected_tables(tc, weight), discount, rng)
-    customers = direct + np.bincount(tw, contexts.t, len(words)).astype(np.int64)
-    root_weight = (STRENGTH + discount * n_known) * base
-    root = Restaurants(customers, expected_tables(customers, np.full(len(words), root_weight)), discount, rng)
-
-    def tables() -> np.ndarray:
-        return np.maximum(np.bincount(tu, contexts.t, n_contexts) / share, 1)
-
-    def from_root(words_at: np.ndarray) -> np.ndarray:
-        all_customers, all_tables = root.c.sum() / share, root.t.sum() / share
-        top = root.c[words_at] - discount * root.t[words_at] + (STRENGTH + discount * all_tables) * base
-        return top / (STRENGTH + all_customers)
+    t = np.minimum(tc, 1)
+    customers = direct + np.bincount(tw, t, len(words)).astype(np.int64)
+    root_tables = np.minimum(customers, 1)
 
-    def seat_in_root(at: np.ndarray) -> None:
-        for k in _one_each(at):
-            weight = (STRENGTH + discount * root.t.sum() / share) * base
-            root.add(k, np.full(len(k), weight))
+    def root_draw() -> np.ndarray:
+        """The root's distribution, drawn given its seating (up to the tables of unseen dishes, at their mean)."""
+        drawn = rng.gamma(np.maximum(customers - discount * root_tables, 1e-9))
+        new = (STRENGTH + discount * root_tables.sum() / share) * base
+        return (drawn + new) / (STRENGTH + customers.sum() / share)
 
-    several = np.flatnonzero(tc > 1)
     x, a = np.zeros(len(words)), np.zeros(len(tw))
     sums = np.zeros(n_contexts + 2)
     for sweep in range(BURN_IN + SAMPLES):
-        for _ in range(MOVES):
-            if len(several):
-                gone = contexts.remove(several)
-                for k in _one_each(tw[several[gone]]):
-                    root.remove(k)
-                new = contexts.add(several, (STRENGTH + discount * tables()[tu[several]]) * from_root(tw[several]))
-                seat_in_root(tw[several[new]])
-            shared = np.flatnonzero(root.c > 1)
-            root.remove(shared)
-            seat_in_root(shared)
+        tables = np.minimum(np.maximum(np.bincount(tu, t, n_contexts) / share, 1), np.maximum(context_totals, 1))
+        t = seated(tc, (STRENGTH + discount * tables[tu]) * root_draw()[tw], discount, rng)
+        customers = direct + np.bincount(tw, t, len(words)).astype(np.int64)
+        weight = (STRENGTH + discount * root_tables.sum() / share) * base
+        root_tables = seated(customers, np.full(len(words), weight), discount, rng)
         if sweep >= BURN_IN:
-            x += (root.c - discount * root.t) / SAMPLES
-            a += (tc - discount * contexts.t) / SAMPLES
-            sums[:n_contexts] += np.bincount(tu, contexts.t, n_contexts) / SAMPLES
-            sums[n_contexts:] += np.array([root.c.sum(), root.t.sum()]) / SAMPLES
+            x += (customers - discount * root_tables) / SAMPLES
+            a += (tc - discount * t) / SAMPLES
+            sums[:n_contexts] += np.bincount(tu, t, n_contexts) / SAMPLES
+            sums[n_contexts:] += np.array([customers.sum(), root_tables.sum()]) / SAMPLES
     a /= STRENGTH + context_totals[tu]
     return words, total, x, tw, tu, a, sums
 

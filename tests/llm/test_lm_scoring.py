@@ -125,3 +125,25 @@ def test_gibbs_moves_keep_customers_and_find_the_stationary_law():
         assert many.sizes.sum() == 2 * n and (many.c == 2).all()
         together += (many.t == 1).mean() * (sweep >= 20)
     assert abs(together / 40 - (1 - d) / (1 - d + weight)) < 0.02
+
+
+def test_seating_follows_its_law():
+    """P(t) is proportional to weight^t times the generalized Stirling number."""
+    rng, d, weight, c, n = np.random.default_rng(5), 0.4, 0.7, 7, 40_000
+    law = np.zeros(c + 2)
+    law[1] = 1.0
+    for k in range(1, c):
+        law[1:] = (k - d * np.arange(1, c + 2)) * law[1:] + law[:-1]
+    law = law[: c + 1] * weight ** np.arange(c + 1)
+    got = lm_scoring.seated(np.full(n, c), np.full(n, weight), d, rng)
+    assert np.abs(np.bincount(got, minlength=c + 1) / n - law / law.sum()).max() < 0.01
+
+
+def test_a_sweep_moves_the_customers_of_large_pairs():
+    """Words of the same large count get different tables; where few customers move, all stay as at the start."""
+    n, count = 300, 100_000
+    w = np.repeat(np.arange(n), 2)
+    u = np.tile([-1, 0], n)
+    a = lm_scoring.sample_bucket(w, u, np.full(2 * n, count), np.array([n * count]), n * count, n, 1.0, 0.5, 1)[5]
+    tables = (count - a * (1.0 + n * count)) / 0.5
+    assert tables.std() > 0.5, tables.std()
