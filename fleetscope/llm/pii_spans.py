@@ -13,6 +13,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,7 +87,7 @@ BLANK = frozenset(" \t\n\x0b\x0c\r")
 
 SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "email_words": re.compile(r"[A-Za-z0-9._-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+"),
+    "email_words": re.compile(r"[A-Za-z0-9._-]+ ?[\[(](?i:at)[\])] ?[A-Za-z0-9-]+(?: ?[\[(](?i:dot)[\])] ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
     "card": re.compile(r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}"),
     "phone_plus": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]+\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"),
@@ -260,8 +261,14 @@ def trained_weights(epochs: int = 25, rate: float = 0.15, shrink: float = 0.01)
     return weights
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of words with a digit, an at-sign or a bracketed "at", joined over single blanks."""
+BRACKETED_AT = re.compile(r"[\[(]at[\])]", re.I)
+#: The longest candidate from every start, so that those which begin inside another count too.
+IBAN_FROM = re.compile(rf"(?=({SHAPES['iban'].pattern}))")
+IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of words with a digit or an at-sign, joined over single blanks."""
     start = end = -1
     pos = 0
     while m := SEED.search(text, pos):
@@ -278,8 +285,44 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         end = pos = right
     if start >= 0:
         yield start, end
-    for m in re.finditer(r"[\[(]at[\])]", text) if "at]" in text or "at)" in text else ():
-        yield max(0, text.rfind("\n", 0, m.start()) + 1, m.start() - 64), min(len(text), m.end() + 96)
+
+
+def _tokens_before(text: str, pos: int, n: int) -> int:
+    """Start of the ``n`` tokens before ``pos``."""
+    kind = lambda c: c.isascii() and (1 if c.isalpha() else 2 if c.isdigit() else 0)
+    while n and pos:
+        pos -= 1
+        this = kind(text[pos])
+        while this and pos and kind(text[pos - 1]) == this:
+            pos -= 1
+        n -= 1
+    return pos
+
+
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """Disjoint regions that hold every candidate whole.
+
+    Words without digit or at-sign are inside a candidate in two shapes only:
+    account numbers, whose longest extent is joined, and addresses around a
+    bracketed "at", where a region reaches ``LONGEST`` tokens to both sides.
+    """
+    found = list(_stretches(text))
+    if IBAN_START.search(text):
+        found += [m.span(1) for m in IBAN_FROM.finditer(text)]
+    for m in BRACKETED_AT.finditer(text):
+        end = m.end()
+        for token in islice(TOKEN.finditer(text, end), LONGEST):
+            end = token.end()
+        found.append((_tokens_before(text, m.start(), LONGEST), end))
+    start = end = -1
+    for left, right in sorted(found):
+        if left >= end:
+            if start >= 0:
+                yield start, end
+            start, end = left, right
+        end = max(end, right)
+    if start >= 0:
+        yield start, end
 
 
 def crf_spans(weights: dict[tuple[int, str], float], text: str, base: list[Span]) -> list[Span]:

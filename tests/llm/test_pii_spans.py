@@ -39,6 +39,17 @@ def test_crf_recovers_held_out_entities():
     assert right / total > 0.9, right / total
 
 
+def test_entities_with_words_of_letters_are_one_candidate():
+    weights = trained_weights()
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    mails = ["jo.do [AT] firm [DOT] org", "jo (At) firm (dot) org", "x" * 90 + " [at] " + "y" * 90 + " [dot] org"]
+    for entity, kind in [(e, 5) for e in ibans] + [(e, 0) for e in mails]:
+        for before, after in (("", ""), ("please use ", " from now on"), ("some text, iban: ", ".\nNext line 12 (at) noon")):
+            text = before + entity + after
+            base = base_spans(text)
+            assert (len(before), kind, len(before) + len(entity)) in [*base, *crf_spans(weights, text, base)], text
+
+
 def test_query_and_awkward_rows(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in op6_pii_spans(spark, sf_dir).collect():
