@@ -1,8 +1,7 @@
 """Exact deduplication: group by a 128-bit hash, keep the smallest id, compare bytes.
 
-Two copies of the work are avoided: the wide aggregate carries each distinct
-text once (copies collapse before the shuffle), and only digests travel when
-the verdict is joined back to the rows.
+The wide aggregate carries each distinct text once (copies collapse before the
+shuffle), and only digests travel when the verdict is joined back to the ids.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import SPACE_RUN, whole_text
 
+#: Repeated rows that one array lists at most.
+REPEATS = 10_000
+
 
 def normalized(column: str = "text") -> Column:
     """The text with each run of ASCII white space as one space; null is empty."""
@@ -39,10 +41,10 @@ def exact_duplicates(
     shuffle as one row per task.
 
     A null text counts as empty.  A null id never stays while another id of
-    its group does; a group of null ids only has a null ``keep_id`` and keeps
-    its rows.  Repeated rows (same id and text) share one verdict and all
-    count in ``group_size``.  An empty table gives an empty result.  Other
-    input columns are ignored, whatever their names.
+    its group does; a group of null ids only has a null ``keep_id``.  Exactly one
+    row of a group is ``kept``: of rows that repeat both id and text one stays,
+    and all count in ``group_size``.  An empty table gives an empty result.
+    Other input columns are ignored, whatever their names.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), normalized(text_col).alias("content"))
     groups = (
@@ -50,24 +52,28 @@ def exact_duplicates(
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("hash", F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    members = rows.select(
+    # Rows that repeat an id and a text are counted and written out again, so that one of them can stay.
+    members = rows.groupBy(
         "doc_id", hash_fn(F.col("content")).alias("hash"), F.sha2("content", 256).alias("text_sha256")
+    ).agg(F.count(F.lit(1)).alias("times"))
+    block = lambda i: F.least(F.lit(REPEATS), F.col("times") - i * REPEATS)
+    blocks = members.join(groups, ["hash", "text_sha256"]).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))).alias("block")
     )
-    return members.join(groups, ["hash", "text_sha256"]).select(
-        F.col("doc_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-    )
+    out = blocks.select("*", F.explode(F.sequence(F.lit(1).cast("long"), block(F.col("block")))).alias("nth"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("block") == 0) & (F.col("nth") == 1)
+    return out.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", stays.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns unchanged.
+    """One row of each group of equal texts, that with the smallest id (null last), all columns unchanged.
 
-    Only digests are shuffled for the semi join's right side; rows with a null
-    id stay only if their whole group has null ids.
+    One aggregate over hash and bytes: copies collapse in the map tasks, and the
+    text is read and normalised once.  Of rows that repeat the smallest id, any
+    one stays.
     """
-    verdicts = exact_duplicates(df, id_col, text_col)
-    stay = verdicts.where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    content = normalized(text_col)
+    place = F.struct(F.isnull(id_col).alias("last"), F.col(id_col).alias("id"))
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    best = df.groupBy(content_hash(content).alias("__hash"), content.alias("__content")).agg(F.min_by(row, place).alias("__row"))
+    return best.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(df.columns)])

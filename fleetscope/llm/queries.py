@@ -104,8 +104,8 @@ ORACLES: dict[str, str] = {
         ), g AS (
             SELECT content, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY content
         )
-        SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
-               sha256(n.content) AS text_sha256
+        SELECT n.doc_id, g.keep_id, g.group_size, sha256(n.content) AS text_sha256,
+               n.doc_id IS NOT DISTINCT FROM g.keep_id AND row_number() OVER (PARTITION BY n.doc_id, content) = 1 AS kept
         FROM n JOIN g USING (content)
     """,
     "op5_substring_dedup": r"""
