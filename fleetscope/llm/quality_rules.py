@@ -1,9 +1,11 @@
 """Quality rules whose cutoffs carry a risk guarantee; DataFrame functions only.
 
-Features are computed in one pass over the texts.  Cutoffs come from labelled
-documents: for every stratum, rule and grid cutoff the number of good documents
-that the cutoff would reject is compared with an exact binomial bound, corrected
-for the number of tests, and the strictest cutoff that passes is used.
+Features are computed in one pass over the texts.  The cutoffs of all rules form
+one ladder, from the loosest step to the strictest; a step has all cutoffs of
+the steps before it, so the documents it rejects only grow.  Per stratum of
+labelled documents each step's rejections of good documents are held against an
+exact binomial bound, and of the steps that pass the one that best separates bad
+from good documents is used.
 """
 
 from __future__ import annotations
@@ -17,14 +19,23 @@ from fleetscope.llm.common import SPACE_RUN, SPACES, materialize, whole_text
 
 WINDOW = 8
 
-#: Rule -> (ratio of two features, grid of cutoffs); a document fails above the cutoff.
-RULES: Mapping[str, tuple[str, Sequence[float]]] = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)),
-    "long_words": ("word_chars / greatest(n_words, 1)", (7.0, 8.0, 10.0, 12.0, 16.0, 24.0, 40.0)),
+#: Rule -> ratio of two features; a document fails above the rule's cutoff.
+RATIOS: Mapping[str, str] = {
+    "symbols": "n_symbols / greatest(word_chars, 1)",
+    "long_words": "word_chars / greatest(n_words, 1)",
+    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
 }
 
+#: The steps in order.  Rules that aim at junk come first, those that also touch plain lists and verse last.
+LADDER: Sequence[tuple[str, float]] = (
+    ("symbols", 0.5), ("long_words", 40.0), ("symbols", 0.3), ("long_words", 24.0), ("symbols", 0.2), ("long_words", 16.0),
+    ("symbols", 0.1), ("long_words", 12.0), ("symbols", 0.05), ("long_words", 10.0), ("symbols", 0.02), ("long_words", 8.0),
+    ("symbols", 0.01), ("long_words", 7.0),
+    ("dup_lines", 0.9), ("repeats", 0.25), ("dup_lines", 0.7), ("repeats", 0.2), ("dup_lines", 0.5), ("repeats", 0.15),
+    ("dup_lines", 0.3), ("repeats", 0.1), ("dup_lines", 0.2), ("repeats", 0.05), ("dup_lines", 0.1),
+)
+
 
 def _covered(positions: Column, width: int) -> Column:
     """Words under windows of ``width`` that start at the sorted ``positions``."""
@@ -115,45 +126,63 @@ def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     )
 
 
-def risk_controlled_cutoffs(
+def first_step(ladder: Sequence[tuple[str, float]] = LADDER) -> Column:
+    """Number (from 1) of the first step that rejects the document, null if none does."""
+    above = [F.when(F.expr(RATIOS[rule]) > F.lit(cut), F.lit(i + 1)) for i, (rule, cut) in enumerate(ladder)]
+    return F.coalesce(*above)
+
+
+def risk_controlled_steps(
     labelled: DataFrame,
-    stratum_col: str,
-    rules: Mapping[str, tuple[str, Sequence[float]]] = RULES,
-    max_false_rejection: float = 0.01,
+    n_steps: int = len(LADDER),
+    max_false_rejection: float = 0.025,
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Per stratum a column ``cut_<rule>``: the strictest cutoff with a guarantee, or null.
-
-    ``labelled`` has features, the stratum and a boolean ``good``.  The budget of
-    ``max_false_rejection`` is shared equally by the rules.  A cutoff that rejects
-    ``k`` of ``n`` good documents passes if P(Bin(n, budget) <= k) <= alpha / tests,
-    i.e. if its exact (Clopper-Pearson) upper bound is within the budget, with the
-    Bonferroni correction for every stratum, rule and cutoff tested.  With
-    probability 1 - alpha no chosen cutoff exceeds its budget.  Strata without
-    enough good documents get null: their rules stay off.
+    """``stratum, step``: the last step to use in each stratum, 0 where none has the guarantee.
+
+    ``labelled`` has ``stratum``, ``first_step`` and a boolean ``good``.  Step ``s``
+    rejects ``k(s)`` of a stratum's ``n`` good documents.  It passes if
+    P(Bin(n, max_false_rejection) <= k(s)) <= alpha / strata, i.e. if the exact
+    (Clopper-Pearson) upper bound of its false rejection rate is within
+    ``max_false_rejection``; Bonferroni corrects for the strata.
+
+    Guarantee: with probability 1 - alpha no stratum's step in use rejects more
+    than ``max_false_rejection`` of its good documents.  Proof: k grows with s, so
+    the passing steps are the first ones.  Let t be the first step whose true rate
+    is above the limit.  A step from t on can only be used if t passes, and then
+    k(t) is binomial with a rate above the limit, so t passes with probability at
+    most alpha / strata (fixed-sequence testing: the ladder costs no correction).
+    Which passing step is used does not matter to this; it is the one with the
+    largest difference between the rejected shares of bad and of good documents,
+    the loosest of equals.
+
+    Strata with too few good documents for even a step without rejections are
+    tested together as one; its guarantee is then one for their union.
     """
-    good = labelled.where("good")
-    grid = [(rule, ratio, cut) for rule, (ratio, cuts) in rules.items() for cut in cuts]
-    counts = good.groupBy(F.col(stratum_col).alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.expr(ratio) > F.lit(cut)).alias(f"k{i}") for i, (_, ratio, cut) in enumerate(grid)],
+    n_strata = labelled.groupBy("stratum").agg(F.count_if("good").alias("n")).agg(F.count(F.lit(1)).alias("n_strata"))
+    counted = labelled.groupBy("stratum").agg(
+        F.count_if("good").alias("n"),
+        F.count_if(~F.col("good")).alias("m"),
+        *[F.count_if(F.col("good") & (F.col("first_step") <= s)).alias(f"k{s}") for s in range(1, n_steps + 1)],
+        *[F.count_if(~F.col("good") & (F.col("first_step") <= s)).alias(f"b{s}") for s in range(1, n_steps + 1)],
     )
-    budget = F.lit(max_false_rejection / len(rules))
-    per_test = F.lit(alpha) / (F.lit(len(grid)) * F.greatest(F.col("n_strata"), F.lit(1)))
-    n_strata = counts.agg(F.count(F.lit(1)).alias("n_strata"))
-    tested = counts.crossJoin(F.broadcast(n_strata))  # one row
-
-    def passes(i: int) -> Column:
-        k = F.col(f"k{i}")
-        return (k <= F.col("n") * budget) & (
-            F.when(k <= F.col("n") * budget, binomial_cdf(k, F.col("n"), budget)).otherwise(1.0) <= per_test
-        )
-
-    strictest = {
-        rule: F.coalesce(*[F.when(passes(i), F.lit(cut)) for i, (r, _, cut) in enumerate(grid) if r == rule])
-        for rule in rules
-    }
-    return tested.select("stratum", *[value.alias(f"cut_{rule}") for rule, value in strictest.items()])
+    limit = F.lit(max_false_rejection)
+    level = F.lit(alpha) / F.col("n_strata")
+    # One row per stratum from here on.
+    sized = counted.crossJoin(F.broadcast(n_strata)).withColumn("few", F.pow(1 - limit, F.col("n")) > level)
+    sums = [c for c in counted.columns if c != "stratum"]
+    pools = sized.groupBy(F.when(F.col("few"), F.lit(None)).otherwise(F.col("stratum")).alias("pool"), "few", "n_strata").agg(
+        F.collect_list("stratum").alias("named"), F.count_if(F.col("stratum").isNull()).alias("unnamed"), *[F.sum(c).alias(c) for c in sums]
+    )
+    k = lambda s: F.col(f"k{s}")
+    passes = lambda s: (k(s) <= F.col("n") * limit) & (binomial_cdf(F.least(k(s), F.floor(F.col("n") * limit)), F.col("n"), limit) <= level)
+    gain = lambda s: F.col(f"b{s}") / F.greatest(F.col("m"), F.lit(1)) - k(s) / F.greatest(F.col("n"), F.lit(1))
+    choices = [F.when(passes(s), F.struct(gain(s).alias("gain"), F.lit(-s).alias("step"))) for s in range(1, n_steps + 1)]
+    none = F.struct(F.lit(0.0).alias("gain"), F.lit(0).alias("step"))
+    chosen = pools.withColumn("step", -F.greatest(none, *choices)["step"])
+    # A null stratum is no element of the list.
+    names = F.when(F.col("unnamed") > 0, F.concat("named", F.array(F.lit(None).cast("string")))).otherwise(F.col("named"))
+    return chosen.select(F.explode(names).alias("stratum"), "step")
 
 
 def quality_verdicts(
@@ -162,32 +191,37 @@ def quality_verdicts(
     id_col: str = "doc_id",
     text_col: str = "text",
     stratum_col: str = "lang",
-    max_false_rejection: float = 0.01,
+    max_false_rejection: float = 0.025,
     alpha: float = 0.05,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Features of every row, ``base_failed``, and ``kept``.
+    """Features of every row, ``base_failed``, and ``kept``; before them the columns ``keep`` of ``docs``.
 
     ``labels`` has the id and ``quality`` (1 good, 0 bad, null ignored); of
-    repeated labels the best counts.  A null stratum is a stratum of its own.
-    ``kept`` is false if ``base_failed``, else true unless a feature exceeds
-    its stratum's cutoff.  Repeated rows get a row each, an empty table none;
-    with no labels only the fixed rules reject.
+    repeated labels the best counts.  A null stratum is a stratum of its own; a
+    stratum without labels has only the fixed rules.  ``kept`` is false if
+    ``base_failed``, else true unless a step in use rejects the row.  Repeated
+    rows get a row each, an empty table none.
     """
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum"))
-    features = materialize(text_features(picked, keep=["stratum"]), "quality-features")
+    picked = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum"),
+        *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)],
+    )
+    carried = [f"__keep{i}" for i in range(len(keep))]
+    features = materialize(text_features(picked, keep=["stratum", *carried]), "quality-features")
+    features = features.withColumn("first_step", first_step())
     truth = (
         labels.where("quality is not null")
         .groupBy(F.col(id_col).alias("doc_id"))
         .agg((F.max("quality") > 0).alias("good"))
     )
-    labelled = features.where(~base_failed()).join(truth, "doc_id")
-    cutoffs = risk_controlled_cutoffs(labelled, "stratum", RULES, max_false_rejection, alpha)
-    cutoffs = cutoffs.withColumnRenamed("stratum", "__stratum")
-    exceeds = F.lit(False)
-    for rule, (ratio, _) in RULES.items():
-        exceeds = exceeds | F.coalesce(F.expr(ratio) > F.col(f"cut_{rule}"), F.lit(False))
-    judged = features.join(cutoffs, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    labelled = features.where(~base_failed()).join(truth, "doc_id").select("stratum", "first_step", "good")
+    steps = risk_controlled_steps(materialize(labelled, "quality-labelled"), len(LADDER), max_false_rejection, alpha)
+    steps = materialize(steps.withColumnRenamed("stratum", "__stratum"), "quality-steps")
+    judged = features.join(steps, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    rejected = F.coalesce(F.col("first_step") <= F.col("step"), F.lit(False))
     return judged.select(
+        *[F.col(c).alias(name) for c, name in zip(carried, keep, strict=True)],
         F.col("doc_id").alias(id_col),
         "n_words",
         "word_chars",
@@ -195,7 +229,13 @@ def quality_verdicts(
         "n_dup_lines",
         "n_repeat_words",
         base_failed().alias("base_failed"),
-        (~base_failed() & ~exceeds).alias("kept"),
+        (~base_failed() & ~rejected).alias("kept"),
     )
 
 
+def good_documents(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options: float
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, all columns unchanged; each row is judged by its own text."""
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), *dict.fromkeys((id_col, text_col, stratum_col)))
+    return quality_verdicts(whole, labels, id_col, text_col, stratum_col, keep=["__row"], **options).where("kept").select("__row.*")

@@ -148,31 +148,46 @@ ORACLES: dict[str, str] = {
             FROM w LEFT JOIN r USING (doc_id)
         ), b AS (
             SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+        ), ladder(rule, cut, s) AS (
+            SELECT rule, cut::DOUBLE, row_number() OVER () FROM (VALUES
+                ('symbols', 0.5), ('long_words', 40.0), ('symbols', 0.3), ('long_words', 24.0), ('symbols', 0.2), ('long_words', 16.0),
+                ('symbols', 0.1), ('long_words', 12.0), ('symbols', 0.05), ('long_words', 10.0), ('symbols', 0.02), ('long_words', 8.0),
+                ('symbols', 0.01), ('long_words', 7.0), ('dup_lines', 0.9), ('repeats', 0.25), ('dup_lines', 0.7), ('repeats', 0.2),
+                ('dup_lines', 0.5), ('repeats', 0.15), ('dup_lines', 0.3), ('repeats', 0.1), ('dup_lines', 0.2), ('repeats', 0.05),
+                ('dup_lines', 0.1)) t(rule, cut)
         ), x AS (
             SELECT doc_id, lang, base_failed, unnest([
-                {'rule': 'symbols', 'v': n_symbols / greatest(word_chars, 1), 'cuts': [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]::DOUBLE[]},
-                {'rule': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1), 'cuts': [0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]},
-                {'rule': 'repeats', 'v': n_repeat_words / greatest(n_words, 1), 'cuts': [0.05, 0.1, 0.15, 0.2, 0.25, 0.3]::DOUBLE[]},
-                {'rule': 'long_words', 'v': word_chars / greatest(n_words, 1), 'cuts': [7, 8, 10, 12, 16, 24, 40]::DOUBLE[]}], recursive := true)
+                {'rule': 'symbols', 'v': n_symbols / greatest(word_chars, 1)}, {'rule': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)},
+                {'rule': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)}, {'rule': 'long_words', 'v': word_chars / greatest(n_words, 1)}],
+                recursive := true)
             FROM b
-        ), good AS (
-            SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) > 0
-        ), g AS (
-            SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (v > cut) AS k
-            FROM (SELECT lang, rule, v, unnest(cuts) AS cut FROM x JOIN good USING (doc_id) WHERE NOT base_failed) GROUP BY ALL
+        ), first AS (
+            SELECT x.doc_id, min(s) AS s FROM x JOIN ladder USING (rule) WHERE v > cut GROUP BY x.doc_id
+        ), truth AS (
+            SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+        ), labelled AS (
+            SELECT b.lang, good, first.s AS hit FROM b JOIN truth USING (doc_id) LEFT JOIN first USING (doc_id) WHERE NOT base_failed
+        ), sized AS (
+            SELECT lang, 0.975 ** count(*) FILTER (good) > 0.05 / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM labelled) AS few
+            FROM labelled GROUP BY lang
+        ), pooled AS (
+            SELECT few, CASE WHEN few THEN NULL ELSE l.lang END AS pool, good, hit FROM labelled l JOIN sized z ON z.lang IS NOT DISTINCT FROM l.lang
+        ), counts AS (
+            SELECT few, pool, ladder.s, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, count(*) FILTER (good AND hit <= ladder.s) AS k,
+                   count(*) FILTER (NOT good AND hit <= ladder.s) AS bad FROM pooled, ladder GROUP BY ALL
         ), tested AS (
-            SELECT lang, rule, cut, k <= n * 0.0025 AND list_sum(list_transform(range(0, k + 1), lambda j:
-                       exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0025) + (n - j) * ln(1 - 0.0025))))
-                       <= 0.05 / (27 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM g)) AS passes
-            FROM g
-        ), cutoff AS (
-            SELECT lang, rule, min(cut) AS cut FROM tested WHERE passes GROUP BY ALL
-        ), bad AS (
-            SELECT DISTINCT doc_id FROM x JOIN cutoff c ON c.rule = x.rule AND c.lang IS NOT DISTINCT FROM x.lang WHERE v > c.cut
+            SELECT few, pool, s, bad / greatest(m, 1) - k / greatest(n, 1) AS gain, k <= n * 0.025 AND list_sum(list_transform(range(0, k + 1), lambda j:
+                       exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.025) + (n - j) * ln(0.975))))
+                       <= 0.05 / (SELECT count(*) FROM sized) AS passes
+            FROM counts
+        ), step AS (
+            SELECT few, pool, first(s ORDER BY gain DESC, s) AS s FROM tested WHERE passes AND gain > 0 GROUP BY ALL
+        ), used AS (
+            SELECT z.lang, step.s FROM sized z JOIN step ON step.few = z.few AND (z.few OR step.pool IS NOT DISTINCT FROM z.lang)
         )
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
-        FROM b
+        SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND coalesce(first.s > used.s, true) AS kept
+        FROM b LEFT JOIN first USING (doc_id) LEFT JOIN used ON used.lang IS NOT DISTINCT FROM b.lang
     """,
     "op10_ngram_join": r"""
         WITH RECURSIVE w AS (

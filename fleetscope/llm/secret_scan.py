@@ -1,43 +1,39 @@
 """Secret scans with corpus-wide ownership frequency; DataFrame functions only.
 
 Patterns propose candidates.  The hash of each candidate's value is counted over
-distinct repositories and owners of the whole corpus: values that many owners
-share are copied examples, values of one owner look live.  The loose patterns
-count only where the value belongs to a single owner.
+distinct repositories and owners of the whole corpus: values that many owners or
+repositories share are copied examples, values of one owner in one repository
+look live.  The loose patterns count only where the value looks live.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import materialize, whole_text
+from fleetscope.llm.common import materialize, row_key, whole_text
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``group`` of ``pattern`` is the secret value; it needs ``least`` characters."""
+    """``group`` of ``pattern`` is the secret value; it needs ``least`` characters and a match of each of ``holds``."""
 
     name: str
     pattern: str
     group: int
     least: int
     base: bool = True
+    holds: tuple[str, ...] = ()
 
 
 KINDS = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20),
     Kind("hex", r"[0-9a-f]+", 0, 24),
-    Kind(
-        "opaque",
-        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{24,}",
-        0,
-        24,
-        base=False,
-    ),
+    Kind("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 0, 24, base=False, holds=("[0-9]", "[A-Z]", "[a-z]")),
 )
 
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
@@ -52,59 +48,80 @@ def _scan_pattern(kind: Kind) -> str:
     return kind.pattern
 
 
+#: Hits of a text that are placed in one pass; appending to an array copies it, so passes are kept short.
+PASS = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
-    """Spans of one kind, in code points, from the hits and the gaps between them."""
+    """Spans of one kind, in code points, from the hits and the gaps between them.
+
+    Hits are placed in passes of ``PASS``, each from the end of the one before.
+    """
     pattern = F.lit(_scan_pattern(kind))
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
+    state = f"struct<at:int,out:array<{SPAN}>>"
+    length = lambda piece: F.char_length(piece["gap"]) + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
+
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + F.char_length(piece["gap"])
+        end = acc["at"] + length(piece)
+        value = piece["value"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value.alias("value"))
+        fits = F.char_length(value) >= kind.least
+        for held in kind.holds:
+            fits = fits & value.rlike(held)
+        return F.struct(end.alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")).cast(state)
+
+    def one_pass(pieces: Column, at: Column) -> Column:
+        return F.aggregate(pieces, F.struct(at.alias("at"), none.alias("out")).cast(state), step, lambda acc: acc["out"])
+
+    def in_passes(passes: Column) -> Column:
+        sizes = F.transform(passes, lambda pieces: F.aggregate(pieces, F.lit(0), lambda n, piece: n + length(piece)))
+        begins = F.aggregate(
+            sizes,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast("struct<at:int,out:array<int>>"),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(
+                "struct<at:int,out:array<int>>"
+            ),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(passes, begins, one_pass))
+
+    def cut(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.size(pieces) - 1).cast("int"), F.lit(PASS)), lambda i: F.slice(pieces, i + 1, PASS))
 
     def placed(found: Column) -> Column:
         gaps = F.split(text, _scan_pattern(kind), -1)
         values = F.regexp_extract_all(text, pattern, F.lit(kind.group)) if kind.group else found
         pieces = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value"))
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
+        few = F.size(found) < PASS
+        return F.when(few, one_pass(pieces, F.lit(0))).otherwise(_let(pieces, lambda p: _let(cut(p), in_passes)))
 
-        def step(acc: Column, piece: Column) -> Column:
-            gap, hit, value = piece["gap"], piece["hit"], piece["value"]
-            start = acc["at"] + F.char_length(gap)
-            end = start + F.coalesce(F.char_length(hit), F.lit(0))
-            span = F.struct(
-                start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value.alias("value")
-            )
-            fits = F.char_length(value) >= kind.least
-            out = F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-            return F.struct(end.alias("at"), out.alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
-
-        return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-
-    return F.when(F.size(hits) > 0, F.transform(F.array(hits), placed)[0]).otherwise(none)
+    return F.when(F.size(hits) > 0, _let(hits, placed)).otherwise(none)
 
 
 def find_candidates(df: DataFrame, id_col: str, text_col: str, owner_col: str, repository: Column) -> DataFrame:
-    """Per row: id, owner, repository and the sorted candidate spans of all kinds."""
+    """Per row: id, row key, owner, repository, the sorted base spans and the loose candidates that overlap none of them."""
     found = df.select(
         F.col(id_col).alias("doc_id"),
+        row_key(id_col, whole_text(text_col)).alias("key"),
         F.col(owner_col).cast("string").alias("owner"),
         repository.alias("repository"),
         whole_text(text_col).alias("__text"),
     )
-    kinds = [f"__{kind.name}" for kind in KINDS]
-    spans = found.select(
-        "doc_id",
-        "owner",
-        "repository",
-        *[_spans(F.col("__text"), kind, rank).alias(f"__{kind.name}") for rank, kind in enumerate(KINDS)],
-    )
-    base = F.concat(*[F.col(k) for k, kind in zip(kinds, KINDS, strict=True) if kind.base])
-    loose = F.concat(*[F.col(k) for k, kind in zip(kinds, KINDS, strict=True) if not kind.base])
-    return spans.select("doc_id", "owner", "repository", F.sort_array(base).alias("base"), loose.alias("loose")).select(
-        "doc_id",
-        "owner",
-        "repository",
-        "base",
-        F.filter(
-            "loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        ).alias("loose"),
+    head = ["doc_id", "key", "owner", "repository"]
+    spans = found.select(*head, *[_spans(F.col("__text"), kind, rank).alias(f"__{kind.name}") for rank, kind in enumerate(KINDS)])
+    base = F.concat(*[F.col(f"__{kind.name}") for kind in KINDS if kind.base])
+    loose = F.concat(*[F.col(f"__{kind.name}") for kind in KINDS if not kind.base])
+    overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return spans.select(*head, F.sort_array(base).alias("base"), loose.alias("loose")).select(
+        *head, "base", F.filter("loose", lambda x: ~overlaps(x)).alias("loose")
     )
 
 
@@ -142,52 +159,40 @@ def scan_secrets(
     owner_col: str = "source",
     repository: Column | None = None,
     example_owners: int = 3,
+    example_repositories: int = 4,
 ) -> DataFrame:
     """Per row: ``spans`` (array of start, rank, end, value), ``n_live`` and ``n_example``.
 
     The repository is the owner and, where there is one, the language, unless
-    ``repository`` gives another.  Base spans always stay.  A loose candidate becomes a span if exactly one
-    owner has its value and it overlaps no base span.  ``n_live`` counts spans
-    whose value one owner has, ``n_example`` those that ``example_owners`` or
-    more have.  A null text is empty; null owners and repositories are values
-    of their own.  The same id on several rows is one document: such rows share
-    the union of their verdicts.  An empty table gives an empty result.
+    ``repository`` gives another.  A value is live if one owner has it in one
+    repository, and an example if ``example_owners`` owners or more have it, or
+    if it lies in ``example_repositories`` repositories or more; between the two
+    it is neither.  Base spans always stay; a loose candidate becomes a span if
+    its value is live and it overlaps no base span.  A null text is empty; null
+    owners and repositories are values of their own.  Rows are judged one by one,
+    also where they repeat an id.  An empty table gives an empty result.
     """
-    parts = [F.col(c).cast("string") for c in (owner_col, "lang") if c in df.columns]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (owner_col, "lang") if c in df.columns]
     place = F.concat_ws("/", *parts) if repository is None else repository
     found = materialize(find_candidates(df, id_col, text_col, owner_col, place), "secret-candidates")
-    hits = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select(
-        "doc_id",
-        "owner",
-        "repository",
-        F.explode(F.concat("base", "loose")).alias("span"),
-    )
+    hits = found.select("key", "owner", "repository", F.explode(F.concat("base", "loose")).alias("span"))
     hits = hits.withColumn("value_hash", F.md5(F.col("span.value")))
     counts = materialize(ownership(hits), "secret-ownership")
-    verdicts = (
-        hits.select("doc_id", "span", "value_hash")
-        .join(counts, "value_hash")
-        .groupBy("doc_id")
-        .agg(
-            F.count_if(F.col("n_owners") == 1).alias("n_live"),
-            F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
-            F.collect_set(
-                F.when(
-                    (F.col("n_owners") == 1) & F.col("span.rank").isin([r for r, k in enumerate(KINDS) if not k.base]),
-                    F.col("span"),
-                )
-            ).alias("added"),
-        )
-        .withColumnRenamed("doc_id", "__doc")
-    )
-    joined = found.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    own = F.filter(
-        F.coalesce("added", F.array().cast(f"array<{SPAN}>")), lambda x: F.array_contains(F.col("loose"), x)
+    live = (F.col("n_owners") == 1) & (F.col("n_repositories") == 1)
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
+    loose = F.col("span.rank").isin([rank for rank, kind in enumerate(KINDS) if not kind.base])
+    # Rows that share a key have equal texts and so equal spans: one row of a span stands for all.
+    single = hits.select("key", "span", "value_hash").distinct().join(counts, "value_hash")
+    verdicts = single.groupBy("key").agg(
+        F.count_if(live).alias("n_live"),
+        F.count_if(example).alias("n_example"),
+        F.collect_set(F.when(live & loose, F.col("span"))).alias("added"),
     )
+    joined = found.join(verdicts, "key", "left")
     return joined.select(
         F.col("doc_id").alias(id_col),
         "base",
-        F.sort_array(F.concat("base", own)).alias("spans"),
+        F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
     )

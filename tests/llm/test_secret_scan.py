@@ -48,6 +48,9 @@ def test_live_and_example_counts(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: (r.n_live, r.n_example) for r in scan_secrets(df).collect()}
     assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 9: (1, 0)}
+    langs = spark.createDataFrame([(i, f"token=of{n}owners", f"l{i}", "s") for n in (2, 4) for i in range(n)], df.schema)
+    assert {(r.n_live, r.n_example) for r in scan_secrets(langs).where("spans[0].value like '%2%'").collect()} == {(0, 0)}
+    assert {(r.n_live, r.n_example) for r in scan_secrets(langs).where("spans[0].value like '%4%'").collect()} == {(0, 1)}
     assert scan_secrets(df.limit(0)).count() == 0
     assert scan_secrets(df.withColumn("doc_id", F.lit(None).cast("long"))).count() == 5
 
@@ -63,3 +66,44 @@ def test_query_on_the_whole_table(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
     assert text_of is not None
+
+
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}")
+
+
+def all_brute(data):
+    """Spans, live and example counts of rows (text, owner, repository)."""
+    owners, places, found = {}, {}, []
+    for text, owner, place in data:
+        text = text or ""
+        base = brute(text)
+        loose = [(m.start(), 3, m.end()) for m in OPAQUE.finditer(text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        loose = [s for s in loose if all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
+        value = lambda s: ASSIGN.match(text, s[0])[2] if s[1] == 0 else text[s[0] : s[2]]  # noqa: B023, E731
+        found.append((base, loose, {s: value(s) for s in base + loose}))
+        for v in found[-1][2].values():
+            owners.setdefault(v, set()).add(owner)
+            places.setdefault(v, set()).add((owner, place))
+    live = {v for v in owners if len(owners[v]) == len(places[v]) == 1}
+    example = {v for v in owners if len(owners[v]) >= 3 or len(places[v]) >= 4}
+    return [
+        (sorted(base + [s for s in loose if values[s] in live]), sum(v in live for v in values.values()), sum(v in example for v in values.values()))
+        for base, loose, values in found
+    ]
+
+
+def test_spans_and_counts_of_the_whole_table_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = dict(zip([r.doc_id for r in docs], all_brute([(r.text, r.source, r.lang) for r in docs]), strict=True))
+    for r in scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect():
+        assert ([(s.start, s.rank, s.end) for s in r.spans], r.n_live, r.n_example) == want[r.doc_id]
+
+
+def test_long_values_many_hits_and_repeated_ids(spark):
+    """The last character may be what makes a value; hits go on over several passes; ids say nothing about rows."""
+    texts = ["a" * 300 + "B" + "c" * 500 + "7 end", "é token=abcdef " * 1000, "x Aa1" + "b" * 60, "token=zzzzzz", None, "A" * 90 + "1"]
+    data = [(1 if i % 2 else None, t, "en", f"s{i}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    want = sorted(str((d, w)) for (d, *_), w in zip(data, all_brute([(t, s, lang) for _, t, lang, s in data]), strict=True))
+    got = sorted(str((r.doc_id, ([(s.start, s.rank, s.end) for s in r.spans], r.n_live, r.n_example))) for r in scan_secrets(df).collect())
+    assert got == want
