@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,18 +108,25 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
-    """One level of the flight; in each block rows are ordered by size and id, so reruns agree."""
+    """One level of the flight; in each block rows are ordered by size and hash, so reruns agree."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "doc_id", "mixed"], ascending=False, kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng([seed, level, int(block["place"].iloc[0]), int(block["block"].iloc[0])])
-        size = block["size"].to_numpy(float)
-        p = flight(block["p"].to_numpy(float), size, rng)
-        block["p"] = land(p, size) if last else p
-        return block
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("size", "descending"), ("mixed", "descending")])
+        rng = np.random.default_rng([seed, level, block["place"][0].as_py(), block["block"][0].as_py()])
+        size = block["size"].to_numpy().astype(float)
+        p = flight(block["p"].to_numpy(), size, rng)
+        return block.set_column(block.column_names.index("p"), "p", pa.array(land(p, size) if last else p))
 
     shrunk = rows.withColumn("block", F.floor(F.col("block") / FAN_IN)) if level else rows
-    return shrunk.groupBy("place", "block").applyInPandas(run, rows.schema)
+    return shrunk.groupBy("place", "block").applyInArrow(run, rows.schema)
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """``mixed``, a hash that deals rows to blocks: of source, id and text, and of the row where many rows share these."""
+    named = rows.withColumn("mixed", F.xxhash64("place", "doc_id", "mark"))
+    many = named.groupBy("mixed").count().where(F.col("count") > BLOCK // 2).select(F.col("mixed").alias("__many"))
+    salted = F.when(F.col("__many").isNotNull(), F.xxhash64("mixed", "row")).otherwise(F.col("mixed"))
+    return named.join(many, F.col("mixed") == F.col("__many"), "left").withColumn("mixed", salted).drop("__many", "mark", "row")
 
 
 def mix_sources(
@@ -135,12 +142,17 @@ def mix_sources(
 
     ``taken`` is ``size * copies``, at most ``most`` times the size (for an
     integer ``most``).  Rows without words have copies 1 and take nothing.  A
-    null source is the last source; a null text has no words; null ids and
-    repeated rows are sampled as rows of their own.  A source without words has
+    null source is the last source; a null text has no words; rows with null or
+    repeated ids are sampled as rows of their own, and ids of any type pass
+    through unchanged.  A source without words has
     target 0.  An empty table gives an empty result.
     """
     sizes = df.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(text_col).alias("size"),
+        F.xxhash64(text_col).alias("mark"),
+        F.monotonically_increasing_id().alias("row"),
     )
     sizes = materialize(sizes, "mix-sizes")
     named = materialize(source_targets(sizes, weights, most).withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "mix-targets")
@@ -150,9 +162,9 @@ def mix_sources(
     )
     right = named.withColumnRenamed("source", "__source")
     rows = sizes.join(right, F.col("source").eqNullSafe(F.col("__source"))).select(
-        "doc_id", "size", "source_size", "target", "whole", "p", "place", "n_docs",
-        F.xxhash64(F.lit(seed), "place", "doc_id").alias("mixed"),
+        "doc_id", "size", "source_size", "target", "whole", "p", "place", "n_docs", "mark", "row"
     )
+    rows = _salted(rows)
     blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK), F.lit(1))
     rows = rows.withColumn("block", F.pmod(F.col("mixed"), blocks)).drop("n_docs")
     chosen = (F.col("size") > 0) & (F.col("p") > EDGE)

@@ -2,7 +2,9 @@ import re
 
 import numpy as np
 from corpus import SCHEMA, awkward_texts, rows
+from pyspark.sql import functions as F
 
+from fleetscope.llm import source_mix
 from fleetscope.llm.queries import op1_source_mix
 from fleetscope.llm.source_mix import flight, land, mix_sources
 
@@ -55,6 +57,26 @@ def test_awkward_rows(spark):
     assert [(r.target, r.taken) for r in mix_sources(blank).collect()] == [(0.0, 0)] * 3
 
 
+def test_null_and_repeated_ids_beside_large_ones(spark):
+    big = [2**60 + 1, 2**60 + 3, 2**60 + 7]
+    data = [(None, "a b c", "x"), *[(d, "a b " * (i + 1), "x") for i, d in enumerate(big)], (5, "one", "y"), (5, "two words", "y"), (None, "z", "y")]
+    got = mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(d) for d, *_ in data)
+    assert sorted(r.size for r in got if r.doc_id == 5) == [1, 2]
+
+
+def test_many_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BLOCK", 20)
+    data = [(None, "same text here", "x")] * 900 + [(i, "w " * (i % 7 + 1), "y") for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mix_sources(df).collect()
+    target = {r.source_size: r.target for r in got}
+    for size, want in target.items():
+        assert abs(sum(r.taken for r in got if r.source_size == size) - want) <= 7
+    rows_ = df.select("doc_id", "text", F.lit(0).alias("place"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"))
+    assert max(r["count"] for r in source_mix._salted(rows_).groupBy("mixed").count().collect()) <= 10
+
+
 def test_flight_keeps_totals_and_probabilities():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 500, 300).astype(float)
