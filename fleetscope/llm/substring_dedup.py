@@ -1,13 +1,15 @@
-"""Duplicate passages by relative Lempel-Ziv factors over content-defined blocks.
+"""Duplicate passages by relative Lempel-Ziv parsing over content-defined blocks.
 
 Every window of ``WINDOW`` words is anchored at its smallest word 8-gram.  The
 consecutive windows with one anchor form a block, the unit of the reference
-index: its key is the anchor, its content the words of its windows.  A document
-is factored greedily against every indexed block.  A block that occurs again as
-a whole is a factor; all its windows repeat.  Where only the anchor occurs again,
-a factor begins or ends inside the block, so the windows of such boundary
-blocks are compared one by one, against each other and against one occurrence
-of each repeated block.  Equal windows have equal anchors, so none is missed.
+index: its key is the anchor, its content the words of its windows.  Every block
+of the corpus is indexed, and a document is parsed against all of them: a block
+that occurs again as a whole refers to another occurrence, and the greedy parse
+extends a factor over the blocks that follow in text and reference alike.  Where
+only the anchor occurs again, a factor begins or ends inside the block, so the
+windows of such boundary blocks are compared one by one, against each other and
+against one occurrence of each repeated block, and extend the factors up to
+their exact ends.  Equal windows have equal anchors, so none is missed.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import materialize, whole_text
+from fleetscope.llm.common import discard, materialize, row_key, whole_text
 from fleetscope.llm.word_hashes import M1, chunks, hashed_words, mixed, runs
 
 WINDOW = 35
@@ -94,9 +96,6 @@ def index_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, f"key {kind}, start int, windows int, anchor long, content long")
 
 
-RANGES = "array<struct<start:int,windows:int>>"
-
-
 def windows_in(rows: DataFrame) -> DataFrame:
     """``key, start, w1, w2`` (128 bits) for each window in the ``ranges`` of rows ``key, text, ranges``."""
     kind = rows.schema["key"].dataType.simpleString()
@@ -125,14 +124,25 @@ def windows_in(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text", "ranges").mapInArrow(run, f"key {kind}, start int, w1 long, w2 long")
 
 
+REFERENCE = "struct<key:struct<a:bigint,b:bigint>,start:int>"
+RANGES = f"array<struct<start:int,windows:int,reference:{REFERENCE}>>"
+
+
 def _with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """Rows with the ranges of their key."""
-    per_key = ranges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("ranges"))
+    """Rows with the ranges of their key; rows of one key have the same text, so each range is listed once."""
+    columns = [c for c in ("start", "windows", "reference") if c in ranges.columns]
+    per_key = ranges.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(*columns))).alias("ranges"))
     return rows.join(materialize(per_key, "ranges"), "key", how)
 
 
+def _elsewhere() -> Column:
+    """A place of the same content other than the row's own, out of the first and the last one."""
+    own = F.struct("key", "start")
+    return F.when(F.col("first") == own, F.col("last")).otherwise(F.col("first")).alias("reference")
+
+
 def duplicate_windows(rows: DataFrame) -> DataFrame:
-    """``key, start, windows``: ranges of window starts whose words also start elsewhere."""
+    """``key, start, windows, reference``: ranges of window starts whose words also start at the reference."""
     blocks = materialize(index_blocks(rows), "blocks")
     counted = blocks.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")
@@ -141,68 +151,105 @@ def duplicate_windows(rows: DataFrame) -> DataFrame:
         counted.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors"
     )
     met = materialize(blocks.join(anchors, "anchor"), "met-blocks")
+    discard(blocks)
+    place = F.struct("key", "start")
     contents = met.groupBy("anchor", "content", "mixed").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "windows")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.min("windows").alias("windows")
     )
     contents = materialize(contents, "contents")
-    factors = met.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
-        "key", "start", "windows"
-    )
+    repeated = contents.where("n > 1").select("anchor", "content", "first", "last")
+    factors = met.join(repeated, ["anchor", "content"]).select("key", "start", "windows", _elsewhere())
     # One occurrence of every block whose anchor has several contents stands for the rest.
-    boundary = contents.where("mixed").select("first.*")
+    boundary = contents.where("mixed").select("first.key", "first.start", "windows")
     looked_at = windows_in(_with_ranges(rows, boundary, "inner"))
     seen = materialize(looked_at, "boundary-windows")
-    twice = materialize(
-        seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "twice"
-    )
-    edges = seen.join(twice, ["w1", "w2"]).select("key", "start", F.lit(1).alias("windows"))
+    twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    twice = materialize(twice.where("n > 1").drop("n"), "twice")
+    edges = seen.join(twice, ["w1", "w2"]).select("key", "start", F.lit(1).alias("windows"), _elsewhere())
     return factors.unionByName(edges)
 
 
-def covered_words(ranges: list[dict], n_words: int) -> np.ndarray:
-    """Mask of the words under any window of the ranges."""
-    change = np.zeros(n_words + 1, np.int64)
+def greedy_factors(ranges: list[dict]) -> list[tuple[int, int]]:
+    """(first word, words) of the factors of one text, from its sorted ranges.
+
+    A factor begins at the first window that is in no factor yet and goes on,
+    block by block and at its boundaries window by window, as long as the words
+    at its reference go on too; where they end, the next factor begins.
+    """
+    factors: list[list[int]] = []
+    end, follows = -1, None  # the next window, and where it would start in the reference
+    by_start: dict[int, list[dict]] = {}
     for r in ranges:
-        change[r["start"]] += 1
-        change[min(n_words, r["start"] + r["windows"] - 1 + WINDOW)] -= 1
+        by_start.setdefault(r["start"], []).append(r)
+    for start, found in by_start.items():
+        longest = max(r["windows"] for r in found)
+        if start + longest <= end:
+            continue
+        keep = max(0, end - start)
+        ahead = lambda r: (r["reference"]["key"], r["reference"]["start"] + keep)  # noqa: B023, E731
+        able = [r for r in found if start + r["windows"] > max(end, start)]
+        next_ = max(able, key=lambda r: (start <= end and ahead(r) == follows, r["windows"]))
+        windows = next_["windows"] - keep
+        if start <= end and ahead(next_) == follows:
+            factors[-1][1] += windows
+        else:
+            factors.append([start + keep, windows])
+        key, at = ahead(next_)
+        end, follows = start + next_["windows"], (key, at + windows)
+    return [(start, windows + WINDOW - 1) for start, windows in factors]
+
+
+def covered_words(factors: list[tuple[int, int]], n_words: int) -> np.ndarray:
+    """Mask of the words under any factor."""
+    change = np.zeros(n_words + 1, np.int64)
+    for start, words in factors:
+        change[start] += 1
+        change[start + words] -= 1
     return np.cumsum(change[:n_words]) > 0
 
 
 def remove_duplicate_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_words``, ``n_removed``, ``kept_text`` (the kept words joined by one space).
+    """Per row: id, ``n_words``, ``n_removed``, ``n_factors``, ``kept_text`` (the kept words joined by one space).
 
     A word goes if a window of ``WINDOW`` words that covers it also starts
     anywhere else, in the same or another document; all occurrences go.  The
     windows of the input decide, not what is left.  Texts with fewer words, null
-    and empty texts lose nothing.  Ids must name rows: rows that repeat an id are
-    documents of their own in the counts but share their ranges; rows with a
-    null id stay whole.  An empty table gives an empty result.
+    and empty texts lose nothing.  Every row is a document of its own, also
+    where ids repeat or are null: rows are told apart by 128 bits of id and text,
+    and rows equal in both are copies of each other.  An empty table gives an
+    empty result.  Words are compared by 64-bit hashes and windows by 128 bits
+    of these, so two of ``n`` distinct words are taken for one with odds of
+    n^2 / 2^65 (3e-5 for 30 million distinct words).
     """
-    rows = df.select(F.col(id_col).alias("key"), whole_text(text_col).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    marked = _with_ranges(rows, duplicate_windows(rows.where("key is not null")), "left")
-    marked = marked.select("key", "text", F.coalesce("ranges", F.array().cast(RANGES)).alias("ranges"))
+    rows = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = _with_ranges(rows, duplicate_windows(rows), "left")
+    marked = marked.select("id", "text", F.coalesce("ranges", F.array().cast(RANGES)).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 batch = whole.slice(begin, 500)
-                counts, removed, texts = [], [], []
-                for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                counts, removed, n_factors, texts = [], [], [], []
+                for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
                     words = text.as_buffer().to_pybytes().split()
                     counts.append(len(words))
-                    if ranges:
-                        gone = covered_words(ranges, len(words))
+                    factors = greedy_factors(ranges.as_py()) if len(ranges) else []
+                    n_factors.append(len(factors))
+                    if factors:
+                        gone = covered_words(factors, len(words))
                         removed.append(int(gone.sum()))
                         words = [w for w, out in zip(words, gone.tolist(), strict=True) if not out]
                     else:
                         removed.append(0)
                     texts.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["__id", "n_words", "n_removed", "kept_text"],
-                )
+                    [
+                        batch.column(0), *[pa.array(column, pa.int64()) for column in (counts, removed, n_factors)],
+                        pa.array(texts, pa.binary()).cast(pa.string()),
+                    ],
+                    names=["__id", "n_words", "n_removed", "n_factors", "kept_text"],
+                )
 
-    out = marked.mapInArrow(run, f"__id {kind}, n_words long, n_removed long, kept_text string")
+    out = marked.mapInArrow(run, f"__id {kind}, n_words long, n_removed long, n_factors long, kept_text string")
     return out.withColumnRenamed("__id", id_col)
-

@@ -4,8 +4,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from corpus import SCHEMA, awkward_texts, rows
+from oracle import assert_same, connect
 
-from fleetscope.llm.substring_dedup import WINDOW, remove_duplicate_passages, sliding_argmin
+from fleetscope.llm.queries import ORACLES, op5_substring_dedup
+from fleetscope.llm.substring_dedup import WINDOW, greedy_factors, remove_duplicate_passages, sliding_argmin
 
 
 def brute(texts):
@@ -48,7 +50,35 @@ def test_empty_table_and_null_ids(spark):
     assert remove_duplicate_passages(spark.createDataFrame([], SCHEMA)).count() == 0
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, text), (None, text), (1, None)], "doc_id long, text string")
-    assert sorted((r.n_words, r.n_removed) for r in remove_duplicate_passages(df).collect()) == [(0, 0), (40, 0), (40, 0)]
+    assert sorted((r.n_words, r.n_removed) for r in remove_duplicate_passages(df).collect()) == [(0, 0), (40, 40), (40, 40)]
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    long = [f"w{i}" for i in range(300)]
+    texts = [" ".join(long), " ".join(long[:100] + ["other"] + long[101:]), "short one", None, " ".join(long[50:90])]
+    df = spark.createDataFrame(list(zip([1, 2, 1, 3, None], texts, strict=True)), "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.kept_text) for r in remove_duplicate_passages(df).collect())
+    assert got == sorted(brute(dict(enumerate(texts))).values())
+
+
+def test_greedy_factors_follow_their_reference():
+    key, other = {"a": 1, "b": 2}, {"a": 3, "b": 4}
+    at = lambda start, windows, k, ref: {"start": start, "windows": windows, "reference": {"key": k, "start": ref}}
+    ranges = [at(10, 5, key, 100), at(15, 1, other, 7), at(15, 3, key, 105), at(18, 1, key, 108), at(19, 2, other, 30), at(40, 1, key, 0)]
+    assert greedy_factors(ranges) == [(10, 9 + WINDOW - 1), (19, 2 + WINDOW - 1), (40, WINDOW)]
+
+
+def test_factors_of_a_copy(spark):
+    rng = random.Random(9)
+    source = [f"v{rng.randrange(10**9)}" for _ in range(500)]
+    pasted = ["x"] * 3 + source[100:300] + ["y"] + source[350:400]
+    rows_ = [(1, " ".join(source)), (2, " ".join(pasted)), (3, "z " * 10)]
+    got = {r.doc_id: (r.n_removed, r.n_factors) for r in remove_duplicate_passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got == {1: (250, 2), 2: (250, 2), 3: (0, 0)}
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert_same(op5_substring_dedup(spark, sf_dir), ORACLES["op5_substring_dedup"], connect(sf_dir))
 
 
 def test_sliding_argmin():
