@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import materialize, whole_text
+from fleetscope.llm.common import WORD, materialize, row_key, whole_text
 from fleetscope.llm.components import connected_components
 from fleetscope.llm.word_hashes import M1, chunks, hashed_words, mixed, runs
 
@@ -258,39 +258,54 @@ class _Join:
         self.labels = materialize(connected_components(self.links), "labels")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links, itself included).
-
-    Words are compared with A-Z lower-cased.  Two documents link if their sets
-    reach the Jaccard threshold; texts without words link with nothing.  A null
-    text is empty.  Ids name documents: rows that repeat an id share its
-    component, and a null id is a document without links of its own.  An
-    empty table gives an empty result; other columns are ignored.
-    """
-    rows = df.select(F.col(id_col).alias("key"), whole_text(text_col).alias("text"))
+def _resolved(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``key`` (id and 128 bits of the row), ``n`` and ``least``, the smallest key of the component (null without one)."""
+    key = F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"))
+    rows = df.select(key.alias("key"), whole_text(text_col).alias("text"))
     sig = materialize(signatures(rows, frequent_shingles(rows)), "signatures")
-    classes = sig.where("n > 0 and key is not null").groupBy("d1", "d2", "n", "gid").agg(F.min("key").alias("rep"))
+    named_rows = sig.where("n > 0 and key.id is not null")
+    classes = named_rows.groupBy("d1", "d2", "n", "gid").agg(F.min("key").alias("rep"))
     nodes = materialize(classes.select(F.col("d1").alias("node"), "d2", "n", "gid", "rep"), "nodes")
-    join = _Join(rows, nodes, sig.where("key is not null"))
+    join = _Join(rows, nodes, named_rows)
     for k in LEADERS:
         join.leaders(k)
     join.finish()
     named = nodes.withColumn("label", F.col("node"))
     if join.labels is not None:
         named = nodes.join(join.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    resolved = named.join(lowest, "label").select(F.col("node").alias("d1"), "d2", "n", "component_id")
+    lowest = named.groupBy("label").agg(F.min("rep").alias("least"))
+    resolved = named.join(lowest, "label").select(F.col("node").alias("d1"), "d2", "n", "least")
     found = sig.select("key", "n", "d1", "d2").join(resolved, ["d1", "d2", "n"], "left")
-    alone = (F.col("n") == 0) | F.col("key").isNull()
-    return found.select(
-        F.col("key").alias(id_col),
+    alone = (F.col("n") == 0) | F.col("key.id").isNull()
+    return found.select("key", "n", F.when(~alone, F.col("least")).alias("least"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links, itself included).
+
+    Words are compared with A-Z lower-cased.  Two documents link if their sets
+    reach the Jaccard threshold; texts without words link with nothing.  A null
+    text is empty.  Rows that repeat an id are documents of their own, each with
+    the component of its own text; a null id is a document without links, as no
+    id could name its component.  An empty table gives an empty result; other
+    columns are ignored.  Shingles are compared by 64-bit hashes: two of ``n``
+    distinct ones are taken for one with odds of n^2 / 2^65.
+    """
+    return _resolved(df, id_col, text_col).select(
+        F.col("key.id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("least.id", "key.id").alias("component_id"),
     )
 
 
 def one_of_each_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component, and those without words or id."""
-    found = jaccard_components(df, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    """The row of ``df`` with the smallest id of each component, and all rows without words or id.
+
+    Of rows that repeat that id the one with the smallest hash stays, of equal rows any one.
+    """
+    found = _resolved(df, id_col, text_col).where("key = least")
+    stay = found.select(F.col("least.row").alias("__stay")).distinct()
+    alone = F.col(id_col).isNull() | ~whole_text(text_col).rlike(WORD)
+    keyed = df.where(~alone).withColumn("__stay", row_key(id_col, text_col))
+    kept = keyed.join(stay, "__stay", "left_semi").dropDuplicates(["__stay"]).drop("__stay")
+    return kept.unionByName(df.where(alone))

@@ -3,9 +3,11 @@ import re
 
 import pytest
 from corpus import SCHEMA, awkward_texts, rows
+from oracle import assert_same, connect
 
 from fleetscope.llm import ngram_join
 from fleetscope.llm.components import connected_components
+from fleetscope.llm.queries import ORACLES, op10_ngram_join
 from fleetscope.llm.ngram_join import jaccard_components, one_of_each_component
 
 
@@ -78,6 +80,24 @@ def test_isolated_pairs_with_equal_prefixes_link(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("seed,n_words", [(1, 60), (2, 61), (3, 33)])
+def test_single_changes_anywhere_link(spark, seed, n_words):
+    """300 isolated pairs with one word changed at a random place."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for _ in range(300):
+        words = [word() for _ in range(n_words)]
+        changed = list(words)
+        changed[rng.randrange(n_words)] = word()
+        texts += [" ".join(words), " ".join(changed)]
+    data = rows(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(data, SCHEMA)).collect()}
+    pairs = {r[0]: r[1] for r in data}
+    for i in range(0, len(texts), 2):
+        assert {k: got[k] for k in (i, i + 1)} == brute({k: pairs[k] for k in (i, i + 1)})
+
+
 def test_few_leaders_and_shuffled_ids_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEADERS", (1,))
     monkeypatch.setattr(ngram_join, "MOST_IDS", 0)
@@ -93,7 +113,23 @@ def test_empty_null_ids_and_filter(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = sorted((tuple(r) for r in jaccard_components(df).collect()), key=str)
     assert got == sorted([(None, 2, None), (3, 2, 2), (2, 2, 2), (2, 2, 2), (5, 0, 5), (6, 1, 6)], key=str)
-    assert sorted(str(r.doc_id) for r in one_of_each_component(df).collect()) == ["2", "2", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in one_of_each_component(df).collect()) == ["2", "5", "6", "None"]
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Each row goes by its own text, whatever else has its id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    near = lambda text: text.rsplit(" ", 1)[0] + " changed"
+    data = [(7, a), (7, b), (8, near(a)), (9, near(b)), (9, c), (9, c), (2**60 + 1, near(c)), (None, a)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_components(df).collect()), key=str)
+    assert got == sorted([(7, 7), (7, 7), (8, 7), (9, 7), (9, 9), (9, 9), (2**60 + 1, 9), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in one_of_each_component(df).collect()), key=str)
+    assert kept == sorted([(7, a), (7, b), (9, c), (None, a)], key=str)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert_same(op10_ngram_join(spark, sf_dir), ORACLES["op10_ngram_join"], connect(sf_dir))
 
 
 def test_connected_components(spark):
