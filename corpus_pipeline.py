@@ -9,36 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm.byte_bpe import encode_documents
-from fleetscope.llm.common import documents, materialize
+from fleetscope.llm.common import documents, materialize, row_key
 from fleetscope.llm.exact_dedup import drop_exact_duplicates
 from fleetscope.llm.ngram_join import one_of_each_component
-from fleetscope.llm.quality_rules import quality_verdicts
+from fleetscope.llm.quality_rules import good_documents
 from fleetscope.llm.source_mix import mix_sources
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdicts = quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Documents that the quality rules keep; each row is judged by its own text."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shingle links connect."""
+    """One row of each group that shingle links connect."""
     return one_of_each_component(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it; an id that repeats gets its largest number of copies."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
+    """Each row as often as the mixture takes it; rows equal in id, text and source all get their largest number of copies."""
+    keyed = docs.withColumn("__key", row_key("doc_id", "text", "source"))
+    copies = mix_sources(keyed, id_col="__key").groupBy("__key").agg(F.max("copies").alias("__copies"))
+    taken = keyed.join(copies, "__key").where("__copies > 0")
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*docs.columns)
 
 
