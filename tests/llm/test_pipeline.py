@@ -54,3 +54,26 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
     key = lambda rows: sorted((r.doc_id, hashlib.md5(str(r.token_ids).encode()).hexdigest()) for r in rows)
     assert key(corpus_pipeline.run(spark, sf_dir).collect()) == key(coded)
+
+
+def test_stages_judge_rows_not_ids(spark, sf_dir):
+    """Rows of one id with other texts, null ids, and ids above 2^53."""
+    plain = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    big = 2**60 + 3
+    data = [(1, plain(1)), (1, "short"), (None, plain(2)), (None, "tiny"), (big, plain(3)), (big, plain(1)), (5, plain(3)), (None, plain(2))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data], documents(spark, sf_dir).schema)
+    good = stage(spark, docs, sf_dir, 0)
+    assert ids(good) == ids(docs.where("n_chars > 20"))
+    single = stage(spark, good, sf_dir, 1)
+    assert ids(single) == [("1", plain(1)), ("5", plain(3)), ("None", plain(2))]
+    assert ids(stage(spark, single, sf_dir, 2)) == ids(single)
+    mixed = stage(spark, single, sf_dir, 3)
+    assert set(ids(mixed)) <= set(ids(single)) and mixed.columns == docs.columns
+
+
+def stage(spark, docs, sf_dir, k):
+    return corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
+
+
+def ids(df):
+    return sorted((str(r.doc_id), r.text) for r in df.collect())
