@@ -1,553 +1,514 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Every word seen (and the start of a text) is a context with a restaurant of
-its own; all contexts share the root restaurant as parent, whose base measure is
-uniform over the known tokens and one unknown.  Customers are token occurrences,
-a context's tables are customers of the root.  A Gibbs sweep seats all customers
-of every pair anew, given the root's distribution and the context's tables;
-predictive terms are averaged over the sweeps after the burn-in.
-
-The restaurants of frequent contexts and the root are split by word: a task holds a bucket of words with their
-tables in all contexts and in the root, so a sweep only needs bucket state and
-the tables per context, estimated from the bucket's share of words.  The other
-contexts are split by context, each whole in one task; their tables are fixed
-before the root is seated.
-
-A token's score is the back-off of its context and the root term of the word;
-if the pair was seen, a correction is added.  So scoring joins a word's terms by
-word and the corrections by (word, context).  For the first it sends, per chunk of texts, each distinct word with its places to the model's
-partition of that word, and adds the chunk's terms up afterwards.
+Every word seen, and the start of a text, is a context with a restaurant of its
+own; all share the root restaurant as parent, whose base measure is uniform over
+the known tokens and one unknown.  Customers are token occurrences, a context's
+tables are customers of the root.
+
+The sampler is a blocked Gibbs sampler.  The factor of a context's table count T
+in the seating's law is a rising factorial, so it is an integral over a gamma
+variable g: given g ~ Gamma(strength / discount + T) for every context and the
+root's distribution G drawn given the root's seating, the tables of all (context,
+word) pairs are independent, with discount * g(context) * G(word) as the weight
+of a new table.  A sweep therefore seats every pair of the corpus anew, in any
+order and on any machine, without approximating the counts it depends on.
+
+Pairs are dealt to buckets by hash, so a frequent word's pairs spread over all
+buckets; words are dealt to buckets of their own.  In a sweep the pair buckets
+send each word they hold the sums of its tables, and the word buckets send back
+g and G.  Texts are cut into chunks of bounded size; a chunk asks once for each
+of its distinct words and pairs, and gets counts and tables back.  All of these
+messages are compressed blocks of numbers, one per chunk and bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import materialize, whole_text
-from fleetscope.llm.word_hashes import chunks, hashed_words
+from fleetscope.llm.common import discard, materialize, whole_text
+from fleetscope.llm.word_hashes import chunks, hashed_words, mixed
 
 #: Hashes of the end of a text (a token) and of its start (a context only).
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: A frequent context word has at least this share of all training tokens, so there are at most 512 of them.
-CONTEXT_SHARE = 1 / 512
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 3
-#: Words in a bucket of the sampler, and texts in a chunk of the scorer.
-BUCKET_WORDS = 150_000
-CHUNK_TEXTS = 4096
-#: Pairs in a bucket of the sampler of the contexts that are not frequent.
-BUCKET_PAIRS = 1_000_000
-#: Seatings that are proposed after the first.
-PROPOSALS = 3
-#: Texts whose partial sums a scoring task holds at most before it passes them on.
-HELD_TEXTS = 2_000_000
-
-
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, their texts, and the hash of each token's predecessor."""
-    words = hashed_words(column, lower=True)
-    tokens = np.insert(words.hashes, words.first[1:], END)
-    text = np.repeat(np.arange(len(column)), np.diff(words.first) + 1)
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.flatnonzero(np.diff(text, prepend=-1))] = START
-    return tokens, text, before
+#: Bytes of text in a chunk (a longer single text is one), and bytes of all text for a bucket of pairs or of words.
+CHUNK_BYTES, PAIR_BYTES, WORD_BYTES = 16 << 20, 8 << 20, 64 << 20
+#: Pairs of up to so many customers are seated by their exact law.
+EXACT = 512
+#: For others: seatings proposed after the first, and the share of the present customers that one leap adds.
+PROPOSALS, LEAP = 7, 0.15
+#: Pairs of one count that are seated at once.
+ROWS = 4096
+LOW = np.uint64(0xFFFFFFFF)
+SHIFT = np.uint64(32)
 
 
-def _summed(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct key tuples and how often each occurs."""
-    order = np.lexsort(keys[::-1])
-    parts = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in parts])
-    at = np.flatnonzero(new)
-    return [p[at] for p in parts], np.diff(np.append(at, len(order)))
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes, so that small ones take little room."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``w, c``: counts of the tokens of ``text``."""
+def unpack(block: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(block[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(block[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tokens_of(batch.column(0).slice(a, b - a))[0] for a, b in chunks(batch.column(0))]
-            if found:
-                words, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], names=["w", "c"])
 
-    part = rows.select("text").mapInArrow(run, "w long, c long")
-    return part.groupBy("w").agg(F.sum("c").alias("c"))
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def pair_counts(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """``w, u, v, c``: counts of tokens after the context with place ``u`` in ``contexts``, or else (-1) after the word ``v``."""
+def unpack_sorted(block: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unpack(block, kind), dtype=kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(batch.column(0)):
-                tokens, _, before = tokens_of(batch.column(0).slice(a, b - a))
-                place = places_in(contexts, before)
-                (w, u, v), c = _summed(tokens, place, np.where(place < 0, before, np.uint64(0)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.view(np.int64)), pa.array(u.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(c)],
-                    names=["w", "u", "v", "c"],
-                )
 
-    part = rows.select("text").mapInArrow(run, "w long, u int, v long, c long")
-    return part.groupBy("w", "u", "v").agg(F.sum("c").alias("c"))
+# --- seating ---------------------------------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=4)
+def log_stirling(n: int, discount: float) -> np.ndarray:
+    """Logarithms of the generalized Stirling numbers for up to ``n`` customers (row) and tables (column)."""
+    table = np.full((n + 1, n + 2), -np.inf)
+    table[1, 1] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(1, n):
+            stay = np.log(np.maximum(c - discount * np.arange(1, n + 2), 0.0)) + table[c, 1:]
+            table[c + 1, 1:] = np.logaddexp(stay, table[c, :-1])
+    return table
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by eight."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
 
 
-def _one_by_one(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator):
-    """Tables after all customers of each pair sat down in turn, and the log of the product of the normalisers.
+def _matching_strength(customers: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
+    """The strength of a restaurant whose weight of a new table, at its expected number of tables, is ``weight``."""
+    low, high = np.full(len(weight), math.log(1e-9)), np.log(weight + discount)
+    for _ in range(40):
+        middle = (low + high) / 2
+        x = np.exp(middle)  # strength + discount
+        expected = _log_gamma(x - discount + 1) + _log_gamma(x + customers) - _log_gamma(x) - _log_gamma(x - discount + customers)
+        above = expected > np.log(weight)
+        low, high = np.where(above, low, middle), np.where(above, middle, high)
+    return np.exp(low) - discount
 
-    The gap to the next new table is geometric with a beta-distributed chance,
-    so the cost follows tables and not customers.
-    """
-    t, n, z = np.minimum(customers, 1), np.minimum(customers, 1), np.zeros(len(customers))
+
+def _in_turn(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables after the customers of a restaurant of one dish sat down in turn, in leaps once there are many."""
+    n, t = np.ones(len(customers)), np.ones(len(customers))
     k = np.flatnonzero(customers > 1)
     while len(k):
-        left, mass = customers[k] - n[k], n[k] - discount * t[k]
-        chance = np.clip(rng.beta(weight[k], mass), 1e-15, 1 - 1e-15)
-        gap = 1 + np.floor(np.log(1 - rng.random(len(k))) / np.log1p(-chance))
-        step = np.minimum(gap, left).astype(np.int64)
-        z[k] += _log_gamma(weight[k] + mass + step) - _log_gamma(weight[k] + mass)
-        t[k] += gap <= left
-        n[k] += step
+        leap = np.minimum(np.maximum(np.floor(LEAP * n[k]), 1), customers[k] - n[k])
+        weight, middle = strength[k] + discount * t[k], strength[k] + n[k] + (discount - 1) / 2
+        grown = np.where(leap > 1, np.expm1(discount * np.log1p(leap / middle)) / discount, 1 / (strength[k] + n[k]))
+        t[k] += rng.binomial(leap.astype(np.int64), np.minimum(weight * grown / leap, 1.0))
+        n[k] += leap
         k = k[n[k] < customers[k]]
-    return t, z
+    return t
 
 
 def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each pair, all customers seated anew, by their law for a constant weight of a new table.
+    """Tables of each pair, all customers seated anew: P(t) is proportional to weight^t times the Stirling number.
 
-    Seating in turn is the proposal; the product of its normalisers corrects it
-    (independence Metropolis-Hastings).
+    Exact for up to ``EXACT`` customers.  For more, restaurants whose weight of a
+    new table grows with their tables propose; their law differs by a factor in t
+    alone, which corrects (independence Metropolis-Hastings).
     """
-    t, z = _one_by_one(customers, weight, discount, rng)
-    for _ in range(PROPOSALS):
-        other, y = _one_by_one(customers, weight, discount, rng)
-        take = np.log(1 - rng.random(len(z))) < y - z
-        t, z = np.where(take, other, t), np.where(take, y, z)
+    t = np.minimum(customers, 1)
+    several = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    if len(several):
+        law = log_stirling(EXACT, discount)
+        order = several[np.argsort(customers[several], kind="stable")]
+        of = customers[order]
+        # Runs of equal counts, cut so that a block of the law stays small.
+        new = (np.diff(of, prepend=0) != 0) | (np.arange(len(of)) % ROWS == 0)
+        for rows in np.split(order, np.flatnonzero(new)[1:]):
+            c = int(customers[rows[0]])
+            weights = law[c, 1 : c + 1] + np.log(weight[rows])[:, None] * np.arange(1, c + 1)
+            weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+            drawn = rng.random(len(rows)) * weights[:, -1]
+            t[rows] = 1 + np.minimum((weights < drawn[:, None]).sum(axis=1), c - 1)
+    many = np.flatnonzero(customers > EXACT)
+    if len(many):
+        c, w = customers[many], weight[many]
+        strength = _matching_strength(c, w, discount)
+        factor = lambda t: t * np.log(w / discount) - _log_gamma(strength / discount + t)
+        best = _in_turn(c, strength, discount, rng)
+        for _ in range(PROPOSALS):
+            other = _in_turn(c, strength, discount, rng)
+            best = np.where(np.log(1 - rng.random(len(c))) < factor(other) - factor(best), other, best)
+        t[many] = best
     return t
 
 
-def rare_contexts(pairs: DataFrame, counts: DataFrame, n_tokens: int, discount: float, seed: int) -> DataFrame:
-    """``w, v, t, a, b`` for pairs ``w, v, c``: tables at the end, averaged term of the pair and back-off of the context.
+def word_step(customers: np.ndarray, tables: np.ndarray, root: dict, discount: float, rng: np.random.Generator):
+    """Root tables of each word, g of it as a context with ``tables``, and G of it as a word with root ``customers``."""
+    base = 1.0 / (root["known"] + 1)
+    root_tables = seated(customers, np.full(len(customers), discount * root["g"] * base), discount, rng)
+    drawn = rng.gamma(np.maximum(customers - discount * root_tables, 1e-9))
+    new = (STRENGTH + discount * root["tables"]) * base
+    g = rng.gamma(STRENGTH / discount + tables)
+    return root_tables, g, (drawn + new) / (STRENGTH + root["customers"])
 
-    A context is whole in its bucket, so its tables are exact sums.  The root's
-    probability of a word is its share of tokens here; single customers need none.
-    """
-    share = counts.select("w", (F.col("c") / max(n_tokens, 1)).alias("p"))
-    several = pairs.where("c > 1").select("w", "v", "c").join(share, "w")
-    rows = several.unionByName(pairs.where("c = 1").select("w", "v", "c", F.lit(1.0).alias("p")))
-    buckets = max(1, -(-pairs.count() // BUCKET_PAIRS))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, 1, int(part["bucket"].iloc[0])])
-        c, p = part["c"].to_numpy().astype(np.int64), part["p"].to_numpy()
-        _, at = np.unique(part["v"].to_numpy(), return_inverse=True)
-        total, t = np.bincount(at, c), np.ones(len(c), np.int64)
-        many = np.flatnonzero(c > 1)
-        a, b = np.zeros(len(c)), np.zeros(len(total))
-        for sweep in range(BURN_IN + SAMPLES):
-            weight = (STRENGTH + discount * np.bincount(at, t)[at[many]]) * p[many]
-            t[many] = seated(c[many], weight, discount, rng)
-            if sweep >= BURN_IN:
-                a += (c - discount * t) / (STRENGTH + total[at]) / SAMPLES
-                b += (STRENGTH + discount * np.bincount(at, t)) / (STRENGTH + total) / SAMPLES
-        return pd.DataFrame({"w": part["w"], "v": part["v"], "t": t, "a": a, "b": b[at]})
-
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
-    return keyed.groupBy("bucket").applyInPandas(run, "w long, v long, t long, a double, b double")
-
-
-def places_in(contexts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted ``contexts``, -1 where it is none."""
-    place = np.minimum(np.searchsorted(contexts, hashes), len(contexts) - 1)
-    return np.where(contexts[place] == hashes, place, -1)
-
-
-class Restaurants:
-    """Seating of many (restaurant, dish) pairs: the sizes of each pair's tables, kept without gaps."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator):
-        self.c, self.t, self.d, self.rng = customers.astype(np.int64), tables.astype(np.int64), discount, rng
-        self.room = np.minimum(self.c, self.t + 4) + 1
-        self.at = np.concatenate([[0], np.cumsum(self.room)[:-1]]).astype(np.int64)
-        self.sizes = np.zeros(int(self.room.sum()), np.int64)
-        rank = np.arange(len(self.sizes)) - np.repeat(self.at, self.room)
-        self.sizes[rank < np.repeat(self.t, self.room)] = 1
-        some = self.t > 0
-        self.sizes[self.at[some]] += (self.c - self.t)[some]
-
-    def _widen(self, full: np.ndarray) -> None:
-        room = self.room.copy()
-        room[full] *= 2
-        at = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64)
-        sizes = np.zeros(int(room.sum()), np.int64)
-        sizes[np.arange(len(self.sizes)) + np.repeat(at - self.at, self.room)] = self.sizes
-        self.room, self.at, self.sizes = room, at, sizes
-
-    def remove(self, k: np.ndarray) -> np.ndarray:
-        """Take a uniformly chosen customer from each of the distinct pairs ``k``; whether its table is gone."""
-        ends = np.cumsum(self.sizes)
-        first = ends[self.at[k]] - self.sizes[self.at[k]]
-        j = np.searchsorted(ends, first + (self.rng.random(len(k)) * self.c[k]).astype(np.int64), "right")
-        self.sizes[j] -= 1
-        self.c[k] -= 1
-        gone = self.sizes[j] == 0
-        last = self.at[k[gone]] + self.t[k[gone]] - 1
-        self.sizes[j[gone]] = self.sizes[last]
-        self.sizes[last] = 0
-        self.t[k[gone]] -= 1
-        return gone
-
-    def add(self, k: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Seat one customer in each of the distinct pairs ``k``, at a new table with ``weight``; whether it is new."""
-        drawn = self.rng.random(len(k)) * (weight + self.c[k] - self.d * self.t[k])
-        new = (drawn < weight) | (self.t[k] == 0)
-        old = k[~new]
-        ends = np.cumsum(self.sizes - self.d * (self.sizes > 0))
-        first = ends[self.at[old]] - (self.sizes[self.at[old]] - self.d)
-        j = np.searchsorted(ends, first + (drawn - weight)[~new], "right")
-        self.sizes[np.clip(j, self.at[old], self.at[old] + self.t[old] - 1)] += 1
-        opened = k[new]
-        full = opened[self.t[opened] >= self.room[opened]]
-        if len(full):
-            self._widen(full)
-        self.sizes[self.at[opened] + self.t[opened]] = 1
-        self.t[opened] += 1
-        self.c[k] += 1
-        return new
-
-
-def sample_bucket(w, u, c, context_totals, n_tokens, n_known, share, discount, seed):
-    """Averages for one bucket of words.
-
-    Rows with ``u`` -1 are a word's whole count, with -2 its tables in contexts
-    that are not frequent, the others its count in a frequent context.
-    ``share`` is the bucket's part of all words.  Returns the words, their counts
-    and root terms, per (word, context) the context term, and the averaged sums
-    over the bucket of tables by context, root customers and root tables.
+
+def predictive(c, tables_sum, follow, context_tables, customers, root_tables, v, w, roots, discount):
+    """P(word | context) for pairs, averaged over the samples (rows of the three table arrays and of ``roots``).
+
+    ``c`` and ``tables_sum`` (over the samples) belong to pairs, the other counts to words; ``v`` and ``w`` are places of words.
     """
-    rng = np.random.default_rng(seed)
-    words, wi = np.unique(w, return_inverse=True)
-    whole, inside = u == -1, u >= 0
-    total = np.bincount(wi[whole], c[whole], len(words)).astype(np.int64)
-    (tw, tu), place = _distinct_pairs(wi[inside], u[inside])
-    tc = np.bincount(place, c[inside], len(tw)).astype(np.int64)
-    direct = np.bincount(wi[u == -2], c[u == -2], len(words)).astype(np.int64)
-    n_contexts = len(context_totals)
-    base = 1.0 / (n_known + 1)
-
-    t = np.minimum(tc, 1)
-    customers = direct + np.bincount(tw, t, len(words)).astype(np.int64)
-    root_tables = np.minimum(customers, 1)
-
-    def root_draw() -> np.ndarray:
-        """The root's distribution, drawn given its seating (up to the tables of unseen dishes, at their mean)."""
-        drawn = rng.gamma(np.maximum(customers - discount * root_tables, 1e-9))
-        new = (STRENGTH + discount * root_tables.sum() / share) * base
-        return (drawn + new) / (STRENGTH + customers.sum() / share)
-
-    x, a = np.zeros(len(words)), np.zeros(len(tw))
-    sums = np.zeros(n_contexts + 2)
-    for sweep in range(BURN_IN + SAMPLES):
-        tables = np.minimum(np.maximum(np.bincount(tu, t, n_contexts) / share, 1), np.maximum(context_totals, 1))
-        t = seated(tc, (STRENGTH + discount * tables[tu]) * root_draw()[tw], discount, rng)
-        customers = direct + np.bincount(tw, t, len(words)).astype(np.int64)
-        weight = (STRENGTH + discount * root_tables.sum() / share) * base
-        root_tables = seated(customers, np.full(len(words), weight), discount, rng)
-        if sweep >= BURN_IN:
-            x += (customers - discount * root_tables) / SAMPLES
-            a += (tc - discount * t) / SAMPLES
-            sums[:n_contexts] += np.bincount(tu, t, n_contexts) / SAMPLES
-            sums[n_contexts:] += np.array([customers.sum(), root_tables.sum()]) / SAMPLES
-    a /= STRENGTH + context_totals[tu]
-    return words, total, x, tw, tu, a, sums
-
-
-def _distinct_pairs(first: np.ndarray, second: np.ndarray):
-    key = first.astype(np.int64) << 16 | second.astype(np.int64)
-    distinct, place = np.unique(key, return_inverse=True)
-    return (distinct >> 16, distinct & 0xFFFF), place
-
-
-def _ragged(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Binary values cut from one array at ``starts`` (element positions, with the end)."""
-    offsets = pa.py_buffer((starts * values.itemsize).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
-
-
-MODEL = "w long, c long, x double, contexts binary, terms binary, sums binary"
-
-
-class PitmanYor:
-    """A fitted model: the tables of words and of pairs, and the totals, all of which are of bounded size."""
-
-    def __init__(self, words, contexts, context_totals, n_tokens, n_known, discount, sums, pairs):
-        self.pairs = pairs
-        self.words, self.contexts, self.n_tokens, self.n_known, self.discount = words, contexts, n_tokens, n_known, discount
-        n = len(contexts)
-        self.backoff = (STRENGTH + discount * sums[:n]) / (STRENGTH + context_totals)
-        self.root_below = STRENGTH + sums[n]
-        self.root_base = (STRENGTH + discount * sums[n + 1]) / (n_known + 1)
-
-
-def fit(rows: DataFrame, seed: int = 0) -> PitmanYor:
-    """Fit on rows with ``text``."""
-    counts = materialize(word_counts(rows), "lm-words")
-    about = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    n_tokens, n_known, once, twice = map(int, about)
-    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    end = int(END.astype(np.int64))
-    n_texts = (counts.where(F.col("w") == end).select("c").first() or [0])[0]
-    frequent = counts.where((F.col("c") >= max(2, n_tokens * CONTEXT_SHARE)) & (F.col("w") != end)).toArrow()  # at most 512 rows
-    hashes = np.append(frequent.column("w").to_numpy().astype(np.int64).view(np.uint64), START)
-    totals = np.append(frequent.column("c").to_numpy().astype(float), float(n_texts))
-    order = np.argsort(hashes)
-    contexts, totals = hashes[order], totals[order]
-
-    buckets = max(1, -(-n_known // BUCKET_WORDS))
-    pairs = materialize(pair_counts(rows, contexts), "lm-pairs")
-    rare = materialize(rare_contexts(pairs.where("u < 0"), counts, n_tokens, discount, seed), "lm-rare")
-    everything = (
-        counts.select("w", F.lit(-1).alias("u"), "c")
-        .unionByName(rare.groupBy("w").agg(F.sum("t").alias("c")).select("w", F.lit(-2).alias("u"), "c"))
-        .unionByName(pairs.where("u >= 0").select("w", "u", "c"))
-    )
-    keyed = everything.withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int"))
+    seen = (c - discount * tables_sum / len(roots)) / (STRENGTH + follow[v])
+    for T, C, t, root in zip(context_tables, customers, root_tables, roots, strict=True):
+        below = STRENGTH + root["customers"]
+        p = (C - discount * t + (STRENGTH + discount * root["tables"]) / (root["known"] + 1)) / below
+        back = (STRENGTH + discount * T) / (STRENGTH + follow)
+        seen = seen + back[v] * p[w] / len(roots)
+    return seen
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        words, total, x, tw, tu, a, sums = sample_bucket(
-            part["w"].to_numpy(), part["u"].to_numpy(), part["c"].to_numpy(), totals, n_tokens, n_known,
-            1 / buckets, discount, [seed, int(part["bucket"].iloc[0])],
-        )
-        starts = np.searchsorted(tw, np.arange(len(words) + 1))
-        table = pd.DataFrame({"w": words, "c": total, "x": x})
-        table["contexts"] = _ragged(tu.astype(np.uint16), starts).to_pandas()
-        table["terms"] = _ragged(a.astype(np.float32), starts).to_pandas()
-        table["sums"] = None
-        table.loc[0, "sums"] = sums.tobytes()
-        return table
 
-    model = materialize(keyed.groupBy("bucket").applyInPandas(run, MODEL), "lm-model")
-    sums = np.zeros(len(contexts) + 2)
-    for row in model.where("sums is not null").select("sums").toLocalIterator():  # one short row per bucket, added up as they come
-        sums += np.frombuffer(row["sums"])
-    backs = rare.groupBy(F.col("v").alias("w")).agg(F.first("b").alias("b"))
-    words = materialize(model.drop("sums").join(backs, "w", "left"), "lm-terms")
-    return PitmanYor(words, contexts, totals, n_tokens, n_known, discount, sums, rare)
+# --- chunks of texts, and the buckets they ask -----------------------------------------------------------------------
 
+CHUNK = (
+    "chunk long, ids array<long>, lengths binary, held binary, words binary, counts binary, start int, codes binary, bytes long"
+)
+REQUEST = "bucket int, chunk long, keys binary, counts binary"
+INDEX = "bucket int, chunk long, answers binary, keys binary, counts binary, stats array<long>"
 
-REQUEST = "w long, chunk long, keys binary, times binary, ids array<long>, lengths binary"
 
+def _table(schema: str, **columns: list) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    n = len(next(iter(columns.values())))
+    return pa.table({name: pa.array(columns.get(name, [None] * n), kinds[kind]) for name, kind in fields})
 
-def requests(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """Per chunk of texts and distinct word: where it occurs, as text << 16 | context + 1, and how often there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for start in range(0, whole.num_rows, CHUNK_TEXTS):
-                batch = whole.slice(start, CHUNK_TEXTS)
-                parts = [[], []]
-                for a, b in chunks(batch.column(1)):
-                    tokens, text, before = tokens_of(batch.column(1).slice(a, b - a))
-                    key = (text + a).astype(np.uint32) << 16 | (places_in(contexts, before) + 1).astype(np.uint32)
-                    parts[0].append(tokens)
-                    parts[1].append(key)
-                tokens, key = (np.concatenate(p) for p in parts)
-                lengths = np.bincount(key >> 16, minlength=batch.num_rows)
-                (word, key), times = _summed(tokens, key)
-                heads = np.flatnonzero(np.diff(word, prepend=word[:1] + np.uint64(1)))
-                starts = np.append(heads, len(word))
-                n = len(heads)
-                chunk = pa.array(np.full(n, serial))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(word[heads].view(np.int64)), chunk, _ragged(key, starts),
-                        _ragged(np.minimum(times, 2**32 - 1).astype(np.uint32), starts),
-                        pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()),
-                    ],
-                    names=["w", "chunk", "keys", "times", "ids", "lengths"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([serial ^ 0x2545F4914F6CDD1D]), pa.array([serial]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-                        pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([lengths.tobytes()], pa.binary()),
-                    ],
-                    names=["w", "chunk", "keys", "times", "ids", "lengths"],
-                )
-                serial += 1
-
-    return rows.select("key", "text").mapInArrow(run, REQUEST)
-
-
-def pair_requests(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """``w, v, chunk, text, times``: tokens after a word that is no frequent context; chunks are numbered as in ``requests``."""
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts in turn, each with its end, and the number of tokens of each text."""
+    words = hashed_words(column, lower=True)
+    return np.insert(words.hashes, words.first[1:], END), np.diff(words.first) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for start in range(0, whole.num_rows, CHUNK_TEXTS):
-                batch = whole.slice(start, CHUNK_TEXTS)
-                for a, b in chunks(batch.column(1)):
-                    tokens, text, before = tokens_of(batch.column(1).slice(a, b - a))
-                    rare = places_in(contexts, before) < 0
-                    (w, v, t), times = _summed(tokens[rare], before[rare], text[rare] + a)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(w), serial)),
-                            pa.array(t.astype(np.int32)), pa.array(times),
-                        ],
-                        names=["w", "v", "chunk", "text", "times"],
-                    )
-                serial += 1
-
-    return rows.select("key", "text").mapInArrow(run, "w long, v long, chunk long, text int, times long")
-
-
-def corrections(rows: DataFrame, model: PitmanYor) -> DataFrame:
-    """Partial sums per chunk of what seen pairs of the contexts that are not frequent add to the score."""
-    root = (F.col("x") + model.root_base) / model.root_below
-    gains = model.pairs.join(model.words.select("w", "x"), "w").select(
-        "w", "v", F.log10(1 + F.col("a") / (F.col("b") * root)).alias("gain")
-    )
-    found = pair_requests(rows, model.contexts).join(gains, ["w", "v"])
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of about ``CHUNK_BYTES`` of text together."""
+    held, size = [], 0
+    for batch in batches:
+        for a, b in chunks(batch.column("text")):
+            piece = batch.slice(a, b - a)
+            more = piece.column("text").nbytes
+            if held and size + more > CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+            held.append(piece)
+            size += more
+    if held:
+        yield held
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """Chunks of rows ``key, text, held``: tokens as places in the chunk's sorted words, and counts in texts not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            chunk, text, value = (np.concatenate(p) for p in zip(*parts, strict=True))
-            parts.clear()
-            order = np.argsort(chunk, kind="stable")
-            heads = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[:1]] - 1))
-            for of in np.split(order, heads[1:]):
-                line = np.bincount(text[of], value[of], CHUNK_TEXTS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(chunk[of[0]])]), pa.array([line.tobytes()], pa.binary())], names=["chunk", "score"]
-                )
+        for serial, pieces in enumerate(_pieces(batches), TaskContext.get().partitionId() << 32):
+            found = [tokens_of(piece.column("text")) for piece in pieces]
+            lengths = np.concatenate([n for _, n in found])
+            held = np.concatenate([np.asarray(piece.column("held")) for piece in pieces])
+            codes, words = pd.factorize(np.concatenate([*(t for t, _ in found), [START]]))
+            order = np.argsort(words)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words, codes = words[order], rank[codes]
+            counts = np.bincount(codes[:-1], np.repeat(~held, lengths), len(words))
+            counts[codes[-1]] = (~held).sum()
+            yield from _table(
+                CHUNK,
+                chunk=[serial], ids=[[key for piece in pieces for key in piece.column("key").to_pylist()]],
+                lengths=[pack(lengths.astype(np.uint32))], held=[pack(held)], words=[pack_sorted(words)],
+                counts=[pack(counts.astype(np.uint32))], start=[int(codes[-1])], codes=[pack(codes[:-1].astype(np.uint32))],
+                bytes=[sum(piece.column("text").nbytes for piece in pieces)],
+            ).to_batches()
+
+    return rows.select("key", "text", "held").mapInArrow(run, CHUNK)
+
+
+def _requests(chunk: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """One row per bucket of keys that are in the order of their buckets."""
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = [(k, c) for k, c in zip(np.split(keys, heads[1:]), np.split(counts, heads[1:]), strict=True)]
+    return _table(
+        REQUEST, bucket=bucket[heads].tolist(), chunk=[chunk] * len(heads),
+        keys=[pack_sorted(k) for k, _ in parts], counts=[pack(c.astype(np.uint32)) for _, c in parts],
+    )
+
+
+def word_requests(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """The words of each chunk, dealt to ranges of hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk, text, value = (np.asarray(batch.column(n)) for n in ("chunk", "text", "value"))
-            parts.append((chunk, text, value))
-            if sum(len(p[0]) for p in parts) > HELD_TEXTS:
-                yield from passed_on()
-        if parts:
-            yield from passed_on()
-
-    return found.select("chunk", "text", (F.col("gain") * F.col("times")).alias("value")).mapInArrow(
-        run, "chunk long, score binary"
-    )
+            for row in batch.to_pylist():
+                words = unpack_sorted(row["words"], np.uint64)
+                bucket = ((words >> SHIFT) * np.uint64(n_buckets) >> SHIFT).astype(np.int64)
+                yield from _requests(row["chunk"], bucket, words, unpack(row["counts"], np.uint32)).to_batches()
 
+    return texts.select("chunk", "words", "counts").mapInArrow(run, REQUEST)
 
-def score_texts(rows: DataFrame, model: PitmanYor) -> DataFrame:
-    """``key, n_tokens, n_known, base_score, score`` for rows of ``key, text``."""
-    contexts, backoff = model.contexts, np.append(1.0, model.backoff)  # place 0: no context, the root itself
-    below, root_base = model.root_below, model.root_base
-    n_tokens, n_known = model.n_tokens, model.n_known
-    rows = materialize(rows.select("key", "text"), "lm-texts")  # read twice, in the same chunks
-    found = requests(rows, contexts).join(model.words, "w", "left")
-    names = ["chunk", "ids", "lengths", "known", "base", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def passed_on() -> pa.RecordBatch:
-            serials, sums = list(held), list(held.values())
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(serials, pa.int64()), pa.nulls(len(serials), pa.list_(pa.int64())), pa.nulls(len(serials), pa.binary()),
-                    *[pa.array([s[i].tobytes() for s in sums], pa.binary()) for i in range(3)],
-                ],
-                names=names,
-            )
-            held.clear()
-            return out
+def indexed(requests: DataFrame, least: int) -> DataFrame:
+    """Per bucket the sorted keys with a total of ``least`` or more (in the row of chunk -1), and an answer per request.
 
-        for batch in batches:
-            keep = batch.filter(pc.is_valid(batch.column("ids")))
-            if keep.num_rows:
-                empty = pa.nulls(keep.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [keep.column("chunk"), keep.column("ids"), keep.column("lengths"), empty, empty, empty], names=names
-                )
-            batch = batch.filter(pc.is_valid(batch.column("keys")))
-            if not batch.num_rows:
-                continue
-            flat = lambda name, kind: np.frombuffer(b"".join(v or b"" for v in batch.column(name).to_pylist()), kind)
-            size = lambda name, width: np.asarray(pc.binary_length(batch.column(name)).fill_null(0)) // width
-            row = np.repeat(np.arange(batch.num_rows), size("keys", 4))
-            key, times = flat("keys", np.uint32), flat("times", np.uint32).astype(float)
-            text, place = key >> 16, (key & 0xFFFF).astype(np.int64)
-            count = np.asarray(batch.column("c").fill_null(0)).astype(float)
-            root = (np.asarray(batch.column("x").fill_null(0.0)) + root_base) / below
-            term = np.zeros(len(key))
-            of = np.repeat(np.arange(batch.num_rows), size("contexts", 2))
-            if len(of):
-                pairs = of << 16 | (flat("contexts", np.uint16).astype(np.int64) + 1)
-                wanted = row << 16 | place
-                spot = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-                term = np.where(pairs[spot] == wanted, flat("terms", np.float32)[spot].astype(float), 0.0)
-            back = np.log10(np.asarray(batch.column("b").fill_null(1.0)))  # every word stands before one token
-            value = (np.log10(term + backoff[place] * root[row]) + back[row]) * times
-            plain = np.log10((count + 0.1) / (n_tokens + 0.1 * (n_known + 1)))[row] * times
-            chunk = np.asarray(batch.column("chunk"))
-            serials, which = np.unique(chunk, return_inverse=True)
-            slot = which[row] * CHUNK_TEXTS + text
-            wide = len(serials) * CHUNK_TEXTS
-            for i, v in enumerate((times * (count[row] > 0), plain, value)):
-                sums = np.bincount(slot, v, wide).reshape(len(serials), CHUNK_TEXTS)
-                for s, line in zip(serials.tolist(), sums, strict=True):
-                    if s not in held:
-                        held[s] = np.zeros((3, CHUNK_TEXTS))
-                    held[s][i] += line
-            if len(held) * CHUNK_TEXTS > HELD_TEXTS:
-                yield passed_on()
-        if held:
-            yield passed_on()
-
-    partial = found.mapInArrow(run, "chunk long, ids array<long>, lengths binary, known binary, base binary, score binary")
-
-    partial = partial.unionByName(corrections(rows, model), allowMissingColumns=True)
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        listed = part[part["ids"].notna()].iloc[0]
-        n = len(listed["ids"])
-        total = lambda name: sum((np.frombuffer(b)[:n] for b in part[name].dropna()), np.zeros(n))
-        return pd.DataFrame(
-            {
-                "key": pd.array(listed["ids"], "Int64"),
-                "n_tokens": np.frombuffer(listed["lengths"], np.int64),
-                "n_known": np.round(total("known")).astype(np.int64),
-                "base_score": total("base"),
-                "score": total("score"),
-            }
-        )
-
-    return partial.groupBy("chunk").applyInPandas(add, "key long, n_tokens long, n_known long, base_score double, score double")
+    The answer is the total of a key below ``least``, else ``least`` and the key's place.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        keys = [unpack_sorted(r["keys"], np.uint64) for r in rows]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate([unpack(r["counts"], np.uint32) for r in rows])).astype(np.uint64)
+        listed = total >= least
+        answer = np.where(listed, np.uint64(least) + (np.cumsum(listed) - 1).astype(np.uint64), total)[place].astype(np.uint32)
+        ends = np.cumsum([len(k) for k in keys])
+        counted = total[distinct != START]
+        stats = [int((counted > 0).sum()), int(counted.sum()), int((counted == 1).sum()), int((counted == 2).sum()), int(listed.sum())]
+        n = len(rows)
+        return _table(
+            INDEX, bucket=[rows[0]["bucket"]] * (n + 1), chunk=[r["chunk"] for r in rows] + [-1],
+            answers=[pack(a) for a in np.split(answer, ends[:-1])] + [None], keys=[None] * n + [pack_sorted(distinct[listed])],
+            counts=[None] * n + [pack(total[listed])], stats=[None] * n + [stats],
+        )
+
+    return requests.groupBy("bucket").applyInArrow(run, INDEX)
+
+
+def _in_order(part: pa.Table, *where: tuple[str, object]) -> list[dict]:
+    """Rows by bucket."""
+    return sorted((r for r in part.to_pylist() if all(r[c] == v for c, v in where)), key=lambda r: r["bucket"])
+
+
+def _word_ids(rows: list[dict], bits: int) -> np.ndarray:
+    """Ids of a chunk's words (bucket and place there) from the word buckets' answers, in the order of the words."""
+    return np.concatenate([np.uint64(r["bucket"] << bits) | unpack(r["answers"], np.uint32).astype(np.uint64) for r in rows])
+
+
+def _chunk_pairs(chunk: dict, n_buckets: int, ids: np.ndarray):
+    """The chunk's tokens and contexts as places of words, its distinct pairs as tokens refer to them, and the order of buckets."""
+    lengths, codes = unpack(chunk["lengths"], np.uint32).astype(np.int64), unpack(chunk["codes"], np.uint32).astype(np.uint64)
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[np.cumsum(lengths) - lengths] = chunk["start"]
+    local, of = np.unique(before << SHIFT | codes, return_inverse=True)
+    v, w = (local >> SHIFT).astype(np.int64), (local & LOW).astype(np.int64)
+    keys = ids[v] << SHIFT | ids[w]
+    bucket = (mixed(keys) % np.uint64(n_buckets)).astype(np.min_scalar_type(n_buckets))
+    return lengths, codes.astype(np.int64), of, v, w, keys, bucket.astype(np.int64), np.argsort(bucket, kind="stable")
+
+
+def pair_requests(texts: DataFrame, words: DataFrame, bits: int, n_buckets: int) -> DataFrame:
+    """The distinct (context, word) pairs of each chunk, dealt by hash."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = left.to_pylist()[0]
+        lengths, _, of, _, _, keys, bucket, order = _chunk_pairs(chunk, n_buckets, _word_ids(_in_order(right), bits))
+        train = np.repeat(~unpack(chunk["held"], np.bool_), lengths)
+        counts = np.bincount(of, train, len(keys))
+        return _requests(chunk["chunk"], bucket[order], keys[order], counts[order])
+
+    asked = texts.select("chunk", "lengths", "held", "start", "codes").groupBy("chunk")
+    return asked.cogroup(words.where("chunk >= 0").select("chunk", "bucket", "answers").groupBy("chunk")).applyInArrow(run, REQUEST)
+
+
+# --- the sampler -----------------------------------------------------------------------------------------------------
+
+UP = "shard int, bucket int, at binary, sums binary, t binary, tables long, customers long"
+DOWN = "bucket int, shard int, drawn binary, tables binary, total long"
+
+
+def pair_sweep(index: DataFrame, down: DataFrame | None, bits: int, discount: float, seed: list[int]) -> DataFrame:
+    """Seat all pairs of more than one customer; per bucket the tables (shard -1), and for each shard of words their sums."""
+
+    def run(part: pa.Table, messages: pa.Table | None = None) -> pa.Table:
+        row = part.to_pylist()[0]
+        keys, c = unpack_sorted(row["keys"], np.uint64), unpack(row["counts"], np.uint64).astype(np.int64)
+        x = np.unique(np.concatenate([keys >> SHIFT, keys & LOW]))
+        v, w = np.searchsorted(x, keys >> SHIFT), np.searchsorted(x, keys & LOW)
+        t = np.ones(len(c), np.int64)
+        if messages is not None and len(c):
+            sent = sorted(messages.to_pylist(), key=lambda r: r["shard"])
+            g, of_root = np.concatenate([unpack(r["drawn"], np.float32).reshape(2, -1).astype(float) for r in sent], axis=1)
+            t = seated(c, np.maximum(discount * g[v] * of_root[w], 1e-300), discount, np.random.default_rng([*seed, row["bucket"]]))
+        sums = np.stack([np.bincount(k, value, len(x)) for value in (t, c) for k in (v, w)]).astype(np.uint64)
+        shard = (x >> np.uint64(bits)).astype(np.int64)
+        at = x & np.uint64((1 << bits) - 1)
+        heads = np.flatnonzero(np.diff(shard, prepend=-1))
+        n, cuts = len(heads), heads[1:]
+        return _table(
+            UP, shard=[*shard[heads].tolist(), -1], bucket=[row["bucket"]] * (n + 1),
+            at=[*(pack_sorted(a) for a in (np.split(at, cuts) if n else [])), None],
+            sums=[*(pack(s.ravel()) for s in (np.split(sums, cuts, axis=1) if n else [])), None],
+            t=[*[None] * n, pack(t.astype(np.uint64))], tables=[*[None] * n, int(t.sum())], customers=[*[None] * n, int(c.sum())],
+        )
+
+    own = index.where("chunk = -1").select("bucket", "keys", "counts").groupBy("bucket")
+    if down is None:
+        return own.applyInArrow(lambda part: run(part), UP)
+    return own.cogroup(down.where("bucket >= 0").select("bucket", "shard", "drawn").groupBy("bucket")).applyInArrow(run, UP)
+
+
+def word_sweep(words: DataFrame, up: DataFrame, root: dict, discount: float, seed: list[int]) -> DataFrame:
+    """Seat the root and draw; per shard its three table counts (bucket -1), and for each bucket of pairs what was drawn.
+
+    A customer who is alone in its pair has a table of its own, so the sums of
+    the other pairs also say how many of those each word has.
+    """
+
+    def run(part: pa.Table, messages: pa.Table) -> pa.Table:
+        row = part.to_pylist()[0]
+        hashes, c = unpack_sorted(row["keys"], np.uint64), unpack(row["counts"], np.uint64).astype(np.int64)
+        tables, customers = np.where(hashes == END, 0, c), np.where(hashes == START, 0, c)
+        sent = messages.to_pylist()
+        places = [unpack_sorted(r["at"], np.uint64).astype(np.int64) for r in sent]
+        for r, at in zip(sent, places, strict=True):
+            tv, tw, cv, cw = unpack(r["sums"], np.uint64).astype(np.int64).reshape(4, -1)
+            tables[at] += tv - cv
+            customers[at] += tw - cw
+        rng = np.random.default_rng([*seed, row["shard"]])
+        root_tables, g, of_root = word_step(customers, tables, root, discount, rng)
+        kept = np.concatenate([tables, customers, root_tables]).astype(np.uint64)
+        n = len(sent)
+        return _table(
+            DOWN, bucket=[*(r["bucket"] for r in sent), -1], shard=[row["shard"]] * (n + 1),
+            drawn=[*(pack(np.concatenate([g[at], of_root[at]]).astype(np.float32)) for at in places), None],
+            tables=[*[None] * n, pack(kept)], total=[*[None] * n, int(root_tables.sum())],
+        )
+
+    own = words.where("chunk = -1").select(F.col("bucket").alias("shard"), "keys", "counts").groupBy("shard")
+    return own.cogroup(up.where("shard >= 0").select("shard", "bucket", "at", "sums").groupBy("shard")).applyInArrow(run, DOWN)
+
+
+def sampled(words: DataFrame, pairs: DataFrame, root: dict, bits: int, discount: float, seed: int):
+    """The tables of the samples: frames of pair buckets and of shards, and the root's totals."""
+    rng = np.random.default_rng(seed)
+    kept_up, kept_down, roots, down = [], [], [], None
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        up = materialize(pair_sweep(pairs, down, bits, discount, [seed, 1, sweep]), "lm-up")
+        if down is not None:
+            discard(down)
+        totals = up.agg(F.coalesce(F.sum("tables"), F.lit(0)), F.coalesce(F.sum("customers"), F.lit(0))).first()
+        root = root | {"customers": root["tokens"] - totals[1] + totals[0], "g": float(rng.gamma(STRENGTH / discount + root["tables"]))}
+        down = materialize(word_sweep(words, up, root, discount, [seed, 2, sweep]), "lm-down")
+        root = root | {"tables": down.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]}
+        if sweep > BURN_IN:
+            kept_up.append(materialize(up.where("shard = -1").select("bucket", "t"), "lm-pair-tables"))
+            sample = down.where("bucket = -1").select("shard", F.lit(len(roots)).alias("sample"), "tables")
+            kept_down.append(materialize(sample, "lm-word-tables"))
+            roots.append(root)
+        discard(up)
+    discard(down)
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    return union(kept_up), union(kept_down), roots
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------
+
+ANSWER = "chunk long, bucket int, answers binary, counts binary, tables binary"
+SCORES = "key long, n_tokens long, n_known long, base_score double, score double"
+
+
+def pair_answers(pairs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Per chunk and bucket the customers of the requested pairs, and their tables summed over the samples."""
+
+    def run(part: pa.Table, samples: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        c = unpack(next(r["counts"] for r in rows if r["chunk"] == -1), np.uint64)
+        t = sum(unpack(r["t"], np.uint64) for r in samples.to_pylist())
+        c, t = np.concatenate([np.arange(2, dtype=np.uint64), c]), np.concatenate([np.arange(2, dtype=np.uint64) * np.uint64(SAMPLES), t])
+        asked = [(r, unpack(r["answers"], np.uint32)) for r in rows if r["chunk"] >= 0]
+        return _table(
+            ANSWER, chunk=[r["chunk"] for r, _ in asked], bucket=[r["bucket"] for r, _ in asked],
+            counts=[pack(c[a]) for _, a in asked], tables=[pack(t[a]) for _, a in asked],
+        )
+
+    own = pairs.select("bucket", "chunk", "answers", "counts").groupBy("bucket")
+    return own.cogroup(tables.groupBy("bucket")).applyInArrow(run, ANSWER)
+
+
+def word_answers(words: DataFrame, tables: DataFrame) -> DataFrame:
+    """Per chunk and shard the places, counts and sampled tables of the requested words."""
+
+    def run(part: pa.Table, samples: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        c = unpack(next(r["counts"] for r in rows if r["chunk"] == -1), np.uint64)
+        sampled_ = sorted(samples.to_pylist(), key=lambda r: r["sample"])
+        t = np.concatenate([unpack(r["tables"], np.uint64).reshape(3, -1) for r in sampled_])
+        asked = [(r, unpack(r["answers"], np.uint32)) for r in rows if r["chunk"] >= 0]
+        return _table(
+            ANSWER, chunk=[r["chunk"] for r, _ in asked], bucket=[r["bucket"] for r, _ in asked], answers=[r["answers"] for r, _ in asked],
+            counts=[pack(c[a]) for _, a in asked], tables=[pack(t[:, a].ravel()) for _, a in asked],
+        )
+
+    own = words.select("bucket", "chunk", "answers", "counts").groupBy("bucket")
+    return own.cogroup(tables.withColumnRenamed("shard", "bucket").groupBy("bucket")).applyInArrow(run, ANSWER)
+
+
+def scored(texts: DataFrame, of_words: DataFrame, of_pairs: DataFrame, roots: list[dict], bits: int, n_buckets: int, discount: float) -> DataFrame:
+    """``SCORES`` of every text."""
+    n_tokens, n_known = roots[0]["tokens"], roots[0]["known"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = left.to_pylist()[0]
+        word_rows, pair_rows = _in_order(right, ("kind", 0)), _in_order(right, ("kind", 1))
+        lengths, codes, of, v, w, _, _, order = _chunk_pairs(chunk, n_buckets, _word_ids(word_rows, bits))
+        number = lambda rows, name: np.concatenate([unpack(r[name], np.uint64) for r in rows]).astype(float)
+        count = number(word_rows, "counts")
+        T = np.concatenate([unpack(r["tables"], np.uint64).reshape(3 * len(roots), -1) for r in word_rows], axis=1).astype(float)
+        c, t = np.empty(len(v)), np.empty(len(v))
+        c[order], t[order] = number(pair_rows, "counts"), number(pair_rows, "tables")
+        p = predictive(c, t, count, T[0::3], T[1::3], T[2::3], v, w, roots, discount)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        count[chunk["start"]] = 0  # a context only
+        plain = np.log10((count + 0.1) / (n_tokens + 0.1 * (n_known + 1)))
+        total = lambda values: np.bincount(text, values, len(lengths)).tolist()
+        return _table(
+            SCORES, key=chunk["ids"], n_tokens=lengths.tolist(), n_known=[round(k) for k in total((count > 0)[codes])],
+            base_score=total(plain[codes]), score=total(np.log10(p)[of]),
+        )
+
+    answers = of_words.withColumn("kind", F.lit(0)).unionByName(of_pairs.withColumn("kind", F.lit(1)))
+    asked = texts.select("chunk", "ids", "lengths", "start", "codes").groupBy("chunk")
+    return asked.cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORES)
+
+
+def score_texts(rows: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """``SCORES`` of rows ``key, text, held`` under the model of those not held, and the number of their tokens."""
+    texts = materialize(chunked(rows), "lm-chunks")
+    size = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    n_shards, n_buckets = 1 + size // WORD_BYTES, 1 + size // PAIR_BYTES
+    words = materialize(indexed(word_requests(texts, n_shards), 0), "lm-words")
+    stats = words.where("stats is not null").agg(
+        *[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4)], F.coalesce(F.max(F.col("stats")[4]), F.lit(1))
+    )
+    n_known, n_tokens, once, twice, largest = map(int, stats.first())
+    bits = max(1, int(largest).bit_length())
+    if n_shards << bits > 1 << 32:
+        raise ValueError("more than 2^32 places for distinct words")
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+    pairs = materialize(indexed(pair_requests(texts, words, bits, n_buckets), 2), "lm-pairs")
+    root = {"known": n_known, "tokens": n_tokens, "tables": n_known}
+    pair_tables, word_tables, roots = sampled(words, pairs, root, bits, discount, seed)
+    found = scored(texts, word_answers(words, word_tables), pair_answers(pairs, pair_tables), roots, bits, n_buckets, discount)
+    return found, n_tokens
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -555,20 +516,21 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document is held out if crc32 of its id as text is a multiple of 10; the
     model learns from all others.  ``score`` is the model's log10 probability of
-    the tokens and the end of the text; ``base_score`` is that of a unigram
-    count with 0.1 added.  Null and empty texts consist of the end only.  A
-    null id counts as training.  Repeated rows each count and get a row.  An
-    empty table gives an empty result.  Ids are 64-bit integers.
+    the tokens and the end of the text, each token's probability averaged over
+    the samples; ``base_score`` is that of a unigram count with 0.1 added.  Null
+    and empty texts consist of the end only.  A null id counts as training.
+    Repeated rows each count and get a row.  An empty table gives an empty
+    result.  Ids are 64-bit integers.  A text must fit in a task's memory.
     """
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
-    rows = df.select(F.col(id_col).cast("long").alias("key"), whole_text(text_col).alias("text"), held_out.alias("held_out"))
-    model = fit(rows.where(~F.col("held_out")), seed)
-    return score_texts(rows, model).select(
+    held_out = lambda key: F.coalesce(F.crc32(key.cast("string")) % 10 == 0, F.lit(False))
+    rows = df.select(F.col(id_col).cast("long").alias("key"), whole_text(text_col).alias("text"), held_out(F.col(id_col)).alias("held"))
+    found, n_tokens = score_texts(rows, seed)
+    return found.select(
         F.col("key").alias(id_col),
-        F.coalesce(F.crc32(F.col("key").cast("string")) % 10 == 0, F.lit(False)).alias("held_out"),
+        held_out(F.col("key")).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        F.lit(n_tokens).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )
