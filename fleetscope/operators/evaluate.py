@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetscope.operators.scoring import ranked_quantiles
+from fleetscope.operators.windows import running_sums
+
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, truth: Column) -> DataFrame:
     """Positives and negatives per distinct score."""
@@ -22,15 +25,10 @@ def detection_metrics(df: DataFrame, by: Sequence[str], score: str, truth: Colum
     thresholds.  Of equal F1 the lowest threshold is taken.  Groups without
     both classes have null metrics.
     """
-    counts = score_counts(df, by, score, truth)
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    curve = (
-        counts.withColumn("tp", F.sum("pos").over(down))
-        .withColumn("fp", F.sum("neg").over(down))
-        .withColumn("P", F.sum("pos").over(whole))
-        .withColumn("N", F.sum("neg").over(whole))
-    )
+    counts = score_counts(df, by, score, truth).withColumn("minus", -F.col("score"))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    curve = running_sums(counts, by, ["minus"], ["pos", "neg"]).join(totals, list(by))
+    curve = curve.withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
     precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = F.try_divide(F.col("tp"), F.col("P"))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")), F.lit(0.0))
@@ -63,7 +61,7 @@ def threshold_metrics(df: DataFrame, by: Sequence[str], predicted: Column, truth
 
 def normal_threshold(df: DataFrame, by: Sequence[str], score: str, normal: Column, share: float = 0.95) -> DataFrame:
     """The share's percentile of normal scores; scores above it are alarms."""
-    return df.where(normal).groupBy(*by).agg(F.percentile(F.col(score), F.lit(share)).alias("threshold"))
+    return ranked_quantiles(df.where(normal), by, score, [share]).select(*by, F.col("q")[0].alias("threshold"))
 
 
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: Column, name: str = "island") -> DataFrame:

@@ -11,35 +11,38 @@ from fleetscope.functions.numbers import robust_z
 from fleetscope.operators.windows import numbered_at_scale
 
 
-def robust_stats(df: DataFrame, by: Sequence[str], value: str, method: str = "percentile") -> DataFrame:
+def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Per group: n and ``q``, the interpolated quantiles, from the few rows next to each of them."""
+    clean = df.where(F.col(value).isNotNull()).select(*by, value)
+    ranked = numbered_at_scale(clean, by, [value], "__at")
+    counts = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    gaps = [F.abs(F.col("__at") - F.lit(s) * (F.col("n") - 1)) for s in shares]
+    near = gaps[0] < 1
+    for gap in gaps[1:]:
+        near = near | (gap < 1)
+    few = ranked.join(counts, list(by)).where(near)
+    sums = [F.sum(F.greatest(1 - gap, F.lit(0.0)) * F.col(value)) for gap in gaps]
+    return few.groupBy(*by, "n").agg(F.array(*sums).alias("q")).select(*by, "n", "q")
+
+
+def robust_stats(df: DataFrame, by: Sequence[str], value: str, method: str = "ranked") -> DataFrame:
     """Per group: n, ``med`` and ``iqr`` with linear interpolation.
 
+    ``ranked`` numbers the rows of all groups over range partitions and keeps
+    the few that the quantiles need, so the size of a group does not matter.
     ``percentile`` counts distinct values of a group in one buffer, which suits
-    any number of moderate groups.  ``ranked`` numbers the rows of all groups
-    over range partitions and keeps the few that the quantiles need, so the
-    size of a group does not matter.
+    many moderate groups.
     """
-    clean = df.where(F.col(value).isNotNull())
+    shares = (0.25, 0.5, 0.75)
     if method == "percentile":
-        quartiles = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), quartiles.alias("__q"))
-        return stats.select(*by, "n", F.col("__q")[1].alias("med"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr"))
-    if method != "ranked":
+        clean = df.where(F.col(value).isNotNull())
+        quartiles = F.percentile(F.col(value), F.array(*[F.lit(s) for s in shares]))
+        found = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), quartiles.alias("q"))
+    elif method == "ranked":
+        found = ranked_quantiles(df, by, value, shares)
+    else:
         raise ValueError(f"unknown method {method}")
-    ranked = numbered_at_scale(clean.select(*by, value), by, [value], "__at")
-    counts = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    placed = ranked.join(counts, list(by))
-
-    def quantile(share: float) -> Column:
-        spot = F.lit(share) * (F.col("n") - 1)
-        weight = F.greatest(1 - F.abs(F.col("__at") - spot), F.lit(0.0))
-        return F.sum(weight * F.col(value))
-
-    near = [F.abs(F.col("__at") - F.lit(s) * (F.col("n") - 1)) < 1 for s in (0.25, 0.5, 0.75)]
-    few = placed.where(near[0] | near[1] | near[2])
-    return few.groupBy(*by, "n").agg(
-        quantile(0.5).alias("med"), (quantile(0.75) - quantile(0.25)).alias("iqr")
-    ).select(*by, "n", "med", "iqr")
+    return found.select(*by, "n", F.col("q")[1].alias("med"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 def z_scores(df: DataFrame, stats: DataFrame, by: Sequence[str], value: str, floor: float = 1e-8) -> DataFrame:

@@ -36,6 +36,24 @@ def numbered_at_scale(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return placed.withColumn(name, (F.col("__in") + F.col("__before")).cast("long")).drop("__part", "__in", "__before")
 
 
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: Sequence[str]) -> DataFrame:
+    """Adds ``run_<value>``, the sum of each value over the rows of the group up to this one.
+
+    For groups too large for one task: rows are range-partitioned by group and
+    order, and each part adds the group's sums in the parts before.
+    """
+    keys = [F.col(c) for c in by]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("__part", *by).agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    offsets = parts.select("__part", *by, *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
+    sums = ranged.select("*", *[F.sum(v).over(inside).alias(f"run_{v}") for v in values]).join(offsets, ["__part", *by])
+    added = [(F.col(f"run_{v}") + F.col(f"__{v}")).alias(f"run_{v}") for v in values]
+    return sums.select(*df.columns, *added)
+
+
 def count_windows(df: DataFrame, session: Sequence[str], seq: str, value: Column, width: int, stride: int) -> DataFrame:
     """Full windows of ``width`` rows that start every ``stride`` rows and never cross a session.
 
@@ -85,11 +103,11 @@ def future_values(windows: DataFrame, session: Sequence[str], k: str, x: str, st
 
 def chronological_split(df: DataFrame, client: Sequence[str], order: Sequence[str], fit: float = 0.70, calib: float = 0.15) -> DataFrame:
     """Adds ``split``: by order, the first ``fit`` share, the next ``calib`` share, the rest for test."""
-    whole = Window.partitionBy(*client)
-    placed = numbered(df, client, order, "__place").withColumn("__n", F.count(F.lit(1)).over(whole))
+    sizes = df.groupBy(*client).agg(F.count(F.lit(1)).alias("__n"))
+    placed = numbered_at_scale(df, client, order, "__place").join(sizes, list(client))
     n_fit, n_calib = share_of(F.col("__n"), fit), share_of(F.col("__n"), calib)
     name = F.when(F.col("__place") < n_fit, "fit").when(F.col("__place") < n_fit + n_calib, "calib").otherwise("test")
-    return placed.withColumn("split", name).drop("__place", "__n")
+    return placed.withColumn("split", name).select(*df.columns, "split")
 
 
 def hashed_split(df: DataFrame, strata: Sequence[str], key: str, train: float = 0.70, seed: int = 42) -> DataFrame:

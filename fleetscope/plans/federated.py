@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from fleetscope.functions import vectors as V
@@ -78,9 +81,16 @@ def fed03_l2(spark, sf_dir):
     return pair_table(spark, sf_dir, "l2").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@register("fed03_hyperbolic_agreement")
+@register("fed03_hyperbolic_agreement", f"""
+    WITH {PAIRS}, len AS (SELECT *, greatest(sqrt(list_dot_product(vec, vec)), 1e-5) AS l FROM pn),
+    bent AS (SELECT pid, client, node, list_transform(vec, lambda x: x * tanh(l) / l) AS vec FROM len),
+    ball AS (SELECT pid, client, node, list_transform(vec, lambda x: x * least(1.0, (1 - 1e-5) / greatest(sqrt(list_dot_product(vec, vec)), 1e-5))) AS vec FROM bent)
+    SELECT a.pid AS a, b.pid AS b, round(-avg(acosh(greatest(1.0, 1 + 2 * list_sum(list_transform(range(1, 9), lambda k: pow(a.vec[k] - b.vec[k], 2)))
+               / greatest((1 - list_dot_product(a.vec, a.vec)) * (1 - list_dot_product(b.vec, b.vec)), 1e-12)))), 5) AS sim
+    FROM ball a JOIN ball b ON a.node = b.node AND a.pid < b.pid AND a.client <> b.client GROUP BY ALL
+""")
 def fed03_poincare(spark, sf_dir):
-    return pair_table(spark, sf_dir, "poincare").select("a", "b", "sim")
+    return pair_table(spark, sf_dir, "poincare").select("a", "b", F.round("sim", 5).alias("sim"))
 
 
 @register("jon03_similar_pairs", f"WITH {PAIRS} SELECT a, b FROM lk")
@@ -148,13 +158,34 @@ def fed08(spark, sf_dir):
     return inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("sim"), 6).alias("sim"))
 
 
-@register("fed09_personal_slots")
-def fed09(spark, sf_dir):
+PERSONAL = f"""
+    {COMPONENTS}, sh AS (SELECT cluster FROM cl GROUP BY cluster HAVING count(*) > 1 QUALIFY row_number() OVER (ORDER BY count(*) DESC, cluster) <= 2),
+    us AS (SELECT pid AS gid, client, (pid * 7 % 11 + 1)::DOUBLE AS n FROM pr),
+    fr AS (SELECT gid, client, n / greatest(max(n) OVER (PARTITION BY client), 1) AS freq, gid IN (SELECT gid FROM cl WHERE cluster IN (FROM sh)) AS taken FROM us),
+    rv AS (SELECT gid, max(sim) AS rival FROM (SELECT a AS gid, b AS other, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs)
+           WHERE other IN (SELECT gid FROM fr WHERE NOT taken) GROUP BY gid),
+    ut AS (SELECT client, gid, taken, freq, CASE WHEN NOT taken THEN freq - coalesce(rival, 0) END AS utility FROM fr LEFT JOIN rv USING (gid)),
+    sl AS (SELECT client, gid, taken, utility, row_number() OVER (PARTITION BY client ORDER BY taken, coalesce(utility, freq) DESC, gid) - 1 AS slot FROM ut)"""
+
+
+def personal(spark, sf_dir):
     pairs, _, members = linked(spark, sf_dir)
     protos = prototype_nodes(spark, sf_dir)
     used = prototypes(spark, sf_dir).select("gid", (F.col("gid") * 7 % 11 + 1).alias("n"))
     shared = federation.shared_prototypes(protos, members, 2)
-    return federation.personal_slots(protos, members, pairs, used, shared, 3)
+    out = federation.personal_slots(protos, members, pairs, used, shared, 3)
+    return out.select("client", F.col("slot").cast("long").alias("slot"), "gid", F.round("utility", 6).alias("utility"))
+
+
+@register("fed09_personal_slots", f"WITH RECURSIVE {PERSONAL} SELECT client, slot, gid, round(utility, 6) AS utility FROM sl WHERE slot < 3")
+def fed09(spark, sf_dir):
+    return personal(spark, sf_dir)
+
+
+@register("srt03_unshared_by_utility", f"WITH RECURSIVE {PERSONAL} SELECT client, slot, gid FROM sl WHERE slot < 3 AND NOT taken")
+def srt03(spark, sf_dir):
+    """The slots that unshared prototypes take, by utility; the padding by use comes behind them."""
+    return personal(spark, sf_dir).where("utility is not null").select("client", "slot", "gid")
 
 
 @register("fed10_capacity_clusters")
@@ -248,12 +279,66 @@ def skw01(spark, sf_dir):
     return out.groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@register("skw02_scenario_skew")
+def drawn(values: dict) -> str:
+    """A seeded draw per client as rows of a VALUES list."""
+    return ", ".join(f"({c}, {v!r}::DOUBLE)" for c, v in values.items())
+
+
+SHARES = dict(zip(range(4), np.random.default_rng(42).dirichlet([0.5] * 4).tolist(), strict=True))
+
+
+@register("skw01_dirichlet_skew", f"""
+    WITH {EVENTS}, sh(client, share) AS (VALUES {drawn(SHARES)}),
+    b AS (SELECT client, greatest(20, floor(share * (SELECT count(*) FROM ev)))::BIGINT AS budget FROM sh),
+    r AS (SELECT ev.*, row_number() OVER (PARTITION BY client ORDER BY t_us, event_id) - 1 AS p FROM ev)
+    SELECT client, count(*) AS n, min(event_id) AS first_id FROM r JOIN b USING (client) WHERE p < budget GROUP BY client
+""")
+def skw01_dirichlet(spark, sf_dir):
+    """Budgets drawn from a symmetric Dirichlet law with a fixed seed; a client has at most the rows it holds."""
+    rows = stored(telemetry(spark, sf_dir), "telemetry")
+    budgets = skew.dirichlet_budgets(range(4), rows.count(), alpha=0.5, least=20, seed=42)
+    out = skew.take_slices(rows, spark.createDataFrame(list(budgets.items()), "client long, budget long"), "client", ["t_us", "event_id"])
+    return out.groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@register("skw02_scenario_skew", f"""
+    WITH {EVENTS}, sh(client, share) AS (VALUES {drawn(skew.beta_shares(range(4), 0.5))}),
+    s AS (SELECT client, CASE WHEN session % 2 = 0 THEN 'inside' ELSE 'outside' END AS scenario, count(*) AS available FROM ev GROUP BY ALL),
+    w AS (SELECT client, scenario, available, least(floor(sum(available) OVER (PARTITION BY client) / 2
+              * CASE WHEN scenario = 'inside' THEN share ELSE 1 - share END), available) AS wanted FROM s JOIN sh USING (client))
+    SELECT client, scenario, available, (CASE WHEN wanted >= 20 THEN wanted ELSE 0 END)::BIGINT AS taken FROM w
+""")
 def skw02(spark, sf_dir):
     rows = telemetry(spark, sf_dir).withColumn("scenario", F.when(F.col("session") % 2 == 0, "inside").otherwise("outside"))
     return skew.scenario_mix(rows, "client", "scenario", "inside", ["t_us", "event_id"], alpha=0.5, seed=42)
 
 
+@register("fed12_averaging_mode", f"""
+    WITH {PARAMS}, a AS (SELECT name, idx, sum(n * value) / sum(n) AS value FROM pm JOIN cn USING (client) GROUP BY ALL)
+    SELECT pm.client, name, idx, round(CASE WHEN name = 'steps' THEN trunc(round(a.value, 6)) ELSE a.value END, 5) AS value,
+           round(pm.value - a.value, 5) AS drift FROM pm JOIN a USING (name, idx)
+""")
+def fed12(spark, sf_dir):
+    """Averaging mode: every client's parameters are replaced by the weighted mean of all; ``drift`` is what it gives up."""
+    params, counts = parameters(spark, sf_dir)
+    mean = federation.average_parameters(params, counts).withColumnRenamed("value", "mean")
+    whole = F.when(F.col("name") == "steps", F.col("mean").cast("long").cast("double")).otherwise(F.col("mean"))
+    return params.join(mean, ["name", "idx"]).select(
+        "client", "name", "idx", F.round(whole, 5).alias("value"), F.round(F.col("value") - F.col("mean"), 5).alias("drift")
+    )
+
+
+@register("set03_prototype_bank", f"""
+    WITH {EMBEDDED} SELECT client, m, count(*) AS cells, round(sum(x), 6) AS total FROM (SELECT client, m, unnest(pv) AS x FROM pr) GROUP BY ALL
+""")
+def set03(spark, sf_dir):
+    """The clients' prototypes put behind each other, without alignment."""
+    each = [prototypes(spark, sf_dir).where(F.col("client") == c).select("client", "m", "z") for c in range(4)]
+    bank = functools.reduce(lambda a, b: a.unionByName(b), each)
+    cells = bank.select("client", "m", F.explode(F.flatten("z")).alias("x"))
+    return cells.groupBy("client", "m").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("x"), 6).alias("total"))
+
+
 @register("enc01_linear_encoder")
 def enc01(spark, sf_dir):
     return training.linear_encoder(embedded(spark, sf_dir).select(F.col("vec_id").alias("key"), F.col("v").alias("vec")), 4)

@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder for a local session and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="fleetscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _FOLDERS.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fleetscope-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
