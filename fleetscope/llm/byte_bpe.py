@@ -29,6 +29,14 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
+def concatenated(parts: list[bytes]) -> bytes:
+    """Concatenation as the decoder's monoid: leaves of ``LEAF`` tokens, then neighbours pairwise up to the root."""
+    parts = [b"".join(parts[i : i + LEAF]) for i in range(0, len(parts), LEAF)]
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else b""
+
+
 class TreeBPE:
     """Encoder and decoder for one set of ranks; all 256 single bytes must be tokens."""
 
@@ -144,8 +152,8 @@ class TreeBPE:
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of all tokens; concatenation is the decoder's monoid."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of all tokens, concatenated up the tree."""
+        return concatenated(list(map(self.bytes_of.__getitem__, ids)))
 
 
 _ENCODERS: dict[str, TreeBPE] = {}
@@ -196,7 +204,7 @@ def decode_documents(df: DataFrame, ranks_path: str, ids_col: str = "token_ids")
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {rank: token for token, rank in read_ranks(raw.value).items()}
         for batch in batches:
-            found = [b"".join(map(table.__getitem__, ids or ())) for ids in batch.column(at).to_pylist()]
+            found = [concatenated([table[i] for i in ids or ()]) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=names)
 
     return df.mapInArrow(decode, schema)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -7,7 +8,8 @@ from corpus import SCHEMA, awkward_texts, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fleetscope.llm.byte_bpe import TreeBPE, decode_documents, encode_documents, read_ranks
+from fleetscope.llm.byte_bpe import LEAF, TreeBPE, concatenated, decode_documents, encode_documents, read_ranks
+from fleetscope.llm.queries import op2_byte_bpe
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = read_ranks(open(RANKS_PATH, "rb").read())
@@ -48,3 +50,21 @@ def test_documents(spark):
     again = decode_documents(coded.drop("decoded"), RANKS_PATH)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in again.collect())
     assert encode_documents(df.limit(0), RANKS_PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_concatenation_up_the_tree():
+    rng = random.Random(4)
+    for n in (0, 1, LEAF, LEAF + 1, 5 * LEAF, 1000):
+        parts = [bytes(rng.randrange(256) for _ in range(rng.randrange(4))) for _ in range(n)]
+        assert concatenated(parts) == b"".join(parts)
+
+
+def test_query_columns(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = op2_byte_bpe(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ids = EXACT.encode_ordinary(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
