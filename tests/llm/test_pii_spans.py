@@ -50,6 +50,37 @@ def test_entities_with_words_of_letters_are_one_candidate():
             assert (len(before), kind, len(before) + len(entity)) in [*base, *crf_spans(weights, text, base)], text
 
 
+def test_documents_addresses_and_names():
+    weights = trained_weights()
+    for text, entity, kind in [
+        ("her passport P4830192 has run out", "P4830192", 6),
+        ("he lives 221 Baker Street since May", "221 Baker Street", 7),
+        ("signed Dr. Maria Lopez in haste", "Dr. Maria Lopez", 8),
+    ]:
+        at = text.index(entity)
+        assert crf_spans(weights, text, base_spans(text)) == [(at, kind, at + len(entity))], text
+    for text in ("the item KM202131 is sold out", "12 Grand Royal trains left", "Mr and Mrs went home", "in 1984 Orwell wrote"):
+        assert crf_spans(weights, text, base_spans(text)) == [], text
+
+
+def test_long_texts_take_time_in_proportion():
+    """Many base spans and one long unbroken stretch; twice the text takes about twice the time."""
+    import time
+
+    weights = trained_weights()
+
+    def seconds(n):
+        text = "mail a.b@c.de or 555-123-4567 now " * n + "1-" * n + "x" * 50 * n
+        began = time.process_time()
+        base = base_spans(text)
+        found = crf_spans(weights, text, base)
+        assert len(base) >= n and len(found) >= n
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(4000) < 6 * seconds(1000) + 0.5
+
+
 def test_query_and_awkward_rows(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in op6_pii_spans(spark, sf_dir).collect():
