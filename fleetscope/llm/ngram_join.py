@@ -10,7 +10,8 @@ the size and overlap bounds are verified on the whole sets.
 As the result is a component per document, pairs that earlier links already
 connect need no verification.  Rounds therefore compare the members of every
 shared element with a few leaders first; the last round compares all pairs that
-are still in different components, so no link between components is missed.
+are still in different components, so no link between components is missed.  It
+comes as soon as its pairs, which are counted beforehand, are few.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ FREQUENT = 3
 MOST_FREQUENT = 1_000_000
 #: Leaders per shared element in the first rounds.
 LEADERS = (1, 8, 64)
+#: The last round comes at once if it compares at most so many pairs for each node of a shared element.
+FEW = 8
 #: Document ids that are broadcast at most; more are joined by shuffle.
 MOST_IDS = 1_000_000
 
@@ -191,47 +194,52 @@ class _Join:
         open_items = rows.groupBy("item").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("item")
         return rows.join(open_items, "item").select("item", "own", "node", "n", "label")
 
-    def _pairs(self, rows: DataFrame, chosen: DataFrame, exact: bool) -> DataFrame:
+    def _pairs(self, rows: DataFrame, chosen: DataFrame, every: bool) -> DataFrame:
         """Pairs of a chosen node and another of the same element, with bounds applied."""
         left = chosen.select("item", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
         met = rows.join(left, "item").where((F.col("label") != F.col("lx")) & _sizes_fit(F.col("n"), F.col("nx")))
         first = F.col("node") < F.col("x")
+        if every:  # where both nodes are chosen, the pair comes from one side only
+            met = met.where((F.col("label") == F.col("top")) | first)
         pairs = met.select(
-            "item",
             "own",
             F.least("node", "x").alias("a"),
             F.greatest("node", "x").alias("b"),
             F.when(first, F.col("n")).otherwise(F.col("nx")).alias("na"),
             F.when(first, F.col("nx")).otherwise(F.col("n")).alias("nb"),
         )
-        # In the last round a pair may come twice from an element, once from either side.
-        common = F.countDistinct("item") if exact else F.count(F.lit(1))
-        counted = pairs.groupBy("a", "b", "na", "nb").agg(common.alias("common"), F.bool_or("own").alias("own"))
+        counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"), F.bool_or("own").alias("own"))
         outside = F.greatest(_outside(F.col("na")), _outside(F.col("nb")))
         fit = counted.where(F.col("own") | (F.col("common") + outside >= _needed(F.col("na"), F.col("nb"))))
         if self.tried is not None:
             fit = fit.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")
         return materialize(fit.select("a", "b", "na", "nb"), "pairs")
 
-    @staticmethod
-    def _with_largest(rows: DataFrame) -> DataFrame:
-        """Adds ``top``, the label with the most nodes of the element."""
-        sizes = rows.groupBy("item", "label").count()
-        largest = sizes.groupBy("item").agg(F.max(F.struct("count", "label")).alias("top"))
-        return rows.join(largest.select("item", F.col("top.label").alias("top")), "item")
-
-    def leaders(self, k: int) -> None:
+    def run(self) -> None:
+        """Rounds with leaders until few pairs are left, then the last round."""
+        for k in (*LEADERS, None):
+            rows = materialize(self._labelled(), "open")
+            sizes = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("count"))
+            tops = sizes.groupBy("item").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("size"))
+            tops = materialize(tops, "tops")
+            pairs = F.sum(F.col("size").cast("double") * (F.col("size") - F.col("top.count"))).alias("pairs")
+            left = tops.agg(F.sum("size").alias("rows"), pairs).first()
+            if not left["rows"]:
+                return
+            topped = rows.join(tops.select("item", F.col("top.label").alias("top")), "item")
+            if k is None or left["pairs"] <= FEW * left["rows"]:
+                return self._finish(topped)
+            self._leaders(topped, k)
+
+    def _leaders(self, rows: DataFrame, k: int) -> None:
         """Compare all nodes of an element with ``k`` of them, nodes of its largest component first."""
-        rows = materialize(self._labelled(), "open")
         order = Window.partitionBy("item").orderBy(F.col("label") != F.col("top"), F.xxhash64("node"), "node")
-        ranked = self._with_largest(rows).withColumn("place", F.row_number().over(order))
-        self._verify(self._pairs(rows, ranked.where(F.col("place") <= k), exact=False))
+        ranked = rows.withColumn("place", F.row_number().over(order))
+        self._verify(self._pairs(rows, ranked.where(F.col("place") <= k), every=False))
 
-    def finish(self) -> None:
+    def _finish(self, rows: DataFrame) -> None:
         """All pairs of an element that are in different components: those outside its largest one with all others."""
-        rows = materialize(self._labelled(), "open")
-        chosen = self._with_largest(rows).where("label <> top")
-        self._verify(self._pairs(rows, chosen, exact=True))
+        self._verify(self._pairs(rows, rows.where("label <> top"), every=True))
 
     def _verify(self, pairs: DataFrame) -> None:
         """Count the common elements of whole sets; links join the components."""
@@ -267,9 +275,7 @@ def _resolved(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = named_rows.groupBy("d1", "d2", "n", "gid").agg(F.min("key").alias("rep"))
     nodes = materialize(classes.select(F.col("d1").alias("node"), "d2", "n", "gid", "rep"), "nodes")
     join = _Join(rows, nodes, named_rows)
-    for k in LEADERS:
-        join.leaders(k)
-    join.finish()
+    join.run()
     named = nodes.withColumn("label", F.col("node"))
     if join.labels is not None:
         named = nodes.join(join.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

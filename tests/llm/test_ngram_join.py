@@ -98,8 +98,11 @@ def test_single_changes_anywhere_link(spark, seed, n_words):
         assert {k: got[k] for k in (i, i + 1)} == brute({k: pairs[k] for k in (i, i + 1)})
 
 
-def test_few_leaders_and_shuffled_ids_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEADERS", (1,))
+@pytest.mark.parametrize("few,leaders", [(0, (1,)), (1e9, ())])
+def test_few_leaders_and_shuffled_ids_lose_nothing(spark, monkeypatch, few, leaders):
+    """With the last round after a round of one leader as well as with it alone."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
     monkeypatch.setattr(ngram_join, "MOST_IDS", 0)
     monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 3)
     data = rows(near_copies(3))
