@@ -166,14 +166,9 @@ class _Join:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, sig: DataFrame):
         items = sig.where("n > 0").select(F.explode("prefix").alias("item"), "gid")
-        one = Window.partitionBy("item")
-        shared = (
-            items.withColumn("low", F.min("gid").over(one))
-            .withColumn("high", F.max("gid").over(one))
-            .where("low <> high")
-            .select("item", "gid")
-            .distinct()
-        )
+        # Aggregated in the map tasks first, so the rows of a frequent element meet in no task.
+        ends = items.groupBy("item").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
+        shared = items.join(ends.where("low <> high").select("item"), "item").select("item", "gid").distinct()
         groups = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         # A group's own nodes meet as well; they share the whole prefix, not one element.
         inside = groups.select(F.col("gid").alias("item"), "gid", F.lit(True).alias("own"))
