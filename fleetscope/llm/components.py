@@ -11,7 +11,7 @@ from fleetscope.llm.common import materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges(a, b)``; the label is the component's smallest node.
 
-    Alternates two steps until nothing changes: every node hands the smallest
+    Alternates two steps until each component is a star: every node hands the smallest
     of itself and its neighbours to its larger neighbours, then to its smaller
     ones.  Both only group and join by node, so a hub is never gathered in one
     row, and the number of edges does not grow.  Self-loops and repeated edges
@@ -34,19 +34,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
 
+    def settled(links: DataFrame) -> bool:
+        """Whether every larger end has one link and is no smaller end: each component is a star around its smallest node."""
+        larger, smaller = F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))
+        seen = links.select(F.inline(F.array(larger, smaller))).groupBy("node")
+        ups = seen.agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        return not ups.agg(F.bool_or(F.expr("ups > 1 or (ups = 1 and least = 0)"))).first()[0]
+
     ends = edges.where("a is not null and b is not null")
     current = materialize(
         ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
-    mark = None
-    while True:
+    while not settled(current):
         after_large = star(both(current), True)
         pointed = after_large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         current = materialize(star(pointed, False), "stars")
-        now = tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == mark:
-            break
-        mark = now
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
     everyone = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = leaves.groupBy("node").agg(F.min("label").alias("label"))
