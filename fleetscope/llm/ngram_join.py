@@ -11,7 +11,7 @@ As the result is a component per document, pairs that earlier links already
 connect need no verification.  Rounds therefore compare the members of every
 shared element with a few leaders first; the last round compares all pairs that
 are still in different components, so no link between components is missed.  It
-comes as soon as its pairs, which are counted beforehand, are few.
+comes as soon as its pairs, which are counted after every round, are few.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ FREQUENT = 3
 MOST_FREQUENT = 1_000_000
 #: Leaders per shared element in the first rounds.
 LEADERS = (1, 8, 64)
-#: The last round comes at once if it compares at most so many pairs for each node of a shared element.
+#: After the first round the last one comes at once if it compares at most so many pairs for each node of a shared element.
 FEW = 8
 #: Document ids that are broadcast at most; more are joined by shuffle.
 MOST_IDS = 1_000_000
@@ -211,8 +211,8 @@ class _Join:
         return materialize(fit.select("a", "b", "na", "nb"), "pairs")
 
     def run(self) -> None:
-        """Rounds with leaders until few pairs are left, then the last round."""
-        for k in (*LEADERS, None):
+        """Rounds with leaders, one at least, until few pairs are left, then the last round."""
+        for done, k in enumerate((*LEADERS, None)):
             rows = materialize(self._labelled(), "open")
             sizes = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("count"))
             tops = sizes.groupBy("item").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("size"))
@@ -222,7 +222,7 @@ class _Join:
             if not left["rows"]:
                 return
             topped = rows.join(tops.select("item", F.col("top.label").alias("top")), "item")
-            if k is None or left["pairs"] <= FEW * left["rows"]:
+            if k is None or (done and left["pairs"] <= FEW * left["rows"]):
                 return self._finish(topped)
             self._leaders(topped, k)
 
