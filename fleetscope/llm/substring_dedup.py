@@ -170,33 +170,38 @@ def duplicate_windows(rows: DataFrame) -> DataFrame:
 
 
 def greedy_factors(ranges: list[dict]) -> list[tuple[int, int]]:
-    """(first word, words) of the factors of one text, from its sorted ranges.
+    """(first word, words) of the factors of one text, from its ranges sorted by start.
 
-    A factor begins at the first window that is in no factor yet and goes on,
-    block by block and at its boundaries window by window, as long as the words
-    at its reference go on too; where they end, the next factor begins.
+    A factor begins at the first window that is in no factor yet, along the
+    range that reaches farthest, and goes on, block by block and at its
+    boundaries window by window, as long as the words at its reference go on
+    too; where they end, the next factor begins.  Every range seen so far stays
+    a candidate until it is passed, so the factors cover all ranges.
     """
     factors: list[list[int]] = []
-    end, follows = -1, None  # the next window, and where it would start in the reference
-    by_start: dict[int, list[dict]] = {}
-    for r in ranges:
-        by_start.setdefault(r["start"], []).append(r)
-    for start, found in by_start.items():
-        longest = max(r["windows"] for r in found)
-        if start + longest <= end:
-            continue
-        keep = max(0, end - start)
-        ahead = lambda r: (r["reference"]["key"], r["reference"]["start"] + keep)  # noqa: B023, E731
-        able = [r for r in found if start + r["windows"] > max(end, start)]
-        next_ = max(able, key=lambda r: (start <= end and ahead(r) == follows, r["windows"]))
-        windows = next_["windows"] - keep
-        if start <= end and ahead(next_) == follows:
-            factors[-1][1] += windows
+    end, line, seen = -1, None, 0  # the next window, and the factor's line: its reference less its own place
+    stops: dict[tuple, int] = {}  # per line the farthest end of the ranges that begin up to ``end``
+    widest, beyond = None, -1  # the line that reaches farthest
+    while True:
+        while seen < len(ranges) and ranges[seen]["start"] <= end:
+            r = ranges[seen]
+            seen += 1
+            key, stop = r["reference"]["key"], r["start"] + r["windows"]
+            along = (key["a"], key["b"], r["reference"]["start"] - r["start"])
+            stops[along] = max(stop, stops.get(along, -1))
+            if stop > beyond:
+                widest, beyond = along, stop
+        if line is not None and stops[line] > end:
+            factors[-1][1] += stops[line] - end
+            end = stops[line]
+        elif beyond > end:
+            line = widest
+            factors.append([end, beyond - end])
+            end = beyond
+        elif seen < len(ranges):
+            end, line = ranges[seen]["start"], None
         else:
-            factors.append([start + keep, windows])
-        key, at = ahead(next_)
-        end, follows = start + next_["windows"], (key, at + windows)
-    return [(start, windows + WINDOW - 1) for start, windows in factors]
+            return [(start, windows + WINDOW - 1) for start, windows in factors]
 
 
 def covered_words(factors: list[tuple[int, int]], n_words: int) -> np.ndarray:

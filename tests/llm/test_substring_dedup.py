@@ -68,6 +68,25 @@ def test_greedy_factors_follow_their_reference():
     assert greedy_factors(ranges) == [(10, 9 + WINDOW - 1), (19, 2 + WINDOW - 1), (40, WINDOW)]
 
 
+def test_a_short_range_does_not_hide_a_longer_one():
+    at = lambda start, windows, k, ref: {"start": start, "windows": windows, "reference": {"key": {"a": k, "b": 0}, "start": ref}}
+    factors = greedy_factors([at(0, 10, 7, 100), at(10, 1, 7, 110), at(10, 20, 9, 50)])
+    assert factors == [(0, 11 + WINDOW - 1), (11, 19 + WINDOW - 1)]
+
+
+def test_factors_cover_all_ranges():
+    rng = random.Random(8)
+    for _ in range(2000):
+        ranges = [
+            {"start": rng.randrange(60), "windows": rng.choice([1, 1, 2, 5, 20]), "reference": {"key": {"a": rng.randrange(2), "b": 0}, "start": rng.randrange(40)}}
+            for _ in range(rng.randrange(1, 12))
+        ]
+        ranges.sort(key=lambda r: r["start"])
+        covered = {w for r in ranges for w in range(r["start"], r["start"] + r["windows"])}
+        windows = [w for start, words in greedy_factors(ranges) for w in range(start, start + words - WINDOW + 1)]
+        assert len(windows) == len(set(windows)) and set(windows) == covered
+
+
 def test_factors_of_a_copy(spark):
     rng = random.Random(9)
     source = [f"v{rng.randrange(10**9)}" for _ in range(500)]
@@ -77,7 +96,9 @@ def test_factors_of_a_copy(spark):
     assert got == {1: (250, 2), 2: (250, 2), 3: (0, 0)}
 
 
-def test_query_equals_sql(spark, sf_dir):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_query_equals_sql(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
     assert_same(op5_substring_dedup(spark, sf_dir), ORACLES["op5_substring_dedup"], connect(sf_dir))
 
 
