@@ -12,6 +12,7 @@ from fleetscope.llm import pii_spans, secret_scan
 from fleetscope.llm.byte_bpe import encode_documents
 from fleetscope.llm.common import documents
 from fleetscope.llm.exact_dedup import exact_duplicates
+from fleetscope.llm.fill_in_middle import fill_in_middle, restored
 from fleetscope.llm.lm_scoring import score_documents
 from fleetscope.llm.ngram_join import jaccard_components
 from fleetscope.llm.quality_rules import quality_verdicts
@@ -84,6 +85,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), seed=7, percent=100, spm_percent=50)
+    return restored(made).select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
@@ -95,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -209,4 +224,26 @@ ORACLES: dict[str, str] = {
         )
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
     """,
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), u AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls,
+                   ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4
+            FROM d
+        ), c AS (
+            SELECT *, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS lo, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS hi,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM u
+        ), p AS (
+            SELECT *, array_to_string(ls[1:lo], '') AS pre, array_to_string(ls[lo + 1:hi], '') AS mid, array_to_string(ls[hi + 1:n], '') AS suf FROM c
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                                ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
