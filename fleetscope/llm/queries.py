@@ -18,6 +18,7 @@ from fleetscope.llm.ngram_join import jaccard_components
 from fleetscope.llm.quality_rules import quality_verdicts
 from fleetscope.llm.source_mix import mix_sources
 from fleetscope.llm.substring_dedup import remove_duplicate_passages
+from fleetscope.llm.token_alignment import score_alignments
 from fleetscope.llm.token_counts import count_tokens
 
 
@@ -98,6 +99,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = score_alignments(documents(spark, sf_dir), *files, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
