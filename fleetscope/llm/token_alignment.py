@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ CHUNK = 8_000_000
 #: A single space with a visible character on both sides.
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Parts of texts that a task remembers, and the longest of them.
-CACHED, LONG = 300_000, 60
+CACHED, LONG = 500_000, 60
 #: Entries of a product that are expanded at once.
 BLOCK = 4_000_000
 
@@ -138,50 +139,89 @@ class TwoTokenizers:
 
         # Where no piece has a space behind a letter, no token of B crosses from a letter to a space.
         self.splits = not any(" " in p.replace("▁", " ").lstrip(" ") for p in pieces)
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
-
-    def _learn(self, parts: list[str]) -> dict[str, tuple[list[int], list[int], bool]]:
-        """Ids of both for each part (which is written with one leading space), and whether both render it exactly."""
-        found = {}
-        coded = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        for part, one, other in zip(parts, coded, self.b.encode(parts, num_threads=1), strict=True):
-            want, ids = b" " + part.encode(), one.ids
-            exact = b"".join(map(self.a_bytes.__getitem__, ids)) == want == b"".join(map(self.b_bytes.__getitem__, other))
-            found[part] = ids, other, exact
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both; none for an empty text and where the bytes of either differ from a space and the text.
-
-        Texts are taken apart at single spaces between visible characters: no
-        token of either vocabulary crosses the place before such a space, so
-        each part is encoded once, however often it occurs.
+        self.tokens = [(np.frombuffer(b"".join(known), np.uint8), lengths) for known, lengths in ((self.a_bytes, self.a_lengths), (self.b_bytes, self.b_lengths))]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pools = [Pool(), Pool()]
+        self.exact = np.zeros(0, bool)
+
+    def _rendered(self, side: int, ids: np.ndarray, first: np.ndarray, want: np.ndarray, want_first: np.ndarray) -> np.ndarray:
+        """Per part whether the bytes of its ids are the wanted ones."""
+        data, lengths = self.tokens[side]
+        length = lengths[ids]
+        upto = np.concatenate([[0], np.cumsum(length)])[first]
+        good = np.diff(upto) == np.diff(want_first)
+        bytes_ = data[spans((np.cumsum(lengths) - lengths)[ids], length)]
+        held = np.flatnonzero(good)
+        sizes = np.diff(upto)[held]
+        same = bytes_[spans(upto[held], sizes)] == want[spans(want_first[held], sizes)]
+        wrong = np.concatenate([[0], np.cumsum(~same)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        good[held] = wrong[ends[1:]] == wrong[ends[:-1]]
+        return good
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of both for each part, which is written with one leading space."""
+        spaced = [" " + p for p in parts]
+        coded = [[e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(parts, num_threads=1)]
+        raw = [p.encode() for p in spaced]
+        want, want_first = np.frombuffer(b"".join(raw), np.uint8), _firsts(list(map(len, raw)))
+        exact = np.ones(len(parts), bool)
+        for side, (lists, pool) in enumerate(zip(coded, self.pools, strict=True)):
+            ids, first = np.fromiter(chain.from_iterable(lists), np.int64), _firsts(list(map(len, lists)))
+            exact &= self._rendered(side, ids, first, want, want_first)
+            pool.append(ids.astype(np.int32), np.diff(first))
+        self.known.update(zip(parts, range(len(self.exact), len(self.exact) + len(parts)), strict=True))
+        self.exact = np.concatenate([self.exact, exact])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per tokenizer the ids of all texts and where each text's begin.
+
+        An empty text has none, nor one whose bytes differ from a space and the
+        text.  Texts are taken apart at single spaces between visible
+        characters: no token of either vocabulary crosses the place before such
+        a space, so each part is encoded once, however often it occurs.
         """
         parts = [(SINGLE_SPACE.split(t) if self.splits else [t]) if t else [] for t in texts]
-        known = self.known
-        new = {p for text in parts for p in text if p not in known}
+        flat = list(chain.from_iterable(parts))
+        new = set(flat).difference(self.known)
+        if new and len(self.known) + len(new) > CACHED:
+            self._forget()
+            new = set(flat)
         if new:
-            found = self._learn(list(new))
-            if len(known) + len(found) > CACHED:
-                wanted = {p for text in parts for p in text if p in known}
-                self.known = known = {p: known[p] for p in wanted}
-            known.update(found)
-        a: list[list[int]] = []
-        b: list[list[int]] = []
-        for text in parts:
-            one: list[int] = []
-            other: list[int] = []
-            for x, y, exact in map(known.__getitem__, text):
-                if not exact:
-                    one, other = [], []
-                    break
-                one += x
-                other += y
-            a.append(one)
-            b.append(other)
+            self._learn(list(new))
+        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        text_first = _firsts(list(map(len, parts)))
+        wrong = np.concatenate([[0], np.cumsum(~self.exact[place])])[text_first]
+        sizes = np.diff(text_first)
+        used = place[np.repeat(np.diff(wrong) == 0, sizes)]
+        text_first = _firsts(np.where(np.diff(wrong) == 0, sizes, 0))
+        out = [pool.taken(used, text_first) for pool in self.pools]
         for p in [p for p in new if len(p) > LONG]:
-            del known[p]
-        return a, b
+            del self.known[p]
+        return out
+
+
+class Pool:
+    """Id lists one after the other."""
+
+    def __init__(self) -> None:
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids, self.start, self.size = (np.concatenate(x) for x in ((self.ids, ids), (self.start, starts), (self.size, sizes)))
+
+    def taken(self, places: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at ``places`` and, for the groups of places that begin at ``first``, where their ids begin."""
+        sizes = self.size[places]
+        return self.ids[spans(self.start[places], sizes)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])[first]
+
+
+def _firsts(sizes: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
 
 
 @dataclass
@@ -199,11 +239,6 @@ class Alignment:
     links: tuple[np.ndarray, np.ndarray, np.ndarray]  # token of A, token of B, shared bytes
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(first[-1])), first
-
-
 def _groups(ends: np.ndarray, cuts: np.ndarray) -> tuple[CSR, np.ndarray]:
     group = np.searchsorted(cuts, ends)
     return CSR.incidence(np.arange(len(ends) + 1), group, len(cuts)), group
@@ -211,9 +246,7 @@ def _groups(ends: np.ndarray, cuts: np.ndarray) -> tuple[CSR, np.ndarray]:
 
 def aligned(coder: TwoTokenizers, texts: list[str]) -> Alignment:
     """Both tokenizations of all texts as two block-diagonal incidence matrices over the bytes of the run."""
-    a_lists, b_lists = coder.encode(texts)
-    a_ids, a_first = _flat(a_lists)
-    b_ids, b_first = _flat(b_lists)
+    (a_ids, a_first), (b_ids, b_first) = coder.encode(texts)
     a_ends, b_ends = np.cumsum(coder.a_lengths[a_ids]), np.cumsum(coder.b_lengths[b_ids])
     total = int(a_ends[-1]) if len(a_ends) else 0
     tokens_bytes = [CSR.incidence(np.concatenate([[0], ends]), np.arange(total), total) for ends in (a_ends, b_ends)]
@@ -330,10 +363,12 @@ def _chunk_rows(chunk: int, held: list[tuple], names: list[str]) -> pa.RecordBat
     counts = np.zeros(len(pairs), np.int64)
     np.add.at(counts, codes, n)
     first = np.searchsorted(text, np.arange(starts[-1] + 1))
-    packed = []
+    steps = np.diff(codes, prepend=0)
+    heads = first[:-1][np.diff(first) > 0]
+    steps[heads] = codes[heads]
+    steps, links, packed = steps.astype(np.uint32), n.astype(np.uint32), []
     for i, j in zip(first[:-1], first[1:], strict=True):
-        steps = np.diff(codes[i:j], prepend=0)
-        packed.append(pa.compress(np.concatenate([steps, n[i:j]]).astype(np.uint32), codec="zstd", asbytes=True) if j > i else b"")
+        packed.append(pa.compress(np.concatenate([steps[i:j], links[i:j]]), codec="zstd", asbytes=True) if j > i else b"")
     later = [None] * (int(starts[-1]) - 1)
     columns = [pa.chunked_array([c[k] for c, _ in held]).combine_chunks() for k in range(len(held[0][0]))]
     lists = [pa.array([v, *later], pa.list_(pa.int64())) for v in (pairs, counts)]
