@@ -16,6 +16,7 @@ from fleetscope.llm.fill_in_middle import fill_in_middle, restored
 from fleetscope.llm.lm_scoring import score_documents
 from fleetscope.llm.ngram_join import jaccard_components
 from fleetscope.llm.quality_rules import quality_verdicts
+from fleetscope.llm.sequence_packing import pack_documents
 from fleetscope.llm.source_mix import mix_sources
 from fleetscope.llm.substring_dedup import remove_duplicate_passages
 from fleetscope.llm.token_alignment import score_alignments
@@ -105,6 +106,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_byte_bpe": op2_byte_bpe,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_alignment": op12_token_alignment,
+    "op13_sequence_packing": op13_sequence_packing,
 }
 
 ORACLES: dict[str, str] = {
