@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.operators.scoring import ranked_quantiles
-from fleetscope.operators.windows import running_sums
+from fleetscope.operators.windows import running_sums, same_group
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, truth: Column) -> DataFrame:
@@ -23,11 +23,11 @@ def detection_metrics(df: DataFrame, by: Sequence[str], score: str, truth: Colum
 
     AUROC counts ties half; AUPRC is the step-wise sum over distinct
     thresholds.  Of equal F1 the lowest threshold is taken.  Groups without
-    both classes have null metrics.
+    both classes have null metrics; a null group is one too.
     """
     counts = score_counts(df, by, score, truth).withColumn("minus", -F.col("score"))
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    curve = running_sums(counts, by, ["minus"], ["pos", "neg"]).join(totals, list(by))
+    sums = running_sums(counts, by, ["minus"], ["pos", "neg"])
+    curve = same_group(sums, sums.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), by)
     curve = curve.withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
     precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = F.try_divide(F.col("tp"), F.col("P"))

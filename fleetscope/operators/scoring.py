@@ -8,28 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.numbers import robust_z
-from fleetscope.operators.windows import numbered_at_scale
+from fleetscope.operators.windows import running_sums, same_group
 
 
 def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Per group: n and ``q``, the interpolated quantiles, from the few rows next to each of them."""
-    clean = df.where(F.col(value).isNotNull()).select(*by, value)
-    ranked = numbered_at_scale(clean, by, [value], "__at")
-    counts = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    gaps = [F.abs(F.col("__at") - F.lit(s) * (F.col("n") - 1)) for s in shares]
-    near = gaps[0] < 1
-    for gap in gaps[1:]:
-        near = near | (gap < 1)
-    few = ranked.join(counts, list(by)).where(near)
-    sums = [F.sum(F.greatest(1 - gap, F.lit(0.0)) * F.col(value)) for gap in gaps]
-    return few.groupBy(*by, "n").agg(F.array(*sums).alias("q")).select(*by, "n", "q")
+    """Per group: n and ``q``, the interpolated quantiles.
+
+    Equal values are counted first, so a value that fills most of a group is
+    one row; running counts over the distinct values then place each rank.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_sums(counted, by, ["__v"], ["__c"])
+    sizes = placed.groupBy(*by).agg(F.sum("__c").alias("n"))
+    within = lambda rank: ((rank >= F.col("run___c") - F.col("__c")) & (rank < F.col("run___c"))).cast("double")
+    sums = []
+    for share in shares:
+        at = F.lit(share) * (F.col("n") - 1)
+        rest = at - F.floor(at)
+        sums.append(F.sum(F.col("__v") * (within(F.floor(at)) * (1 - rest) + within(F.floor(at) + 1) * rest)))
+    return same_group(placed, sizes, by).groupBy(*by, "n").agg(F.array(*sums).alias("q")).select(*by, "n", "q")
 
 
 def robust_stats(df: DataFrame, by: Sequence[str], value: str, method: str = "ranked") -> DataFrame:
     """Per group: n, ``med`` and ``iqr`` with linear interpolation.
 
-    ``ranked`` numbers the rows of all groups over range partitions and keeps
-    the few that the quantiles need, so the size of a group does not matter.
+    ``ranked`` adds up the counts of distinct values over range partitions, so
+    the size of a group does not matter.
     ``percentile`` counts distinct values of a group in one buffer, which suits
     many moderate groups.
     """
@@ -47,7 +51,7 @@ def robust_stats(df: DataFrame, by: Sequence[str], value: str, method: str = "ra
 
 def z_scores(df: DataFrame, stats: DataFrame, by: Sequence[str], value: str, floor: float = 1e-8) -> DataFrame:
     """Adds ``z`` from the group's statistics."""
-    joined = df.join(stats.select(*by, F.col("med").alias("__m"), F.col("iqr").alias("__i")), list(by))
+    joined = same_group(df, stats.select(*by, F.col("med").alias("__m"), F.col("iqr").alias("__i")), by)
     return joined.withColumn("z", robust_z(F.col(value), F.col("__m"), F.col("__i"), floor)).drop("__m", "__i")
 
 

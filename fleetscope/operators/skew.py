@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.operators.windows import numbered_at_scale
+from fleetscope.operators.windows import numbered_at_scale, same_group
 
 
 def dirichlet_budgets(clients: Sequence, total: int, alpha: float, least: int, seed: int = 42) -> dict:
@@ -20,7 +20,7 @@ def dirichlet_budgets(clients: Sequence, total: int, alpha: float, least: int, s
 def take_slices(df: DataFrame, budgets: DataFrame, client: str, order: Sequence[str], start: Column | None = None) -> DataFrame:
     """Of each client ``budget`` consecutive rows, from ``start`` (0 where not given) in the given order."""
     first = start if start is not None else F.lit(0)
-    joined = numbered_at_scale(df, [client], order, "__p").join(budgets, client)
+    joined = same_group(numbered_at_scale(df, [client], order, "__p"), budgets, [client])
     return joined.where((F.col("__p") >= first) & (F.col("__p") < first + F.col("budget"))).select(*df.columns)
 
 

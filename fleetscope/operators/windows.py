@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.numbers import share_of
-from fleetscope.plans.storage import stored
+from fleetscope.plans.storage import discard, stored
 
 
 def numbered(df: DataFrame, session: Sequence[str], order: Sequence[str], name: str = "seq") -> DataFrame:
@@ -17,39 +17,61 @@ def numbered(df: DataFrame, session: Sequence[str], order: Sequence[str], name:
     return df.withColumn(name, place.cast("long"))
 
 
-def numbered_at_scale(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "seq", parts: int | None = None) -> DataFrame:
+#: Rows that a task may order; larger tables are cut into range partitions of about so many.
+PART_ROWS = 1_000_000
+
+
+def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of rows with equal groups, where null equals null; the group's columns are the left ones."""
+    other = right.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    equal = F.lit(True)
+    for c in by:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return left.join(other, equal, how).drop(*[f"__of_{c}" for c in by])
+
+
+def _ranged(df: DataFrame, keys: Sequence[Column], part_rows: int | None) -> DataFrame:
+    """The stored rows in range partitions numbered by ``__part``; a table of one part's size stays whole."""
+    kept = stored(df, "rows")
+    parts = -(-kept.count() // (part_rows or PART_ROWS))
+    if parts <= 1:
+        return kept.withColumn("__part", F.lit(0))
+    ranged = stored(kept.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
+    discard(kept)
+    return ranged
+
+
+def numbered_at_scale(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "seq", part_rows: int | None = None) -> DataFrame:
     """As ``numbered``, for groups too large for one task.
 
     Rows are range-partitioned by group and order; each part numbers its own
     rows and adds the number of rows that the group has in the parts before.
-    The order must be total, or equal rows may swap places.
+    The order must be total, or equal rows may swap places.  A null group is a
+    group like any other.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *group, *order).withColumn("__part", F.spark_partition_id())
-    ranged = stored(ranged, "ranged")
+    ranged = _ranged(df, [F.col(c) for c in (*group, *order)], part_rows)
     inside = Window.partitionBy("__part", *group).orderBy(*order)
     counts = ranged.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    placed = ranged.withColumn("__in", F.row_number().over(inside) - 1).join(offsets, ["__part", *group])
+    placed = same_group(ranged.withColumn("__in", F.row_number().over(inside) - 1), offsets, ["__part", *group])
     return placed.withColumn(name, (F.col("__in") + F.col("__before")).cast("long")).drop("__part", "__in", "__before")
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: Sequence[str]) -> DataFrame:
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: Sequence[str], part_rows: int | None = None) -> DataFrame:
     """Adds ``run_<value>``, the sum of each value over the rows of the group up to this one.
 
     For groups too large for one task: rows are range-partitioned by group and
-    order, and each part adds the group's sums in the parts before.
+    order, and each part adds the group's sums in the parts before.  A null
+    group is a group like any other.
     """
-    keys = [F.col(c) for c in by]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    keys = [F.col(c) if isinstance(c, str) else c for c in (*by, *order)]
+    ranged = _ranged(df, keys, part_rows)
     inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("__part", *by).agg(*[F.sum(v).alias(f"__{v}") for v in values])
     offsets = parts.select("__part", *by, *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
-    sums = ranged.select("*", *[F.sum(v).over(inside).alias(f"run_{v}") for v in values]).join(offsets, ["__part", *by])
+    sums = same_group(ranged.select("*", *[F.sum(v).over(inside).alias(f"run_{v}") for v in values]), offsets, ["__part", *by])
     added = [(F.col(f"run_{v}") + F.col(f"__{v}")).alias(f"run_{v}") for v in values]
     return sums.select(*df.columns, *added)
 
@@ -102,9 +124,9 @@ def future_values(windows: DataFrame, session: Sequence[str], k: str, x: str, st
 
 
 def chronological_split(df: DataFrame, client: Sequence[str], order: Sequence[str], fit: float = 0.70, calib: float = 0.15) -> DataFrame:
-    """Adds ``split``: by order, the first ``fit`` share, the next ``calib`` share, the rest for test."""
-    sizes = df.groupBy(*client).agg(F.count(F.lit(1)).alias("__n"))
-    placed = numbered_at_scale(df, client, order, "__place").join(sizes, list(client))
+    """Adds ``split``: by order, the first ``fit`` share, the next ``calib`` share, the rest for test; a null client is one too."""
+    placed = numbered_at_scale(df, client, order, "__place")
+    placed = same_group(placed, placed.groupBy(*client).agg(F.count(F.lit(1)).alias("__n")), client)
     n_fit, n_calib = share_of(F.col("__n"), fit), share_of(F.col("__n"), calib)
     name = F.when(F.col("__place") < n_fit, "fit").when(F.col("__place") < n_fit + n_calib, "calib").otherwise("test")
     return placed.withColumn("split", name).select(*df.columns, "split")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetscope.operators import evaluate, localize
+from fleetscope.operators import evaluate, localize, windows
 from fleetscope.plans.calibration import NODE_Z, WORST, node_z, wide_scores
 from fleetscope.plans.registry import register, table
 from fleetscope.plans.storage import stored
@@ -153,8 +153,8 @@ def client_auroc(spark, sf_dir):
 @register("ana03_running_counts", f"WITH {CURVE} SELECT lang, score, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cv")
 def ana03(spark, sf_dir):
     counts = evaluate.score_counts(labelled(spark, sf_dir), ["lang"], "score", F.col("bad"))
-    down = Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("lang", "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    sums = windows.running_sums(counts, ["lang"], [F.desc("score")], ["pos", "neg"])
+    return sums.select("lang", "score", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"))
 
 
 ROUND_Z = f"{NODE_Z}, rz AS (SELECT vec_id, client, label, node, round(z, 6) AS z, iqr >= 0.9::DOUBLE * quantile_cont(iqr, 0.5) OVER (PARTITION BY vec_id) AS reliable FROM nz)"

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _FOLDERS: dict[str, str] = {}
+_TABLES: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder for a local session and an error on a cluster."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder, as all its tasks
+    run on this machine; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -21,16 +26,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fleetscope-"))
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path there, deleted when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, system = _hadoop_path(spark, path)
+    system.deleteOnExit(at)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back; cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet and read back; cuts the lineage and survives lost executors.
+
+    ``discard`` removes the table, at the latest the end of the driver's JVM does.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no DataFrame still to be evaluated reads."""
+    for table in tables:
+        known, path = _TABLES.pop(id(table), (lambda: None, ""))
+        if known() is table:
+            at, system = _hadoop_path(table.sparkSession, path)
+            system.delete(at, True)

@@ -77,10 +77,43 @@ def test_numbering_over_range_partitions(spark):
     df = spark.createDataFrame(rows, "g string, v double, id long")
     key = lambda r: (r.g, r.id, r.seq)
     a = sorted(map(key, windows.numbered(df, ["g"], ["v", "id"]).collect()))
-    b = sorted(map(key, windows.numbered_at_scale(df, ["g"], ["v", "id"], parts=7).collect()))
+    b = sorted(map(key, windows.numbered_at_scale(df, ["g"], ["v", "id"], part_rows=80).collect()))
     assert a == b
 
 
+@pytest.mark.parametrize("part_rows", [3, 1_000_000])
+def test_a_null_group_is_a_group_like_any_other(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(windows, "PART_ROWS", part_rows)
+    rows = [(g, float(i % 5), i) for i, g in enumerate(["a", None] * 10)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    numbered = windows.numbered_at_scale(df, ["g"], ["id"], part_rows=part_rows).collect()
+    assert sorted((r.g or "", r.seq) for r in numbered) == sorted((g, k) for g in ("", "a") for k in range(10))
+    sums = windows.running_sums(df, ["g"], ["id"], ["v"], part_rows=part_rows).collect()
+    for g in ("a", None):
+        values = [v for h, v, _ in rows if h == g]
+        assert [r.run_v for r in sorted((r for r in sums if r.g == g), key=lambda r: r.id)] == np.cumsum(values).tolist()
+    split = windows.chronological_split(df, ["g"], ["id"]).groupBy("g", "split").count().collect()
+    assert {(r.g, r.split): r["count"] for r in split} == {(g, s): n for g in ("a", None) for s, n in (("fit", 7), ("calib", 1), ("test", 2))}
+    stats = scoring.robust_stats(df, ["g"], "v")
+    expected = {g: np.percentile([v for h, v, _ in rows if h == g], [25, 50, 75]) for g in ("a", None)}
+    assert {r.g: (r.n, r.med, r.iqr) for r in stats.collect()} == {g: (10, q[1], q[2] - q[0]) for g, q in expected.items()}
+    assert scoring.z_scores(df, stats, ["g"], "v").count() == 20
+    metrics = evaluate.detection_metrics(df, ["g"], "v", F.col("id") >= 10).collect()
+    assert {r.g: r.n for r in metrics} == {"a": 10, None: 10} and all(r.auroc is not None for r in metrics)
+    budgets = spark.createDataFrame([("a", 4), (None, 3)], "g string, budget long")
+    taken = skew.take_slices(df, budgets, "g", ["id"]).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in taken} == {"a": 4, None: 3}
+
+
+def test_a_value_that_fills_a_group(spark):
+    df = spark.range(1000).selectExpr("'s' AS g", "if(id < 950, 0.0D, id * 1.0D) AS v")
+    r = scoring.robust_stats(df, ["g"], "v").first()
+    q = np.percentile([0.0 if i < 950 else float(i) for i in range(1000)], [25, 50, 75])
+    assert (r.n, r.med, r.iqr) == (1000, q[1], q[2] - q[0])
+    q = scoring.ranked_quantiles(df, ["g"], "v", [0.0, 0.9505, 0.99, 1.0]).first().q
+    assert np.allclose(q, np.percentile([0.0 if i < 950 else float(i) for i in range(1000)], [0, 95.05, 99, 100]))
+
+
 def test_array_split_sizes(spark):
     got = spark.range(10).select(clean.array_split_block(F.col("id"), F.lit(10), 4).alias("b")).groupBy("b").count().orderBy("b")
     assert [r["count"] for r in got.collect()] == [len(x) for x in np.array_split(np.arange(10), 4)]
