@@ -11,9 +11,12 @@ further level, until a level has one block.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetscope.llm.common import discard, materialize
+from fleetscope.llm.token_alignment import Pool
 
 #: Pieces of a block, about.
 BLOCK = 4000
 #: Fillings that a block may try beyond two for each of its sequences; then the best known packing stands.
 TRIES = 2000
-#: Distinct words that a task remembers, and the longest of them in bytes.
+#: Distinct words that a task remembers, and the longest of them.
 CACHED, LONG = 500_000, 60
 
 
@@ -219,15 +223,100 @@ def place_pieces(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarra
     return sequence, offset, np.array([sum(m) for m in sequences], np.int64)
 
 
-_CODERS: dict[str, tuple] = {}
+#: The normaliser and pre-tokenizer for which texts can be taken apart into words (fixed values).
+WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Characters on which the normaliser only changes case, and that pattern's words among them in lower case.
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+SPACE = re.compile("[\t-\r ]+")
+
+
+class WordCoder:
+    """Ids of whole texts as the tokenizer gives them, with each distinct word encoded once.
+
+    The pattern's words never span white space, so a text is the sequence of
+    its words.  Plain texts are lower-cased and split here; their words go to
+    the tokenizer's model alone, joined by spaces, and a token that closes a
+    word shows where the next begins.  Other runs between white space go
+    through the whole tokenizer.  A tokenizer of another kind gets whole texts.
+    """
 
+    def __init__(self, raw: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(raw)
+        self.whole = Tokenizer.from_str(raw)
+        self.by_words = all(spec[k] == v for k, v in WORDS.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.bare = Tokenizer.from_str(raw)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = Pool()
+
+    def _parts(self, text: str) -> list[str]:
+        """The words of a text; what the whole tokenizer must see begins with a newline."""
+        if not self.by_words:
+            return ["\n" + text] if text else []
+        marked = any(mark in text for mark in self.special)
+        if not marked and PLAIN.fullmatch(text):
+            return PLAIN_WORD.findall(text.lower())
+        parts: list[str] = []
+        for run in SPACE.split(text):
+            if PLAIN.fullmatch(run) and not (marked and any(mark in run for mark in self.special)):
+                parts += PLAIN_WORD.findall(run.lower())
+            elif run:
+                parts.append("\n" + run)
+        return parts
+
+    def _learn(self, words: list[str]) -> None:
+        plain, others = [w for w in words if w[0] != "\n"], [w for w in words if w[0] == "\n"]
+        joined = [" ".join(plain[i : i + 2000]) for i in range(0, len(plain), 2000)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)), np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("a word without its closing token")
+        self.pool.append(ids.astype(np.int32), np.diff(ends, prepend=0))
+        lists = [e.ids for e in self.whole.encode_batch_fast([w[1:] for w in others], add_special_tokens=False)]
+        self.pool.append(np.fromiter(chain.from_iterable(lists), np.int32), np.array(list(map(len, lists)), np.int64))
+        self.known.update(zip([*plain, *others], range(len(self.pool.size) - len(words), len(self.pool.size)), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and where each text's begin."""
+        parts = list(map(self._parts, texts))
+        flat = list(chain.from_iterable(parts))
+        new = set(flat).difference(self.known)
+        if len(self.pool.size) + len(new) > CACHED:
+            self._forget()
+            new = set(flat)
+        if new:
+            self._learn(list(new))
+        places = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        for word in [w for w in new if len(w) > LONG]:
+            del self.known[word]
+        return self.pool.taken(places, np.concatenate([[0], np.cumsum(list(map(len, parts)), dtype=np.int64)]).astype(np.int64))
+
+
+_CODERS: dict[str, WordCoder] = {}
 
-def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, limit: int, end_id: int, keep_ids: bool) -> DataFrame:
-    """``id, piece, start, length, ids_crc32`` and, on request, ``ids``: a document's ids and ``end_id``, cut every ``limit``.
 
-    The tokenizer drops white space and never joins across it, so every run of
-    other bytes is encoded once, however often it occurs.
-    """
+def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, limit: int, end_id: int, keep_ids: bool) -> DataFrame:
+    """``id, piece, start, length, ids_crc32`` and, on request, ``ids``: a document's ids and ``end_id``, cut every ``limit``."""
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = df.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary, 1.7 MB
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -237,29 +326,18 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     schema = T.StructType(fields)
     end = np.array([end_id], "<u4").tobytes()
 
-    def coder() -> tuple:
-        if tokenizer_path not in _CODERS:
-            import tokenizers
-
-            _CODERS[tokenizer_path] = tokenizers.Tokenizer.from_str(shared.value), {}
-        return _CODERS[tokenizer_path]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = coder()
+        if tokenizer_path not in _CODERS:
+            _CODERS[tokenizer_path] = WordCoder(shared.value)
+        coder = _CODERS[tokenizer_path]
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 batch = whole.slice(begin, 500)
-                texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                new = {w for words in texts for w in words if w not in known}
-                if len(known) + len(new) > CACHED:
-                    known.clear()
-                    new = {w for words in texts for w in words}
-                listed = list(new)
-                coded = tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False)
-                known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(listed, coded, strict=True))
+                coded, bounds = coder.encode([t or "" for t in batch.column(1).to_pylist()])
+                bounds = bounds.tolist()
                 at, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, words in enumerate(texts):
-                    data = b"".join(map(known.__getitem__, words)) + end
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    data = coded[a:b].astype("<u4").tobytes() + end
                     for k, first in enumerate(range(0, len(data), 4 * limit)):
                         part = data[first : first + 4 * limit]
                         at.append(i)
@@ -269,8 +347,6 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                         crc.append(zlib.crc32(part))
                         if keep_ids:
                             ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                for w in [w for w in listed if len(w) > LONG]:
-                    del known[w]
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))]
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))

@@ -10,7 +10,7 @@ import tokenizers
 from corpus import SCHEMA, awkward_texts, rows
 
 from fleetscope.llm.queries import op13_sequence_packing
-from fleetscope.llm.sequence_packing import _Search, best_fit, least_sequences, pack_documents, pack_lengths
+from fleetscope.llm.sequence_packing import WordCoder, _Search, best_fit, least_sequences, pack_documents, pack_lengths
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 EXACT = tokenizers.Tokenizer.from_file(PATH)
@@ -109,6 +109,17 @@ def assert_packed(got, limit):
 TEXTS = ["Caf\u00e9 CAFE\u0301 \u03a3\u0391\u03a3 don't I'LL", "a\u00a0b\u2003c\x1cd\x85e", "<|endoftext|> and <|startoftext|>x", "\u0301 lone mark", "12345 $$$!?", "word " * 5000, "x" * 9000]
 
 
+def test_words_encode_as_the_whole_tokenizer():
+    coder = WordCoder(open(PATH, encoding="utf-8").read())
+    assert coder.by_words
+    rng = random.Random(5)
+    letters = "aZ\u00c9\u00e9\u00df\u00d7\u00f7\u00aa\u00b51\u00b2'sdt.,$<|>/w \n\t\r\x0b\x00\x1c\u0085\u00a0\u0301\u03a3\u0130\u4e2d\U0001f600"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)] + [*TEXTS, "a</w>b </w>", "'S it'S don'T 'll'VE"]
+    ids, first = coder.encode(texts)
+    for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == EXACT.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("limit,block", [(2048, 4000), (64, 20)])
 def test_pieces_and_packing(spark, limit, block):
     data = rows(TEXTS + awkward_texts())
