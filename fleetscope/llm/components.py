@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import materialize
+from fleetscope.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     of itself and its neighbours to its larger neighbours, then to its smaller
     ones.  Both only group and join by node, so a hub is never gathered in one
     row, and the number of edges does not grow.  Self-loops and repeated edges
-    are allowed; null ends are ignored.
+    are allowed; null ends are ignored.  The result is a written table.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -48,8 +48,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not settled(current):
         after_large = star(both(current), True)
         pointed = after_large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        current = materialize(star(pointed, False), "stars")
+        before, current = current, materialize(star(pointed, False), "stars")
+        discard(before)
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
     everyone = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = leaves.groupBy("node").agg(F.min("label").alias("label"))
-    return everyone.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels = materialize(everyone.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    discard(current)
+    return labels

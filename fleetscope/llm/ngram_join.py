@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import WORD, materialize, row_key, whole_text
+from fleetscope.llm.common import WORD, discard, materialize, row_key, whole_text
 from fleetscope.llm.components import connected_components
 from fleetscope.llm.word_hashes import M1, chunks, hashed_words, mixed, runs
 
@@ -175,7 +175,6 @@ class _Join:
         met = shared.withColumn("own", F.lit(False)).unionByName(inside)
         self.shared = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "own", "node", "n"), "shared")
         self.docs, self.nodes = docs, nodes
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.tried: DataFrame | None = None
 
@@ -220,11 +219,17 @@ class _Join:
             pairs = F.sum(F.col("size").cast("double") * (F.col("size") - F.col("top.count"))).alias("pairs")
             left = tops.agg(F.sum("size").alias("rows"), pairs).first()
             if not left["rows"]:
-                return
+                break
             topped = rows.join(tops.select("item", F.col("top.label").alias("top")), "item")
-            if k is None or (done and left["pairs"] <= FEW * left["rows"]):
-                return self._finish(topped)
-            self._leaders(topped, k)
+            last = k is None or (done and left["pairs"] <= FEW * left["rows"])
+            if last:
+                self._finish(topped)
+            else:
+                self._leaders(topped, k)
+            discard(rows, tops)
+            if last:
+                break
+        discard(self.shared)
 
     def _leaders(self, rows: DataFrame, k: int) -> None:
         """Compare all nodes of an element with ``k`` of them, nodes of its largest component first."""
@@ -239,7 +244,7 @@ class _Join:
     def _verify(self, pairs: DataFrame) -> None:
         """Count the common elements of whole sets; links join the components."""
         if pairs.isEmpty():
-            return
+            return discard(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(self.nodes.join(ids, "node").select(F.col("rep").alias("key"), "node"), "wanted")
         small = wanted.count() <= MOST_IDS
@@ -252,13 +257,19 @@ class _Join:
         )
         common = F.size(F.array_intersect("left", "right"))
         checked = both.select("a", "b", (100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).alias("linked"))
-        checked = materialize(checked, "checked")
-        self.tried = checked if self.tried is None else self.tried.unionByName(checked)
-        links = checked.where("linked").select("a", "b")
-        if links.isEmpty():
-            return
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = materialize(connected_components(self.links), "labels")
+        if self.tried is None:
+            tried = materialize(checked, "tried")
+        else:
+            tried = materialize(checked.unionByName(self.tried), "tried")
+            discard(self.tried)
+        discard(pairs, wanted, sets)
+        self.tried = tried
+        links = tried.where("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = connected_components(links)
+            if self.labels is not None:
+                discard(self.labels)
+            self.labels = labels
 
 
 def _resolved(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -268,14 +279,15 @@ def _resolved(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sig = materialize(signatures(rows, frequent_shingles(rows)), "signatures")
     named_rows = sig.where("n > 0 and key.id is not null")
     classes = named_rows.groupBy("d1", "d2", "n", "gid").agg(F.min("key").alias("rep"))
-    nodes = materialize(classes.select(F.col("d1").alias("node"), "d2", "n", "gid", "rep"), "nodes")
+    # A written table fixes the numbers, so a node is one set of 128 bits and never two.
+    nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     join = _Join(rows, nodes, named_rows)
     join.run()
     named = nodes.withColumn("label", F.col("node"))
     if join.labels is not None:
         named = nodes.join(join.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("least"))
-    resolved = named.join(lowest, "label").select(F.col("node").alias("d1"), "d2", "n", "least")
+    resolved = named.join(lowest, "label").select("d1", "d2", "n", "least")
     found = sig.select("key", "n", "d1", "d2").join(resolved, ["d1", "d2", "n"], "left")
     alone = (F.col("n") == 0) | F.col("key.id").isNull()
     return found.select("key", "n", F.when(~alone, F.col("least")).alias("least"))
