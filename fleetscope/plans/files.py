@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from fleetscope.operators.report import sweep
 from fleetscope.plans.registry import register, table
 from fleetscope.plans.storage import new_path
-from fleetscope.sources import sessions
+from fleetscope.plans.views import EVENTS, telemetry
+from fleetscope.sources import archives, sessions
 
 
 @register("src01_session_csv", "SELECT o_orderkey AS id, o_totalprice AS load FROM orders")
@@ -56,6 +57,23 @@ def src05(spark, sf_dir):
     return out.select("session", F.unix_micros("onset").alias("onset"), F.array_join("surfaces", ",").alias("surfaces"))
 
 
+@register("src07_archive_members", f"""
+    WITH {EVENTS}, s AS (SELECT client, session, count(*) AS n, round(sum(value), 6) AS total, max(seq) AS last_row FROM ev GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY session) AS r, count(*) OVER (PARTITION BY client) AS cycles FROM s)
+    SELECT 'OP' || client AS code, session AS cycle, 'first' AS side, n, total, last_row FROM r WHERE r <= 3
+    UNION ALL SELECT 'OP' || client, session, 'last', n, total, last_row FROM r WHERE r > cycles - 2
+""")
+def src07_archive(spark, sf_dir):
+    """All sessions are written as cycles of their client's archives; the first three and the last two of each are read."""
+    rows = telemetry(spark, sf_dir).select(F.concat(F.lit("OP"), F.col("client")).alias("code"), F.col("session").alias("cycle"), "seq", "t_us", "value")
+    path = new_path(spark, "archives")
+    archives.write_archives(rows, path, ["seq"])
+    found = archives.read_archives(spark, path, "code string, cycle long, side string, row long, value double", first=3, last=2)
+    return found.groupBy("code", "cycle", "side").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("row").alias("last_row")
+    )
+
+
 @register("src07_first_and_last", """
     SELECT c_nationkey, c_custkey, r <= 3 AS healthy FROM (
         SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
