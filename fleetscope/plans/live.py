@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.plans.cleaning import WINDOWS_8_4
 from fleetscope.plans.registry import register, table
-from fleetscope.plans.storage import new_path
+from fleetscope.plans.storage import new_path, stored
+from fleetscope.plans.views import telemetry
 from fleetscope.streaming import live
 
 
@@ -30,3 +34,27 @@ def stream_binned_means(spark, sf_dir):
         F.col("user_id").alias("session"), F.col("event_type").alias("node"), F.unix_micros("bin.start").alias("bin"),
         F.round("mean", 6).alias("mean"), "n",
     )
+
+
+def run_to_end(windows: DataFrame, spark) -> DataFrame:
+    """All rows that a stream of appended rows gives until its source is exhausted."""
+    out = new_path(spark, "live")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
+    try:
+        query = windows.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "checkpoint")).option("path", out).format("parquet").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(windows.schema).parquet(out)
+
+
+@register("stream_count_windows", f"WITH {WINDOWS_8_4} SELECT session, k, round(s, 6) AS total, 0 AS late FROM full_w")
+def stream_count_windows(spark, sf_dir):
+    """Count windows over a stream of the telemetry in several files and triggers: the batch windows, none late."""
+    rows = telemetry(spark, sf_dir).select("session", "seq", F.timestamp_micros("t_us").alias("ts"), "value")
+    source = stored(rows.repartition(3, "seq"), "telemetry")
+    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    windows = live.expiring_windows(stream, "session", "seq", "ts", "value", 8, 4, late="4000 days", idle=timedelta(days=30))
+    return run_to_end(windows, spark).withColumn("total", F.round("total", 6))

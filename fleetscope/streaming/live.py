@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetscope.functions.numbers import robust_z
@@ -57,3 +59,96 @@ def live_windows(stream: DataFrame, session: str, seq: str, value: str, width: i
     return rows.groupBy("session").applyInPandasWithState(
         step, "session long, k long, total double", state, "append", GroupStateTimeout.NoTimeout
     )
+
+
+#: State store that expiring state needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+WINDOW_SCHEMA = "session long, k long, total double, late long"
+
+
+class CountWindows(StatefulProcessor):
+    """Windows of ``width`` rows every ``stride`` rows of a session, whatever the order its rows arrive in.
+
+    A session's state is a map from row number to value and the number of the
+    next window.  A window is put out as soon as its rows and all windows
+    before it are there.  A gap holds later windows back until the session's
+    timer fires, ``idle`` of event time after its newest row: then the complete
+    windows that are left come out and the session's state goes.  A row before
+    the next window's start comes too late, as does a row of a session whose
+    state went; the numbers of such rows come out with the next window, or at
+    the end with window -1.
+    """
+
+    def __init__(self, width: int, stride: int, idle: timedelta):
+        self.width, self.stride = width, stride
+        self.idle_ms = int(idle.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "seq long", "value double")
+        self.place = handle.getValueState("place", "next long, late long, newest long")
+
+    def _total(self, held: dict[int, float], k: int) -> float | None:
+        """The sum of a window, none where a row is missing."""
+        places = range(k * self.stride, k * self.stride + self.width)
+        return float(sum(held[s] for s in places)) if all(s in held for s in places) else None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        k, late, newest = self.place.get() if self.place.exists() else (0, 0, 0)
+        held = {s[0]: v[0] for s, v in self.rows.iterator()}
+        fresh: dict[int, float] = {}
+        for part in rows:
+            for seq, value, at in zip(part["seq"], part["value"], part["ts"], strict=True):
+                if seq < k * self.stride:
+                    late += 1
+                else:
+                    fresh[int(seq)] = float(value)
+                newest = max(newest, int(at.timestamp() * 1000))
+        held |= fresh
+        found = []
+        while (total := self._total(held, k)) is not None:
+            found.append((k, total))
+            k += 1
+        for seq in list(held):
+            if seq < k * self.stride:
+                if self.rows.containsKey((seq,)):
+                    self.rows.removeKey((seq,))
+            elif seq in fresh:
+                self.rows.updateValue((seq,), (held[seq],))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + self.idle_ms)
+        if found:
+            yield self._frame(key, found, late)
+            late = 0
+        self.place.update((k, late, newest))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        k, late, _ = self.place.get() if self.place.exists() else (0, 0, 0)
+        held = {s[0]: v[0] for s, v in self.rows.iterator()}
+        later = sorted(s // self.stride for s in held if s % self.stride == 0 and s >= k * self.stride)
+        found = [(w, total) for w in later if (total := self._total(held, w)) is not None]
+        self.rows.clear()
+        self.place.clear()
+        if found or late:
+            yield self._frame(key, found or [(-1, 0.0)], late)
+
+    def _frame(self, key: tuple, found: list[tuple[int, float]], late: int) -> pd.DataFrame:
+        counts = [late] + [0] * (len(found) - 1)
+        return pd.DataFrame({"session": key[0], "k": [k for k, _ in found], "total": [t for _, t in found], "late": counts})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_windows(stream: DataFrame, session: str, seq: str, ts: str, value: str, width: int, stride: int, late: str, idle: timedelta) -> DataFrame:
+    """Count windows ``session, k, total, late`` of a stream, with state that expires; see ``CountWindows``.
+
+    ``late`` is the watermark's delay.  Rows with a null session, number, time
+    or value are left out.  The session must use ``STATE_STORE``.
+    """
+    rows = stream.select(
+        F.col(session).cast("long").alias("session"), F.col(seq).cast("long").alias("seq"), F.col(value).cast("double").alias("value"), F.col(ts).cast("timestamp").alias("ts")
+    ).dropna()
+    timed = rows.withWatermark("ts", late)
+    return timed.groupBy("session").transformWithStateInPandas(CountWindows(width, stride, idle), WINDOW_SCHEMA, "append", "EventTime")
