@@ -173,7 +173,13 @@ class _Join:
         # A group's own nodes meet as well; they share the whole prefix, not one element.
         inside = groups.select(F.col("gid").alias("item"), "gid", F.lit(True).alias("own"))
         met = shared.withColumn("own", F.lit(False)).unionByName(inside)
-        self.shared = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "own", "node", "n"), "shared")
+        met = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "own", "node", "n"), "met")
+        # Elements with the same nodes, as all those of a shared passage, give the same pairs: one of them stays, with their number.
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+        lists = met.groupBy("item").agg(*marks, F.count(F.lit(1)).alias("size"), F.bool_or("own").alias("own"))
+        alike = lists.groupBy("mark1", "mark2", "size").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("weight"), F.bool_or("own").alias("own"))
+        self.shared = materialize(met.drop("own").join(alike.select("item", "own", "weight"), "item"), "shared")
+        discard(met)
         self.docs, self.nodes = docs, nodes
         self.labels: DataFrame | None = None
         self.tried: DataFrame | None = None
@@ -186,7 +192,7 @@ class _Join:
         else:
             rows = rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_items = rows.groupBy("item").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("item")
-        return rows.join(open_items, "item").select("item", "own", "node", "n", "label")
+        return rows.join(open_items, "item").select("item", "own", "weight", "node", "n", "label")
 
     def _pairs(self, rows: DataFrame, chosen: DataFrame, every: bool) -> DataFrame:
         """Pairs of a chosen node and another of the same element, with bounds applied."""
@@ -197,12 +203,13 @@ class _Join:
             met = met.where((F.col("label") == F.col("top")) | first)
         pairs = met.select(
             "own",
+            "weight",
             F.least("node", "x").alias("a"),
             F.greatest("node", "x").alias("b"),
             F.when(first, F.col("n")).otherwise(F.col("nx")).alias("na"),
             F.when(first, F.col("nx")).otherwise(F.col("n")).alias("nb"),
         )
-        counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"), F.bool_or("own").alias("own"))
+        counted = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("common"), F.bool_or("own").alias("own"))
         outside = F.greatest(_outside(F.col("na")), _outside(F.col("nb")))
         fit = counted.where(F.col("own") | (F.col("common") + outside >= _needed(F.col("na"), F.col("nb"))))
         if self.tried is not None:
