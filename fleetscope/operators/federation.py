@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetscope.functions.vectors import cosine, poincare_distance, poincare_map, sq_distance
+from fleetscope.functions.vectors import cosine, dot, literal_matrix, poincare_distance, poincare_map, sq_distance
+from fleetscope.operators.memory import covariance_stats
+from fleetscope.operators.scoring import ranked_quantiles
 from fleetscope.plans.storage import stored
 
 
@@ -47,10 +51,82 @@ def agreement(prototypes: DataFrame, metric: str = "cosine") -> DataFrame:
     return sims.groupBy("a", "b", "client_a", "client_b").agg(F.avg("s").alias("sim"))
 
 
+#: Prototypes of a block of the blocked pair join, about.
+PAIR_BLOCK = 256
+
+
+def whitened(prototypes: DataFrame, ridge: float = 1e-2) -> DataFrame:
+    """The vectors multiplied so that squared distances are Mahalanobis ones.
+
+    All vectors of all nodes share one precision, the inverse of their sample
+    covariance plus ``ridge``; it comes from sums of products, and only its
+    width x width entries reach the driver.
+    """
+    pooled = covariance_stats(prototypes.withColumn("__all", F.lit(0)), ["__all"], ridge, column="vec").select("precision").first()
+    if pooled is None:
+        return prototypes
+    factor = literal_matrix(np.linalg.cholesky(np.array(pooled["precision"])).T)
+    return prototypes.withColumn("vec", F.transform(factor, lambda row: dot(row, F.col("vec"))))
+
+
+def blocked_agreement(prototypes: DataFrame, metric: str = "cosine", delta: float | None = None, block: int | None = None) -> DataFrame:
+    """As ``agreement``, above ``delta`` where given, with one product of matrices for each two blocks of prototypes.
+
+    A prototype becomes one vector of all its nodes, scaled (``cosine``), as it
+    is (``l2``) or whitened (``mahalanobis``), so that the mean over its nodes
+    is one dot product.  Blocks of about ``PAIR_BLOCK`` prototypes meet instead
+    of single ones: rows that are shuffled grow with the number of blocks, not
+    of pairs, and only pairs above ``delta`` leave a task.
+    """
+    if metric not in ("cosine", "l2", "mahalanobis"):
+        raise ValueError(f"unknown metric {metric}")
+    rows = prototypes.select("gid", "client", "node", F.col("vec").cast("array<double>").alias("vec"))
+    if metric == "cosine":
+        length = F.greatest(F.sqrt(dot(F.col("vec"), F.col("vec"))), F.lit(1e-12))
+        rows = rows.withColumn("vec", F.transform("vec", lambda x: x / length))
+    elif metric == "mahalanobis":
+        rows = whitened(rows)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("node", "vec"))), lambda s: s["vec"]))
+    packed = stored(rows.groupBy("gid", "client").agg(whole.alias("vec"), F.count(F.lit(1)).alias("nodes")), "prototypes")
+    parts = max(1, round(packed.count() / (block or PAIR_BLOCK)))
+    members = F.collect_list(F.struct("gid", "client", "nodes", "vec"))
+    blocks = packed.groupBy(F.pmod(F.xxhash64("gid"), F.lit(parts)).alias("block")).agg(members.alias("rows"))
+    blocks = stored(blocks, "blocks")
+    sent = blocks.select("block", F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.lit(parts - 1).cast("long"))).alias("other"))
+    met = sent.join(blocks.select(F.col("block").alias("other"), F.col("rows").alias("right")), "other").select("block", "other", "left", "right")
+    ids, names = packed.schema["gid"].dataType, packed.schema["client"].dataType
+    schema = T.StructType([*(T.StructField(n, k) for n, k in (("a", ids), ("b", ids), ("client_a", names), ("client_b", names))), T.StructField("sim", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, other, left, right in zip(*batch.columns, strict=True):
+                sides = []
+                for side in (left.values, right.values):
+                    gid, client, nodes, vec = (side.field(n) for n in ("gid", "client", "nodes", "vec"))
+                    sides.append((gid, client, nodes.to_numpy(), vec.flatten().to_numpy().reshape(len(gid), -1)))
+                (ga, ca, na, va), (gb, cb, _, vb) = sides
+                sim = va @ vb.T
+                if metric != "cosine":
+                    sim = 2 * sim - (va**2).sum(1)[:, None] - (vb**2).sum(1)[None]
+                sim = sim / na[:, None]
+                keep = np.array(ca.to_pylist(), object)[:, None] != np.array(cb.to_pylist(), object)[None]
+                low = np.array(ga.to_pylist(), object)[:, None] < np.array(gb.to_pylist(), object)[None]
+                keep &= low | (one != other)
+                if delta is not None:
+                    keep &= sim > delta
+                i, j = np.nonzero(keep)
+                first = low[i, j]
+                pick = lambda x, y, swap: pa.array([p if s else q for p, q, s in zip(x.take(pa.array(i)).to_pylist(), y.take(pa.array(j)).to_pylist(), swap, strict=True)], x.type)  # noqa: B023, E731
+                columns = [pick(ga, gb, first), pick(ga, gb, ~first), pick(ca, cb, first), pick(ca, cb, ~first), pa.array(sim[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return met.mapInArrow(run, schema)
+
+
 def links(pairs: DataFrame, delta: float | None = None, quantile: float | None = None) -> DataFrame:
     """Pairs above ``delta``, or above the (1 - quantile) percentile of all pairs."""
     if quantile is not None:
-        cut = pairs.agg(F.percentile(F.col("sim"), F.lit(1 - quantile)).alias("cut"))
+        cut = ranked_quantiles(pairs, [], "sim", [1 - quantile]).select(F.col("q")[0].alias("cut"))
         return pairs.crossJoin(F.broadcast(cut)).where("sim > cut").drop("cut")  # one row
     return pairs.where(F.col("sim") > F.lit(delta))
 

@@ -153,6 +153,36 @@ def attention_output(net: Network, rows: np.ndarray, p: Parts, k: int, prior: np
     return _attention_forward(rows[:, : nodes * width].reshape(-1, nodes, width), p, min(k, nodes - 1), edges, slope)[-1]
 
 
+def margin_prototypes(prototypes: int, width: int, margin: float) -> Network:
+    """Hinge loss on cosines: a row's nearest prototype of its class should beat the nearest other one by ``margin``.
+
+    A row is a vector and its class.  ``labels``, the prototypes' classes, are
+    parameters without gradient; NaN marks a prototype that is not there.  Rows
+    without a prototype of their class, or of another, cost nothing.
+    """
+    shapes = {"prototypes": (prototypes, width), "labels": (prototypes,)}
+
+    def gradient(rows: np.ndarray, p: Parts) -> tuple[float, Parts]:
+        x, y, codes = rows[:, :width], rows[:, width], p["prototypes"]
+        length = np.maximum(np.linalg.norm(codes, axis=1), 1e-12)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        similar = unit @ (codes / length[:, None]).T
+        same = p["labels"] == y[:, None]
+        other = ~same & ~np.isnan(p["labels"])
+        own_best, other_best = (np.where(mask, similar, -np.inf).argmax(1) for mask in (same, other))
+        at = np.arange(len(x))
+        gap = margin - (similar[at, own_best] - similar[at, other_best])
+        active = same.any(1) & other.any(1) & (gap > 0)
+        back = np.zeros_like(codes)
+        for best, sign in ((own_best, -1.0), (other_best, 1.0)):
+            k = best[active]
+            by_code = unit[active] / length[k, None] - similar[at[active], k][:, None] * codes[k] / (length[k] ** 2)[:, None]
+            np.add.at(back, k, sign * by_code)
+        return float(gap[active].sum()), {"prototypes": back, "labels": np.zeros(prototypes)}
+
+    return Network(shapes, gradient, 1)
+
+
 def row_blocks(rows: DataFrame, owner: str, x: str = "x") -> DataFrame:
     """``owner, n, x``: the vectors of up to ``BLOCK`` rows of one owner, one after the other; no shuffle.
 

@@ -7,7 +7,7 @@ data, reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.vectors import cosine, sq_distance
-from fleetscope.plans.storage import stored
+from fleetscope.operators.parameters import margin_prototypes, row_blocks, trained
+from fleetscope.plans.storage import discard, stored
 
 
 def linear_encoder(rows: DataFrame, width: int) -> DataFrame:
@@ -182,3 +183,67 @@ def refine_by_margin(rows: DataFrame, prototypes: DataFrame, rounds: int = 5, ra
         new = F.when(F.col("g").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "g", lambda v, g: v + rate * g))
         current = stored(moved.select("pid", "label", new.alias("vec")), "refined")
     return current
+
+
+def refine_with_adam(rows: DataFrame, prototypes: DataFrame, client: str, margin: float = 0.1, steps: int = 50, rate: float = 1e-3) -> DataFrame:
+    """``client, pid, label, vec``: each client's prototypes after Adam on the margin loss over its own rows.
+
+    Rows are ``client, label, vec``, prototypes ``client, pid, label, vec``; the
+    optimizer's moments are columns of the parameter table, carried from step
+    to step.  The loss is the mean over a client's rows.  A client without rows
+    keeps its prototypes.
+    """
+    listed = prototypes.where("vec is not null").groupBy(client).agg(F.sort_array(F.collect_list(F.struct("pid", "label", "vec"))).alias("bank"))
+    listed = stored(listed, "bank")
+    most, width = listed.agg(F.max(F.size("bank")), F.max(F.size(F.col("bank")[0]["vec"]))).first()
+    if not most:
+        return prototypes.select(client, "pid", "label", "vec").limit(0)
+    net = margin_prototypes(most, width, margin)
+    missing = F.lit(most) - F.size("bank")
+    codes = F.concat(F.flatten(F.transform("bank", lambda b: b["vec"].cast("array<double>"))), F.array_repeat(F.lit(0.0), (missing * width).cast("int")))
+    labels = F.concat(F.transform("bank", lambda b: b["label"].cast("double")), F.array_repeat(F.lit(float("nan")), missing.cast("int")))
+    start = listed.select(F.col(client).alias("owner"), F.concat(codes, labels).alias("params"))
+    blocks = row_blocks(rows.where("label is not null").select(client, F.concat(F.col("vec").cast("array<double>"), F.array(F.col("label").cast("double"))).alias("x")), client)
+    moved, _ = trained(stored(blocks, "blocks"), start, net, steps, rate, adam=True)
+    joined = listed.join(moved.select(F.col("owner").alias(client), "params"), client, "left")
+    each = joined.select(client, "params", F.posexplode("bank").alias("at", "b"))
+    vector = F.when(F.col("params").isNull(), F.col("b.vec")).otherwise(F.slice("params", F.col("at") * width + 1, F.lit(width)))
+    return each.select(client, "b.pid", "b.label", vector.alias("vec"))
+
+
+def kmeans_grid(rows: DataFrame, grid: Sequence[int], rounds: int = 5) -> DataFrame:
+    """``group, size, c, vec, n``: Lloyd's rounds of every group with every number of centres of ``grid``, in common jobs.
+
+    As ``kmeans``, whose centres each cell's are.  The centres of a group's
+    whole grid are one row; each row of data is compared with all of them and
+    counted once per size.  ``grid`` and the groups' centres must be few.
+    """
+    sizes = sorted(set(grid))
+    order = Window.partitionBy("group").orderBy("key")
+    first = rows.withColumn("c", F.row_number().over(order) - 1).where(F.col("c") < max(sizes))
+    centres = first.select(F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"), "group", "c", "vec").where("c < size")
+    centres = stored(centres.select("group", "size", "c", "vec", F.lit(0).cast("long").alias("n")), "centres")
+    for _ in range(rounds):
+        placed = nearest_in_grid(rows, centres, sizes).select("group", F.explode("nearest").alias("at"), "vec")
+        cells = placed.select("group", "at.size", "at.c", F.posexplode("vec").alias("dim", "v"))
+        means = cells.groupBy("group", "size", "c", "dim").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        packed = means.groupBy("group", "size", "c").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("vec"), F.max("n").alias("n")
+        )
+        following = stored(packed, "centres")
+        discard(centres)
+        centres = following
+    return centres
+
+
+def nearest_in_grid(rows: DataFrame, centres: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Adds ``nearest``: per size the nearest centre (``size, d, c``); ties to the lowest."""
+    book = centres.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("size", "c", "vec"))).alias("codes"))
+    best = lambda size: F.array_min(
+        F.transform(
+            F.filter("codes", lambda p: p["size"] == size),
+            lambda p: F.struct(sq_distance(F.col("vec"), p["vec"]).alias("d"), p["c"].alias("c")),
+        )
+    )
+    found = F.array(*[F.struct(F.lit(s).alias("size"), best(s)["d"].alias("d"), best(s)["c"].alias("c")) for s in sizes])
+    return rows.join(book, "group").withColumn("nearest", found).drop("codes")

@@ -93,6 +93,20 @@ def fed03_poincare(spark, sf_dir):
     return pair_table(spark, sf_dir, "poincare").select("a", "b", F.round("sim", 5).alias("sim"))
 
 
+@register("fed03_blocked_agreement", f"WITH {PAIRS} SELECT a, b, round(sim, 6) AS sim FROM lk")
+def fed03_blocked(spark, sf_dir):
+    """Pairs above the threshold by products of blocks."""
+    found = federation.blocked_agreement(prototype_nodes(spark, sf_dir), delta=0.05)
+    return found.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@register("fed03_mahalanobis_agreement")
+def fed03_mahalanobis(spark, sf_dir):
+    """Negated Mahalanobis distances under one pooled precision; compared with numpy in the tests."""
+    found = federation.blocked_agreement(prototype_nodes(spark, sf_dir), "mahalanobis")
+    return found.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 @register("jon03_similar_pairs", f"WITH {PAIRS} SELECT a, b FROM lk")
 def jon03(spark, sf_dir):
     return federation.links(pair_table(spark, sf_dir), delta=0.05).select("a", "b")
@@ -266,6 +280,15 @@ def fed18(spark, sf_dir):
     return training.refine_by_margin(rows, start, rounds=3)
 
 
+@register("fed18_adam_refinement")
+def fed18_adam(spark, sf_dir):
+    """Each client's prototypes after twelve Adam steps on the margin loss; compared with numpy in the tests."""
+    rows = embedded(spark, sf_dir).select("client", "label", F.col("v").alias("vec"))
+    start = prototypes(spark, sf_dir).select("client", F.col("gid").alias("pid"), "label", F.flatten("z").alias("vec"))
+    out = training.refine_with_adam(rows, start, "client", margin=0.1, steps=12, rate=1e-3)
+    return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 8)))
+
+
 @register("skw01_quantity_skew", f"""
     WITH {EVENTS}, b AS (SELECT client, floor((client + 1) * 0.1::DOUBLE * count(*))::BIGINT AS budget FROM ev GROUP BY client),
     r AS (SELECT ev.*, row_number() OVER (PARTITION BY client ORDER BY t_us, event_id) - 1 AS p FROM ev)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.vectors import sq_distance, total
-from fleetscope.operators import memory, parameters, windows
+from fleetscope.operators import memory, parameters, projection, windows
 from fleetscope.plans.registry import register, table
 from fleetscope.plans.storage import stored
 from fleetscope.plans.views import NODES, WIDTH, embedded, prototypes
@@ -157,3 +157,12 @@ def fed13(spark, sf_dir):
     plan = parameters.ClusteredRounds(parameters.autoencoder(NODES * WIDTH, 4), replicas=3, rounds=4, rate=0.2, patience=1)
     history, _ = plan.run(stored(parameters.row_blocks(rows, "client"), "blocks"))
     return history.withColumnRenamed("owner", "client").withColumn("loss", F.round("loss", 9))
+
+
+@register("plt01_kernel_projection")
+def plt01_kernel(spark, sf_dir):
+    """The two leading components of every window under a Gaussian kernel, fitted on all windows."""
+    rows = embedded(spark, sf_dir).select("vec_id", "label", F.col("v").alias("x"))
+    found = projection.projected(rows, projection.fit_kernel_projection(rows, features=256))
+    axis = lambda k: F.round(F.col("axes")[k], 6)
+    return found.select("vec_id", "label", axis(0).alias("first"), axis(1).alias("second"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetscope.functions.vectors import sq_distance, total
-from fleetscope.operators import evaluate, memory
+from fleetscope.operators import evaluate, memory, skew, training, windows
 from fleetscope.plans.registry import register
 from fleetscope.plans.storage import stored
 from fleetscope.plans.views import EMBEDDED, embedded, prototypes
@@ -39,6 +39,41 @@ def rpt03(spark, sf_dir):
     return metrics(rows, ["prototypes", "client"])
 
 
+def refit_scores(rows, grid):
+    """Per row of ``group, key, vec, label`` and size of the grid the distance to the nearest centre of its group's k-means."""
+    rows = stored(rows, "rows")
+    centres = training.kmeans_grid(rows, grid, rounds=3)
+    found = training.nearest_in_grid(rows, centres, sorted(set(grid)))
+    return found.select("group", F.explode("nearest").alias("at"), "label").select(
+        "group", F.col("at.size").alias("prototypes"), F.round("at.d", 6).alias("score"), (F.col("label") < 3).alias("bad")
+    )
+
+
+@register("rpt03_refitted_sweep")
+def rpt03_refit(spark, sf_dir):
+    """Detection by number of prototypes, with k-means of every (client, number) cell fitted anew, in common jobs."""
+    rows = embedded(spark, sf_dir).select(F.col("client").alias("group"), F.col("vec_id").alias("key"), F.col("v").alias("vec"), "label")
+    return metrics(refit_scores(rows, GRID), ["prototypes", "group"]).withColumnRenamed("group", "client")
+
+
+#: Concentrations of the Dirichlet law that deals rows to clients.
+ALPHAS = (0.1, 0.5, 5.0)
+
+
+@register("rpt03_skew_sweep")
+def rpt03_skew(spark, sf_dir):
+    """Detection by skew: for each concentration the clients get budgets, are fitted anew on their slice and scored on it."""
+    rows = stored(embedded(spark, sf_dir).select("client", "vec_id", "v", "label"), "windows")
+    total = rows.count()
+    drawn = [(a, c, n) for a in ALPHAS for c, n in skew.dirichlet_budgets(range(4), total, a, least=20, seed=42).items()]
+    budgets = spark.createDataFrame(drawn, "alpha double, client long, budget long")
+    placed = windows.numbered_at_scale(rows, ["client"], ["vec_id"], "place")
+    slices = placed.join(F.broadcast(budgets), "client").where("place < budget")  # alphas x clients rows
+    cells = slices.select(F.struct("alpha", "client").alias("group"), F.col("vec_id").alias("key"), F.col("v").alias("vec"), "label")
+    out = metrics(refit_scores(cells, [4]), ["group"])
+    return out.select("group.alpha", "group.client", "n", "auroc")
+
+
 @register("scr04_exemplar_deviation", f"""
     WITH {EMBEDDED}, x AS (SELECT vec_id, client, label, node, min(g) AS d FROM gaps GROUP BY ALL)
     SELECT vec_id, node, round(d, 6) AS deviation FROM x
