@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetscope.operators import evaluate, localize, windows
+from fleetscope.operators import evaluate, localize, report, windows
 from fleetscope.plans.calibration import NODE_Z, WORST, node_z, wide_scores
 from fleetscope.plans.registry import register, table
 from fleetscope.plans.storage import stored
@@ -322,3 +322,50 @@ def rpt01(spark, sf_dir):
 @register("rpt02_registry", "SELECT n_name AS name FROM nation WHERE n_regionkey IN (0, 2)")
 def rpt02(spark, sf_dir):
     return table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(0, 2)).select(F.col("n_name").alias("name"))
+
+
+LENGTH_BIN = 500
+
+
+def binned_rates(spark, sf_dir):
+    """A supervised method: a document's score is the share of bad ones among its language's documents of like length."""
+    rows = labelled(spark, sf_dir).withColumn("bin", F.floor(F.col("score") / LENGTH_BIN))
+    rates = rows.groupBy("lang", "bin").agg(F.avg(F.col("bad").cast("double")).alias("rate"))
+    scored = rows.join(rates, ["lang", "bin"]).select("lang", F.round("rate", 9).alias("rate"), "bad")
+    return evaluate.detection_metrics(scored, ["lang"], "rate", F.col("bad"))
+
+
+def inverse_length(spark, sf_dir):
+    return evaluate.detection_metrics(labelled(spark, sf_dir).withColumn("score", -F.col("score")), ["lang"], "score", F.col("bad"))
+
+
+METHODS = (
+    report.Method("length", curve), report.Method("inverse", inverse_length), report.Method("length rates", binned_rates, supervised=True),
+    report.Method("hypernetwork"), report.Method("prompted classifier", supervised=True),
+)
+
+METHOD_ROWS = f"""
+    {LABELLED}, rt AS (SELECT lang, floor(score / {LENGTH_BIN}) AS bin, avg(bad::INT) AS rate FROM ld GROUP BY ALL),
+    al AS (SELECT 'length' AS method, lang, score, bad FROM ld UNION ALL SELECT 'inverse', lang, -score, bad FROM ld
+           UNION ALL SELECT 'length rates', ld.lang, round(rate, 9), bad FROM ld JOIN rt ON rt.lang = ld.lang AND rt.bin = floor(ld.score / {LENGTH_BIN})),
+    sc AS (SELECT method, lang, score, count(*) FILTER (bad) AS pos, count(*) FILTER (NOT bad) AS neg FROM al GROUP BY ALL),
+    cv AS (SELECT *, sum(neg) OVER (PARTITION BY method, lang ORDER BY score) - neg AS below, sum(pos) OVER w AS P, sum(neg) OVER w AS N FROM sc WINDOW w AS (PARTITION BY method, lang)),
+    mt AS (SELECT method, lang, sum(pos * (below + 0.5 * neg)) / (max(P) * max(N)) AS auroc FROM cv GROUP BY ALL HAVING max(P) > 0 AND max(N) > 0)"""
+
+
+@register("rpt01_registered_methods", f"""
+    WITH {METHOD_ROWS} SELECT method, method <> 'length rates' AS comparable, round(avg(auroc), 6)::DOUBLE AS auroc, count(*) AS clients FROM mt GROUP BY ALL
+""")
+def rpt01_registered(spark, sf_dir):
+    """The registered methods' mean AUROC over languages; the supervised one is marked as not comparable."""
+    return report.compared(METHODS, spark, sf_dir).withColumn("auroc", F.round("auroc", 6))
+
+
+@register("rpt02_method_registry", f"""
+    WITH {METHOD_ROWS}, rg(method, supervised, implemented) AS (VALUES ('length', false, true), ('inverse', false, true), ('length rates', true, true),
+        ('hypernetwork', false, false), ('prompted classifier', true, false))
+    SELECT method, supervised, implemented, count(lang) AS clients FROM rg LEFT JOIN mt USING (method) GROUP BY ALL
+""")
+def rpt02_registered(spark, sf_dir):
+    """All registered methods: which are implemented, and for how many languages they have results."""
+    return report.registry(METHODS, report.compared(METHODS, spark, sf_dir))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -355,10 +353,8 @@ def fed12(spark, sf_dir):
     WITH {EMBEDDED} SELECT client, m, count(*) AS cells, round(sum(x), 6) AS total FROM (SELECT client, m, unnest(pv) AS x FROM pr) GROUP BY ALL
 """)
 def set03(spark, sf_dir):
-    """The clients' prototypes put behind each other, without alignment."""
-    each = [prototypes(spark, sf_dir).where(F.col("client") == c).select("client", "m", "z") for c in range(4)]
-    bank = functools.reduce(lambda a, b: a.unionByName(b), each)
-    cells = bank.select("client", "m", F.explode(F.flatten("z")).alias("x"))
+    """The clients' prototypes as one bank, without alignment: the table of all clients is the bank."""
+    cells = prototypes(spark, sf_dir).select("client", "m", F.explode(F.flatten("z")).alias("x"))
     return cells.groupBy("client", "m").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("x"), 6).alias("total"))
 
 

@@ -6,10 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from fleetscope.functions.vectors import total
 from fleetscope.operators.report import sweep
 from fleetscope.plans.registry import register, table
 from fleetscope.plans.storage import new_path
-from fleetscope.plans.views import EVENTS, telemetry
+from fleetscope.plans.views import EVENTS, NODES, WIDTH, embedded, telemetry
 from fleetscope.sources import archives, sessions
 
 
@@ -116,6 +117,23 @@ def snk01(spark, sf_dir):
     return back.groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@register("src10_prebuilt_windows", f"""
+    WITH em AS (SELECT vec_id, vec_id % 4 AS client, embedding::DOUBLE[] AS v FROM embeddings),
+    nd AS (SELECT vec_id, client, k, list_sum(v[k * 8 + 1:k * 8 + 8]) AS s FROM em, (SELECT unnest(range(8)) AS k) WHERE k NOT IN (2, 5))
+    SELECT client, 'n' || k AS node, count(*) AS windows, round(sum(s), 6) AS total FROM nd GROUP BY ALL
+""")
+def src10_prebuilt(spark, sf_dir):
+    """A dataset of windows is written with its metadata and loaded without two dead nodes."""
+    path, names = new_path(spark, "dataset"), [f"n{i}" for i in range(NODES)]
+    sessions.write_dataset(embedded(spark, sf_dir).select("vec_id", "client", "z"), path, {"nodes": json.dumps(names), "width": WIDTH})
+    windows, kept = sessions.read_prebuilt(spark, path, "z", dead=["n2", "n5"])
+    cells = windows.select("client", F.posexplode("z").alias("at", "values"))
+    node = F.element_at(F.array(*[F.lit(n) for n in kept]), F.col("at") + 1).alias("node")
+    return cells.groupBy(F.col("client").cast("long").alias("client"), node).agg(
+        F.count(F.lit(1)).alias("windows"), F.round(F.sum(total(F.col("values"))), 6).alias("total")
+    )
+
+
 @register("snk02_report", "SELECT n_regionkey AS client, count(*) AS n FROM nation GROUP BY ALL")
 def snk02(spark, sf_dir):
     path = new_path(spark, "report")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,25 @@ def read_dataset(spark: SparkSession, path: str, drop: Sequence[str] = ()) -> Da
     return spark.read.parquet(f"{path}/windows").drop(*drop)
 
 
+def read_prebuilt(spark: SparkSession, path: str, values: str, dead: Sequence[str] = (), nodes: str = "nodes") -> tuple[DataFrame, list[str]]:
+    """The windows of a written dataset without the dead nodes, and the names of those that stay, in order.
+
+    The metadata's ``nodes`` (a JSON list) names the entries of the array
+    ``values``, one per node.  A dead node that the dataset lacks is an error,
+    as is a window with another number of nodes.
+    """
+    row = spark.read.json(f"{path}/metadata").first()
+    names = json.loads(row[nodes])
+    unknown = sorted(set(dead) - set(names))
+    if unknown:
+        raise ValueError(f"not in the dataset: {unknown}")
+    stay = [i for i, n in enumerate(names) if n not in set(dead)]
+    windows = read_dataset(spark, path)
+    wrong = F.raise_error(F.lit(f"a window without {len(names)} nodes"))
+    kept = F.when(F.size(values) == len(names), F.array(*[F.col(values)[i] for i in stay])).when(F.col(values).isNotNull(), wrong)
+    return windows.withColumn(values, kept), [names[i] for i in stay]
+
+
 def write_report(metrics: DataFrame, path: str, by: Sequence[str]) -> None:
     """Metric rows as JSON, nested below the report keys."""
     leaf = [c for c in metrics.columns if c not in by]

@@ -304,3 +304,22 @@ def test_comparison_table(spark):
     ours = spark.createDataFrame([(0.9,), (0.7,)], "auroc double")
     got = report.comparison({"ours": (ours, True)}).first()
     assert (got.method, round(got.auroc, 9), got.clients, got.comparable) == ("ours", 0.8, 2, True)
+
+
+def test_prebuilt_windows_lose_their_dead_nodes(spark, tmp_path):
+    path = f"file://{tmp_path}/set"
+    rows = [("a", [1.0, 2.0, 3.0]), ("b", [4.0, 5.0, 6.0]), ("b", None)]
+    sessions.write_dataset(spark.createDataFrame(rows, "client string, x array<double>"), path, {"nodes": '["u", "v", "w"]'})
+    windows_, names = sessions.read_prebuilt(spark, path, "x", dead=["v"])
+    assert names == ["u", "w"] and sorted((r.client, r.x) for r in windows_.collect() if r.x) == [("a", [1.0, 3.0]), ("b", [4.0, 6.0])] and windows_.count() == 3
+    with pytest.raises(ValueError):
+        sessions.read_prebuilt(spark, path, "x", dead=["other"])
+
+
+def test_only_implemented_methods_are_compared(spark):
+    result = lambda *values: lambda spark, _: spark.createDataFrame([(v,) for v in values], "auroc double")
+    methods = [report.Method("one", result(0.5, 1.0, None)), report.Method("two", result(0.25), supervised=True), report.Method("three")]
+    table = report.compared(methods, spark, "")
+    assert {(r.method, r.auroc, r.clients, r.comparable) for r in table.collect()} == {("one", 0.75, 2, True), ("two", 0.25, 1, False)}
+    listed = {(r.method, r.supervised, r.implemented, r.clients) for r in report.registry(methods, table).collect()}
+    assert listed == {("one", False, True, 2), ("two", True, True, 1), ("three", False, False, 0)}
