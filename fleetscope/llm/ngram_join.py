@@ -4,8 +4,10 @@ Every document becomes the set of hashes of its five-word shingles in one global
 order: shingles that a sample shows to be frequent come last, the rest by hash.
 Sets that reach the threshold share an element of their prefixes.  Documents
 with identical prefixes and size are one group; only groups of different
-documents that share a prefix element meet, and only members of pairs that pass
-the size and overlap bounds are verified on the whole sets.
+documents that share a prefix element meet, at places that are early enough for
+both sizes.  Elements of one passage occur in the same sets and count as one.
+Members of pairs whose prefixes have enough in common are verified on the whole
+sets.
 
 As the result is a component per document, pairs that earlier links already
 connect need no verification.  Rounds therefore compare the members of every
@@ -161,26 +163,33 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
 
 
+def _with_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with ``left`` and ``right``, the items of both nodes."""
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
+    return pairs.join(left, "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
+
+
 class _Join:
     """The state of the rounds: shared elements, whole sets of the nodes in question, links, labels."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, sig: DataFrame):
-        items = sig.where("n > 0").select(F.explode("prefix").alias("item"), "gid")
+        items = sig.where("n > 0").select(F.posexplode("prefix").alias("pos", "item"), "gid")
         # Aggregated in the map tasks first, so the rows of a frequent element meet in no task.
         ends = items.groupBy("item").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
-        shared = items.join(ends.where("low <> high").select("item"), "item").select("item", "gid").distinct()
+        shared = items.join(ends.where("low <> high").select("item"), "item").select("item", "pos", "gid").distinct()
         groups = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         # A group's own nodes meet as well; they share the whole prefix, not one element.
-        inside = groups.select(F.col("gid").alias("item"), "gid", F.lit(True).alias("own"))
+        inside = groups.select(F.col("gid").alias("item"), F.lit(0).alias("pos"), "gid", F.lit(True).alias("own"))
         met = shared.withColumn("own", F.lit(False)).unionByName(inside)
-        met = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "own", "node", "n"), "met")
-        # Elements with the same nodes, as all those of a shared passage, give the same pairs: one of them stays, with their number.
+        met = materialize(met.join(nodes.select("gid", "node", "n"), "gid").select("item", "own", "pos", "node", "n"), "met")
+        # Elements with the same nodes, as all those of a shared passage, give the same pairs: the first in order stays,
+        # which is first in every one of its sets.
         marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-        lists = met.groupBy("item").agg(*marks, F.count(F.lit(1)).alias("size"), F.bool_or("own").alias("own"))
-        alike = lists.groupBy("mark1", "mark2", "size").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("weight"), F.bool_or("own").alias("own"))
-        self.shared = materialize(met.drop("own").join(alike.select("item", "own", "weight"), "item"), "shared")
+        lists = met.groupBy("item").agg(*marks, F.count(F.lit(1)).alias("size"), F.bool_or("own").alias("own"), F.min("pos").alias("first"))
+        alike = lists.groupBy("mark1", "mark2", "size").agg(F.min_by("item", "first").alias("item"), F.bool_or("own").alias("own"))
+        self.shared = materialize(met.drop("own").join(alike.select("item", "own"), "item"), "shared")
         discard(met)
-        self.docs, self.nodes = docs, nodes
+        self.docs, self.nodes, self.sig = docs, nodes, sig
         self.labels: DataFrame | None = None
         self.tried: DataFrame | None = None
 
@@ -192,29 +201,48 @@ class _Join:
         else:
             rows = rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_items = rows.groupBy("item").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("item")
-        return rows.join(open_items, "item").select("item", "own", "weight", "node", "n", "label")
+        return rows.join(open_items, "item").select("item", "own", "pos", "node", "n", "label")
 
     def _pairs(self, rows: DataFrame, chosen: DataFrame, every: bool) -> DataFrame:
-        """Pairs of a chosen node and another of the same element, with bounds applied."""
-        left = chosen.select("item", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        met = rows.join(left, "item").where((F.col("label") != F.col("lx")) & _sizes_fit(F.col("n"), F.col("nx")))
+        """Pairs of a chosen node and another of the same element, with bounds applied.
+
+        Sets of ``n`` and ``nx`` elements with ``needed`` common ones share one
+        of the first ``n - needed + 1`` of the one and ``nx - needed + 1`` of
+        the other, so an element counts only where it is that early in both.
+        """
+        left = chosen.select("item", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
+        needed = _needed(F.col("n"), F.col("nx"))
+        early = F.col("own") | ((F.col("pos") <= F.col("n") - needed) & (F.col("px") <= F.col("nx") - needed))
+        met = rows.join(left, "item").where((F.col("label") != F.col("lx")) & _sizes_fit(F.col("n"), F.col("nx")) & early)
         first = F.col("node") < F.col("x")
         if every:  # where both nodes are chosen, the pair comes from one side only
             met = met.where((F.col("label") == F.col("top")) | first)
         pairs = met.select(
-            "own",
-            "weight",
             F.least("node", "x").alias("a"),
             F.greatest("node", "x").alias("b"),
             F.when(first, F.col("n")).otherwise(F.col("nx")).alias("na"),
             F.when(first, F.col("nx")).otherwise(F.col("n")).alias("nb"),
-        )
-        counted = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("common"), F.bool_or("own").alias("own"))
-        outside = F.greatest(_outside(F.col("na")), _outside(F.col("nb")))
-        fit = counted.where(F.col("own") | (F.col("common") + outside >= _needed(F.col("na"), F.col("nb"))))
+        ).distinct()
         if self.tried is not None:
-            fit = fit.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")
-        return materialize(fit.select("a", "b", "na", "nb"), "pairs")
+            pairs = pairs.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")
+        return self._alike_in_front(materialize(pairs, "pairs"))
+
+    def _alike_in_front(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes have so many elements in common that the sets may reach the threshold."""
+        found = materialize(self._wanted(pairs, self.sig.select("key", "prefix")), "prefixes")
+        both = _with_sides(pairs, found.select("node", F.col("prefix").alias("items")))
+        outside = F.greatest(_outside(F.col("na")), _outside(F.col("nb")))
+        enough = F.size(F.array_intersect("left", "right")) + outside >= _needed(F.col("na"), F.col("nb"))
+        fit = materialize(both.where(enough).select("a", "b", "na", "nb"), "fit")
+        discard(pairs, found)
+        return fit
+
+    def _wanted(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """``rows`` of the documents that stand for the pairs' nodes, with ``node``."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = materialize(self.nodes.join(ids, "node").select(F.col("rep").alias("key"), "node"), "wanted")
+        small = wanted.count() <= MOST_IDS
+        return rows.join(F.broadcast(wanted) if small else wanted, "key")
 
     def run(self) -> None:
         """Rounds with leaders, one at least, until few pairs are left, then the last round."""
@@ -252,16 +280,11 @@ class _Join:
         """Count the common elements of whole sets; links join the components."""
         if pairs.isEmpty():
             return discard(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = materialize(self.nodes.join(ids, "node").select(F.col("rep").alias("key"), "node"), "wanted")
-        small = wanted.count() <= MOST_IDS
-        texts = self.docs.join(F.broadcast(wanted) if small else wanted, "key")
+        texts = self._wanted(pairs, self.docs)
         sets = materialize(
             document_sets(texts.select(F.col("node").alias("key"), "text")).withColumnRenamed("key", "node"), "sets"
         )
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b"
-        )
+        both = _with_sides(pairs, sets)
         common = F.size(F.array_intersect("left", "right"))
         checked = both.select("a", "b", (100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).alias("linked"))
         if self.tried is None:
@@ -269,7 +292,7 @@ class _Join:
         else:
             tried = materialize(checked.unionByName(self.tried), "tried")
             discard(self.tried)
-        discard(pairs, wanted, sets)
+        discard(pairs, sets)
         self.tried = tried
         links = tried.where("linked").select("a", "b")
         if not links.isEmpty():
