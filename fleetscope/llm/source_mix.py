@@ -23,6 +23,8 @@ from fleetscope.llm.common import WORD, materialize, whole_text
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 500
 FAN_IN = 200
+#: A unit is large if so many of it would hold more than all smaller ones.
+LARGE = 200
 EDGE = 1e-9
 
 
@@ -65,13 +67,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     )
 
 
+def settle_large(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> int:
+    """Decide units, largest first, that hold much of what the others do; returns how many, and changes ``p``.
+
+    Each goes to 0 or 1 and all later ones shift alike to keep sum(p * size), so
+    no such unit is left for the landing.  A unit that the later ones cannot
+    make up for ends this.
+    """
+    rest = float(size.sum())
+    for k in range(len(p) - 3):
+        rest -= size[k]
+        if size[k] * LARGE <= rest or not EDGE < p[k] < 1 - EDGE:
+            return k
+        up, down = (1 - p[k]) * size[k] / max(rest, 1.0), p[k] * size[k] / max(rest, 1.0)
+        if up >= p[k + 1 :].min() or down >= 1 - p[k + 1 :].max():
+            return k
+        taken = draws[k] < p[k]
+        p[k] = float(taken)
+        p[k + 1 :] += -up if taken else down
+    return 0
+
+
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move ``p`` towards 0 and 1 with sum(p) and sum(p * size) unchanged; at most two stay between."""
+    """Move ``p`` towards 0 and 1 with sum(p) and sum(p * size) unchanged; at most two stay between.
+
+    ``size`` descends.  Units of very large size are settled first, at the cost of sum(p).
+    """
     p = p.copy()
     pool: list[int] = []
-    draws = rng.random(3 * len(p) + 8)
-    used = 0
-    for unit in (*range(len(p)), -1):
+    draws = rng.random(4 * len(p) + 8)
+    used = len(p)
+    for unit in (*range(settle_large(p, size, draws), len(p)), -1):
         if unit >= 0:
             if p[unit] < EDGE or p[unit] > 1 - EDGE:
                 p[unit] = round(p[unit])
@@ -122,11 +148,23 @@ def _level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
 
 
 def _salted(rows: DataFrame) -> DataFrame:
-    """``mixed``, a hash that deals rows to blocks: of source, id and text, and of the row where many rows share these."""
-    named = rows.withColumn("mixed", F.xxhash64("place", "doc_id", "mark"))
-    many = named.groupBy("mixed").count().where(F.col("count") > BLOCK // 2).select(F.col("mixed").alias("__many"))
-    salted = F.when(F.col("__many").isNotNull(), F.xxhash64("mixed", "row")).otherwise(F.col("mixed"))
-    return named.join(many, F.col("mixed") == F.col("__many"), "left").withColumn("mixed", salted).drop("__many", "mark", "row")
+    """``mixed``, a hash that deals rows to blocks: of source, id and text, and of a number where many rows share these.
+
+    Which of equal rows gets which number does not matter, as long as the
+    numbers are 0, 1, ..: the result is the same however the input is split.
+    """
+    named = rows.withColumn("mixed", F.xxhash64("place", "doc_id", "mark")).drop("mark")
+    many = materialize(named.groupBy("mixed").count().where(F.col("count") > BLOCK // 2).select("mixed"), "mix-many")
+    if many.isEmpty():
+        return named
+    equal = materialize(named.join(many, "mixed").withColumn("part", F.spark_partition_id()), "mix-equal")
+    counts = equal.groupBy("mixed", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("mixed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("mixed", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("mixed", "part").orderBy("place"))
+    numbered = equal.withColumn("inside", inside).join(offsets, ["mixed", "part"])
+    salted = numbered.withColumn("mixed", F.xxhash64("mixed", F.col("inside") + F.col("before"))).select(named.columns)
+    return named.join(many, "mixed", "left_anti").select(named.columns).unionByName(salted)
 
 
 def mix_sources(
@@ -152,7 +190,6 @@ def mix_sources(
         F.col(source_col).cast("string").alias("source"),
         word_count(text_col).alias("size"),
         F.xxhash64(text_col).alias("mark"),
-        F.monotonically_increasing_id().alias("row"),
     )
     sizes = materialize(sizes, "mix-sizes")
     named = materialize(source_targets(sizes, weights, most).withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "mix-targets")
@@ -162,7 +199,7 @@ def mix_sources(
     )
     right = named.withColumnRenamed("source", "__source")
     rows = sizes.join(right, F.col("source").eqNullSafe(F.col("__source"))).select(
-        "doc_id", "size", "source_size", "target", "whole", "p", "place", "n_docs", "mark", "row"
+        "doc_id", "size", "source_size", "target", "whole", "p", "place", "n_docs", "mark"
     )
     rows = _salted(rows)
     blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK), F.lit(1))

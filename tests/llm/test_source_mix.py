@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from corpus import SCHEMA, awkward_texts, rows
 from pyspark.sql import functions as F
 
@@ -73,10 +75,34 @@ def test_many_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
     target = {r.source_size: r.target for r in got}
     for size, want in target.items():
         assert abs(sum(r.taken for r in got if r.source_size == size) - want) <= 7
-    rows_ = df.select("doc_id", "text", F.lit(0).alias("place"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"))
+    rows_ = df.select("doc_id", "text", F.lit(0).alias("place"), F.xxhash64("text").alias("mark"))
     assert max(r["count"] for r in source_mix._salted(rows_).groupBy("mixed").count().collect()) <= 10
 
 
+@pytest.mark.parametrize("block", [20, 500])
+def test_the_split_of_the_input_does_not_matter(spark, monkeypatch, block):
+    monkeypatch.setattr(source_mix, "BLOCK", block)
+    data = [(7, "equal row of five words", "x")] * 1001 + [(i, "w " * (i % 37 + 1), "xyz"[i % 3]) for i in range(299)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    results = [Counter((r.doc_id, r.size, r.taken) for r in mix_sources(df.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert results[0] == results[1] == results[2]
+
+
+def test_large_documents_are_settled_first():
+    size, start = np.array([400.0, 300.0, *np.arange(60, 0, -1) * 3]), np.full(62, 0.6)
+    hits, totals = np.zeros(62), []
+    for k in range(300):
+        p = flight(start, size, np.random.default_rng(k))
+        assert abs((p - start) @ size) < 1e-6 and p[0] in (0, 1) and p[1] in (0, 1)
+        q = land(p, size)
+        hits += q
+        totals.append(abs((q - start) @ size))
+    assert np.percentile(totals, 90) <= 60
+    assert abs(hits[:2].mean() / 300 - 0.6) < 0.08 and abs(hits[2:].mean() / 300 - 0.6) < 0.05
+    hopeless = flight(np.full(3, 0.5), np.array([1000.0, 2.0, 1.0]), np.random.default_rng(1))
+    assert abs((hopeless - 0.5) @ np.array([1000.0, 2.0, 1.0])) < 1e-6
+
+
 def test_flight_keeps_totals_and_probabilities():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 500, 300).astype(float)
