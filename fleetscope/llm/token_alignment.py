@@ -114,6 +114,9 @@ def byte_letters() -> dict[str, int]:
 class TwoTokenizers:
     """Encoders A (byte-level BPE, JSON) and B (sentence pieces) with the bytes of their tokens.
 
+    A must split texts by the usual byte-level pattern, whose matches never go
+    on from a visible character to a space; B's pieces are looked at.
+
     ``names`` has per tokenizer and id its number as text, with a comma or, for
     the last token of a group, with the mark that follows A's or B's part.
     """
