@@ -3,7 +3,8 @@
 Patterns propose candidates.  The hash of each candidate's value is counted over
 distinct repositories and owners of the whole corpus: values that many owners or
 repositories share are copied examples, values of one owner in one repository
-look live.  The loose patterns count only where the value looks live.
+look live.  The loose patterns (passwords in addresses, private key blocks, bearer
+tokens, opaque runs) count only where the value looks live.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from fleetscope.llm.common import materialize, row_key, whole_text
 
 @dataclass(frozen=True)
 class Kind:
-    """``group`` of ``pattern`` is the secret value; it needs ``least`` characters and a match of each of ``holds``."""
+    """``group`` of ``pattern`` is the secret value; it needs ``least`` characters and a match of each of ``holds``.
+
+    Only texts that contain ``sign`` are searched.
+    """
 
     name: str
     pattern: str
@@ -27,12 +31,16 @@ class Kind:
     least: int
     base: bool = True
     holds: tuple[str, ...] = ()
+    sign: str = ""
 
 
 KINDS = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20),
     Kind("hex", r"[0-9a-f]+", 0, 24),
+    Kind("uri", r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\x20\x09-\x0D/@:"'<>]*+:([^\x20\x09-\x0D/@"'<>]++)@""", 1, 6, base=False, sign="://"),
+    Kind("key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\x20\x09-\x0D]++)-----END", 1, 40, base=False, sign="-----BEGIN"),
+    Kind("bearer", r"(?i:bearer|basic)\x20++([A-Za-z0-9+/_.~=-]++)", 1, 16, base=False, holds=("[0-9]", "[A-Za-z]")),
     Kind("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 0, 24, base=False, holds=("[0-9]", "[A-Z]", "[a-z]")),
 )
 
@@ -103,11 +111,16 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
         few = F.size(found) < PASS
         return F.when(few, one_pass(pieces, F.lit(0))).otherwise(_let(pieces, lambda p: _let(cut(p), in_passes)))
 
-    return F.when(F.size(hits) > 0, _let(hits, placed)).otherwise(none)
+    seen = F.size(hits) > 0
+    return F.when(F.contains(text, F.lit(kind.sign)) & seen if kind.sign else seen, _let(hits, placed)).otherwise(none)
 
 
 def find_candidates(df: DataFrame, id_col: str, text_col: str, owner_col: str, repository: Column) -> DataFrame:
-    """Per row: id, row key, owner, repository, the sorted base spans and the loose candidates that overlap none of them."""
+    """Per row: id, row key, owner, repository, the sorted base spans, and the loose candidates.
+
+    A loose candidate overlaps no base span, and one of the last kind, whose
+    pattern says least, none of another loose kind.
+    """
     found = df.select(
         F.col(id_col).alias("doc_id"),
         row_key(id_col, whole_text(text_col)).alias("key"),
@@ -119,9 +132,11 @@ def find_candidates(df: DataFrame, id_col: str, text_col: str, owner_col: str, r
     spans = found.select(*head, *[_spans(F.col("__text"), kind, rank).alias(f"__{kind.name}") for rank, kind in enumerate(KINDS)])
     base = F.concat(*[F.col(f"__{kind.name}") for kind in KINDS if kind.base])
     loose = F.concat(*[F.col(f"__{kind.name}") for kind in KINDS if not kind.base])
-    overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    overlaps = lambda x, spans, kinds: F.exists(spans, lambda b: kinds(b) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    last = len(KINDS) - 1
+    met = lambda x: overlaps(x, "base", lambda b: F.lit(True)) | ((x["rank"] == last) & overlaps(x, "loose", lambda b: b["rank"] < last))
     return spans.select(*head, F.sort_array(base).alias("base"), loose.alias("loose")).select(
-        *head, "base", F.filter("loose", lambda x: ~overlaps(x)).alias("loose")
+        *head, "base", F.filter("loose", lambda x: ~met(x)).alias("loose")
     )
 
 
