@@ -206,26 +206,42 @@ def merge_class_prototypes(local: DataFrame, label: str) -> DataFrame:
     return local.groupBy(label, "dim").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
 
 
+#: Bank vectors that travel as one row; larger banks are cut into parts of about so many.
+BANK_ROWS = 10_000
+
+
+def one_row_bank(bank: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The bank as one row with the array ``bank``, to be broadcast; more than ``BANK_ROWS`` vectors are an error."""
+    n = bank.count()
+    if n > BANK_ROWS:
+        raise ValueError(f"{n} vectors are too many for one row")
+    return F.broadcast(bank.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("bank")))
+
+
 def retrieval_vote(samples: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """``key, label, vote, alpha``: the ``k`` most similar bank vectors vote by similarity; alpha is the best one.
 
-    Samples are ``key, vec``, the bank ``pid, label, vec``.  The bank is one row
-    of arrays, so samples are neither multiplied nor shuffled.
+    Samples are ``key, vec``, the bank ``pid, label, vec``.  A bank of up to
+    ``BANK_ROWS`` vectors is one row of arrays, so samples are neither
+    multiplied nor shuffled.  A larger one is cut into parts that each sample
+    meets in turn; the best ``k`` of each part meet again by key.
     """
-    packed = bank.agg(F.sort_array(F.collect_list(F.struct("pid", "label", "vec"))).alias("bank"))
-    scored = samples.crossJoin(packed).select(  # one row
-        "key",
-        F.slice(
-            F.array_sort(
-                F.transform(
-                    "bank",
-                    lambda p: F.struct((-F.round(cosine(F.col("vec"), p["vec"]), 12)).alias("minus"), p["pid"].alias("pid"), p["label"].alias("label")),
-                )
-            ),
-            1,
-            k,
-        ).alias("top"),
+    kept = stored(bank.select("pid", "label", "vec"), "bank")
+    parts = max(1, -(-kept.count() // BANK_ROWS))
+    place = F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int").alias("part")
+    packed = kept.groupBy(place).agg(F.sort_array(F.collect_list(F.struct("pid", "label", "vec"))).alias("bank"))
+    if parts == 1:
+        met = samples.crossJoin(F.broadcast(packed.select("bank")))  # one row
+    else:
+        met = samples.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed, "part")
+    near = F.transform(
+        "bank",
+        lambda p: F.struct((-F.round(cosine(F.col("vec"), p["vec"]), 12)).alias("minus"), p["pid"].alias("pid"), p["label"].alias("label")),
     )
+    scored = met.select("key", F.slice(F.array_sort(near), 1, k).alias("top"))
+    if parts > 1:
+        merged = F.flatten(F.collect_list("top"))
+        scored = scored.groupBy("key").agg(F.slice(F.array_sort(merged), 1, k).alias("top"))
     votes = scored.select("key", (-F.col("top")[0]["minus"]).alias("alpha"), F.explode("top").alias("t"))
     sums = votes.groupBy("key", "alpha", F.col("t.label").alias("label")).agg(F.sum(F.greatest(-F.col("t.minus"), F.lit(0.0))).alias("s"))
     whole = F.sum("s").over(Window.partitionBy("key"))
@@ -234,7 +250,7 @@ def retrieval_vote(samples: DataFrame, bank: DataFrame, k: int) -> DataFrame:
 
 def contrastive_loss(samples: DataFrame, prototypes: DataFrame, temperature: float = 0.1) -> DataFrame:
     """Mean cross-entropy of the softmax of cosine similarities over the classes that have a prototype."""
-    packed = prototypes.agg(F.sort_array(F.collect_list(F.struct("label", "vec"))).alias("bank"))
+    packed = one_row_bank(prototypes, ["label", "vec"])
     logits = samples.crossJoin(packed).select(  # one row
         "label",
         F.transform("bank", lambda p: F.struct(p["label"].alias("label"), (cosine(F.col("vec"), p["vec"]) / temperature).alias("s"))).alias("l"),

@@ -133,14 +133,15 @@ def chronological_split(df: DataFrame, client: Sequence[str], order: Sequence[st
 
 
 def hashed_split(df: DataFrame, strata: Sequence[str], key: str, train: float = 0.70, seed: int = 42) -> DataFrame:
-    """Adds ``split`` train or test: a repeatable pseudo-random share of each stratum."""
+    """Adds ``split`` train or test: a repeatable pseudo-random share of each stratum; a null stratum is one too."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(mixed, key)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    return df.withColumn("split", F.when(place < share_of(n, train), "train").otherwise("test"))
+    placed = numbered_at_scale(df.withColumn("__mixed", mixed), strata, ["__mixed", key], "__place")
+    placed = same_group(placed, placed.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n")), strata)
+    name = F.when(F.col("__place") < share_of(F.col("__n"), train), "train").otherwise("test")
+    return placed.withColumn("split", name).select(*df.columns, "split")
 
 
 def round_robin(df: DataFrame, group: Sequence[str], order: Sequence[str], clients: int) -> DataFrame:
     """Adds ``client``: files of a group dealt out in order."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("client", F.pmod(place, F.lit(clients)).cast("long"))
+    placed = numbered_at_scale(df, group, order, "__place")
+    return placed.withColumn("client", F.pmod("__place", F.lit(clients)).cast("long")).drop("__place")

@@ -323,3 +323,23 @@ def test_only_implemented_methods_are_compared(spark):
     assert {(r.method, r.auroc, r.clients, r.comparable) for r in table.collect()} == {("one", 0.75, 2, True), ("two", 0.25, 1, False)}
     listed = {(r.method, r.supervised, r.implemented, r.clients) for r in report.registry(methods, table).collect()}
     assert listed == {("one", False, True, 2), ("two", True, True, 1), ("three", False, False, 0)}
+
+
+def test_a_large_bank_votes_as_one_row_does(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    samples = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(12)], "key long, vec array<double>")
+    bank = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(20)], "pid long, label int, vec array<double>")
+    votes = lambda: sorted((r.key, r.label, round(r.vote, 9), round(r.alpha, 9)) for r in federation.retrieval_vote(samples, bank, 3).collect())
+    whole = votes()
+    monkeypatch.setattr(federation, "BANK_ROWS", 6)
+    assert votes() == whole
+    with pytest.raises(ValueError):
+        federation.one_row_bank(bank, ["pid", "vec"])
+
+
+def test_splits_of_null_strata(spark):
+    df = spark.createDataFrame([("a" if i % 2 else None, i) for i in range(40)], "g string, id long")
+    split = windows.hashed_split(df, ["g"], "id").groupBy("g", "split").count().collect()
+    assert {(r.g, r.split): r["count"] for r in split} == {(g, s): n for g in ("a", None) for s, n in (("train", 14), ("test", 6))}
+    dealt = windows.round_robin(df, ["g"], ["id"], 3).collect()
+    assert all(r.client == (r.id // 2) % 3 for r in dealt) and len(dealt) == 40
