@@ -83,17 +83,27 @@ def two_stage(df: DataFrame, calib: Column, client: str, window: Sequence[str],
     return z_scores(means, second, [client], "score").drop("__calib")
 
 
-def prototype_stats(df: DataFrame, client: str, m: str, node: str, value: str, least: int = 5) -> DataFrame:
+def prototype_stats(df: DataFrame, client: str, m: str, node: str, value: str, least: int = 5, method: str = "percentile") -> DataFrame:
     """Robust statistics per (client, prototype, node) and, with null prototype, per (client, node).
 
-    One pass with grouping sets; ``valid`` needs ``least`` rows (the client-wide
-    rows are always valid).
+    ``valid`` needs ``least`` rows (the client-wide rows are always valid).
+    ``percentile`` is one pass with grouping sets, whose buffers hold a group's
+    distinct values; ``ranked`` suits groups of any size.  Rows without a value
+    do not count.
     """
-    quartiles = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    own, whole = [F.col(client), F.col(m), F.col(node)], [F.col(client), F.col(node)]
-    sets = df.groupingSets([own, whole], client, m, node).agg(
-        F.count(F.lit(1)).alias("n"), quartiles.alias("__q"), F.grouping(m).alias("__whole")
-    )
+    rows = df.where(F.col(value).isNotNull())
+    if method == "ranked":
+        kind = df.schema[m].dataType
+        shares = (0.25, 0.5, 0.75)
+        own = ranked_quantiles(rows, [client, m, node], value, shares).withColumn("__whole", F.lit(0))
+        whole = ranked_quantiles(rows, [client, node], value, shares).withColumns({m: F.lit(None).cast(kind), "__whole": F.lit(1)})
+        sets = own.unionByName(whole).withColumnRenamed("q", "__q")
+    elif method == "percentile":
+        quartiles = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        keys = [F.col(client), F.col(m), F.col(node)], [F.col(client), F.col(node)]
+        sets = rows.groupingSets([*keys], client, m, node).agg(F.count(F.lit(1)).alias("n"), quartiles.alias("__q"), F.grouping(m).alias("__whole"))
+    else:
+        raise ValueError(f"unknown method {method}")
     return sets.select(
         client, m, node, "n", F.col("__q")[1].alias("med"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr"),
         ((F.col("n") >= least) | (F.col("__whole") == 1)).alias("valid"), (F.col("__whole") == 1).alias("overall"),

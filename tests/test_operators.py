@@ -343,3 +343,15 @@ def test_splits_of_null_strata(spark):
     assert {(r.g, r.split): r["count"] for r in split} == {(g, s): n for g in ("a", None) for s, n in (("train", 14), ("test", 6))}
     dealt = windows.round_robin(df, ["g"], ["id"], 3).collect()
     assert all(r.client == (r.id // 2) % 3 for r in dealt) and len(dealt) == 40
+
+
+def test_prototype_statistics_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PART_ROWS", 50)
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(3), rng.randrange(2), round(rng.random(), 2) if rng.random() < 0.9 else None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "client string, m int, node int, v double")
+    key = lambda r: (r.client, -1 if r.m is None else r.m, r.node, r.n, round(r.med, 9), round(r.iqr, 9), r.valid, r.overall)
+    one, other = (sorted(map(key, scoring.prototype_stats(df, "client", "m", "node", "v", 20, method).collect())) for method in ("percentile", "ranked"))
+    assert one == other and len(one) == 16
+    with pytest.raises(ValueError):
+        scoring.prototype_stats(df, "client", "m", "node", "v", method="other")
