@@ -364,6 +364,31 @@ def replica_losses(blocks: DataFrame, replicas: DataFrame, net: Network, count:
     return total.select("owner", "replica", (F.col("loss") / (F.col("n") * net.scale)).alias("loss"))
 
 
+def federated_rounds(
+    blocks: DataFrame, net: Network, rounds: int, local_steps: int, rate: float, seed: int = 42, shared: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``owner, params`` after rounds of local steps and averaging by rows, and ``owner, round, step, n, loss``.
+
+    All owners start alike.  After a round every owner takes the mean of the
+    parts named in ``shared`` (all without it) and keeps its own of the others.
+    """
+    taken = np.concatenate([np.full(int(np.prod(shape)), shared is None or name in shared) for name, shape in net.shapes.items()])
+    mask = F.lit(taken.tolist()).cast("array<boolean>")
+    current, history = parameter_table(blocks, net, seed=seed), None
+    for number in range(rounds):
+        local, losses = trained(blocks, current, net, local_steps, rate)
+        line = losses.withColumn("round", F.lit(number))
+        history = line if history is None else history.unionByName(line)
+        sizes = losses.where("step = 0").select("owner", "n")
+        mean = averaged(local.join(sizes, "owner").withColumn("all", F.lit(0)), "all").select(F.col("params").alias("mean"))
+        both = local.crossJoin(F.broadcast(mean))  # one row
+        mixed = F.transform(F.arrays_zip("params", "mean", mask.alias("taken")), lambda p: F.when(p["taken"], p["mean"]).otherwise(p["params"]))
+        current = stored(both.select("owner", mixed.alias("params")), "parameters")
+    if history is None:
+        raise ValueError("at least one round")
+    return current, history
+
+
 @dataclass(frozen=True)
 class ClusteredRounds:
     """Clients are trained in clusters that form by themselves.

@@ -104,18 +104,19 @@ def att01(spark, sf_dir):
     return pairs.groupBy(F.col("owner").alias("client"), F.col("node").cast("long").alias("node")).agg(F.transform(chosen, lambda s: s["neighbour"]).alias("neighbours"))
 
 
-def forecast_rows(spark, sf_dir) -> DataFrame:
-    """Per supplier's windows: ``client, session, k, x``, the sensors' last values and, behind them, their values ahead.
-
-    Sensors are standardized by their mean and deviation over all rows.
-    """
-    rows = table(spark, sf_dir, "lineitem")
+def standardized_rows(spark, sf_dir, flag=None) -> DataFrame:
+    """Sensor rows ``session, seq, v, flag``, standardized by the sensors' mean and deviation over all rows."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("flag", F.lit(False) if flag is None else flag)
     moments = rows.agg(*[f(s).alias(f"{s}_{n}") for s in SENSORS for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     scaled = [(F.col(s) - F.col(f"{s}_mean")) / F.greatest(F.col(f"{s}_std"), F.lit(1e-8)) for s in SENSORS]
     order = ["l_shipdate", "l_orderkey", "l_linenumber"]
-    values = rows.crossJoin(F.broadcast(moments)).select(F.col("l_suppkey").alias("session"), *order, F.array(*scaled).alias("v"))  # one row
-    numbered = windows.numbered(values, ["session"], order)
-    packed = windows.count_windows(numbered, ["session"], "seq", F.col("v"), SPAN, STRIDE)
+    values = rows.crossJoin(F.broadcast(moments)).select(F.col("l_suppkey").alias("session"), *order, F.array(*scaled).alias("v"), "flag")  # one row
+    return windows.numbered(values, ["session"], order)
+
+
+def forecast_rows(spark, sf_dir) -> DataFrame:
+    """Per supplier's windows: ``client, session, k, x``, the sensors' last values and, behind them, their values ahead."""
+    packed = windows.count_windows(standardized_rows(spark, sf_dir), ["session"], "seq", F.col("v"), SPAN, STRIDE)
     paired = windows.forecast_pairs(packed, ["session"], "k", 1).transform(lambda w: windows.future_values(w, ["session"], "k", "x", STRIDE, 1)).where("paired")
     by_node = lambda column: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(SENSORS) - 1)), lambda i: F.transform(column, lambda row: row[i])))
     return paired.select((F.col("session") % 4).alias("client"), "session", "k", F.concat(by_node(F.col("x")), by_node(F.col("future"))).alias("x"))

@@ -85,3 +85,22 @@ def test_clustered_rounds_over_the_table(spark, sf_dir):
     sizes = {c: len(ids) for c, (ids, _) in by_client(sf_dir).items()}
     assert sorted((r.client, r.round) for r in rows) == [(c, n) for c in range(4) for n in range(1, 5)]
     assert all(r.n == sizes[r.client] and r.warm_up == (r.round == 1) and 0 <= r.replica < 3 for r in rows)
+
+
+def test_federated_detection_counts_the_tested_windows(spark, sf_dir):
+    got = {r.client: (r.n, r.auroc) for r in catalog.QUERIES["slice_federated_detection"](spark, sf_dir).collect()}
+    frame = pd.read_parquet(f"{sf_dir}/lineitem.parquet")
+    tested = dict.fromkeys(range(4), 0)
+    normal = dict.fromkeys(range(4), 0)
+    for session, g in frame.groupby("l_suppkey"):
+        flags = (g.sort_values(["l_shipdate", "l_orderkey", "l_linenumber"])["l_returnflag"] == "R").to_numpy()
+        for k in range(max(0, (len(flags) - SPAN) // STRIDE + 1)):
+            if flags[k * STRIDE : k * STRIDE + SPAN].any():
+                tested[session % 4] += 1
+            else:
+                normal[session % 4] += 1
+    for c in range(4):
+        n = normal[c]
+        tested[c] += n - int(n * 0.70) - int(n * 0.15)
+    assert {c: n for c, (n, _) in got.items()} == tested
+    assert all(0 <= auroc <= 1 for _, auroc in got.values())

@@ -5,7 +5,7 @@ import pytest
 
 from fleetscope.operators import parameters
 from fleetscope.operators.parameters import (
-    BETA1, BETA2, EPSILON, ClusteredRounds, applied, attention_output, autoencoder, encoded, graph_attention, parameter_table, row_blocks, trained,
+    BETA1, BETA2, EPSILON, ClusteredRounds, applied, attention_output, autoencoder, encoded, federated_rounds, graph_attention, parameter_table, row_blocks, trained,
 )
 
 PRIOR = np.eye(4)[[1, 2, 3, 0]]
@@ -138,3 +138,22 @@ def test_blocks_keep_owners_apart_and_drop_null_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("a", [5.0, 6.0]), ("a", None)], "client string, x array<double>").coalesce(1)
     got = {r.owner: (r.n, r.x) for r in row_blocks(df, "client").collect()}
     assert got == {"a": (2, [1.0, 2.0, 5.0, 6.0]), "b": (1, [3.0, 4.0])}
+
+
+@pytest.mark.parametrize("shared", [None, ["w1", "b1", "w2", "b2"]])
+def test_federated_rounds_equal_numpy(spark, shared):
+    net = autoencoder(4, 2)
+    data, rows = client_rows(spark, {0: 20, 1: 7, 2: 13}, 4, shift=2.0)
+    final, history = federated_rounds(row_blocks(rows, "client"), net, rounds=3, local_steps=2, rate=0.1, shared=shared)
+    flats, losses = dict.fromkeys(data, net.start()), {}
+    for number in range(3):
+        for c, x in data.items():
+            for step in range(2):
+                loss, grad = net.gradient(x, net.unpack(flats[c]))
+                losses[c, number, step] = loss / (len(x) * net.scale)
+                flats[c] = flats[c] - 0.1 * net.pack(grad) / (len(x) * net.scale)
+        mean = net.unpack(np.average([flats[c] for c in data], axis=0, weights=[len(data[c]) for c in data]))
+        flats = {c: net.pack({n: mean[n] if shared is None or n in shared else own for n, own in net.unpack(flat).items()}) for c, flat in flats.items()}
+    got = {(r.owner, r.round, r.step): r.loss for r in history.collect()}
+    assert set(got) == set(losses) and all(abs(got[k] - v) < 1e-9 for k, v in losses.items())
+    assert all(np.allclose(r.params, flats[r.owner], atol=1e-9) for r in final.collect())
