@@ -39,14 +39,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether a query's shuffle files go as soon as it ends, rather than when the driver's JVM next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back; cuts the lineage and survives lost executors.
+    """``df`` written as Parquet and read back.
 
-    ``discard`` removes the table, at the latest the end of the driver's JVM does.
+    This cuts the lineage; the files are on storage that every executor sees,
+    so a lost executor costs at most its running tasks.  The shuffle files of
+    the write go at once, as nothing reads them again.  ``discard`` removes the
+    table, at the latest the end of the driver's JVM does.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     _TABLES[id(table)] = (weakref.ref(table), path)
     return table
 
