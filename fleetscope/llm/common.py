@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.plans.storage import discard
+from fleetscope.plans.storage import stored as materialize
+
+__all__ = ["SPACES", "SPACE_RUN", "WORD", "discard", "documents", "materialize", "row_key", "whole_text"]
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -26,56 +27,5 @@ def row_key(*columns: str | Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *marked).alias("a"), F.xxhash64(*marked, F.lit(2)).alias("b"))
 
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder, as all its tasks
-    run on this machine; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _FOLDERS.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fleetscope-"))
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-_TABLES: dict[int, tuple[weakref.ref, str]] = {}
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage; the files are on storage that every executor sees,
-    so a lost executor costs at most its running tasks.  ``discard`` removes the
-    table, at the latest the end of the driver's JVM does.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at, system = _hadoop_path(spark, path)
-    system.deleteOnExit(at)
-    table = spark.read.schema(df.schema).parquet(path)
-    _TABLES[id(table)] = (weakref.ref(table), path)
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that no DataFrame still to be evaluated reads."""
-    for table in tables:
-        known, path = _TABLES.pop(id(table), (lambda: None, ""))
-        if known() is table:
-            at, system = _hadoop_path(table.sparkSession, path)
-            system.delete(at, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
