@@ -4,10 +4,12 @@ from collections import defaultdict
 
 import pytest
 from corpus import SCHEMA, awkward_texts, rows
+from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from fleetscope.llm import exact_dedup
 from fleetscope.llm.exact_dedup import content_hash, drop_exact_duplicates, exact_duplicates
+from fleetscope.llm.queries import ORACLES, op7_exact_dedup
 
 
 def brute(data):
@@ -65,3 +67,7 @@ def test_filter_keeps_columns_and_one_row_a_group(spark):
     kept = drop_exact_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[1] for r in brute(rows(awkward_texts()))})
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert_same(op7_exact_dedup(spark, sf_dir), ORACLES["op7_exact_dedup"], connect(sf_dir))

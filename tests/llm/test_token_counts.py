@@ -5,6 +5,7 @@ import sentencepiece
 from corpus import SCHEMA, awkward_texts, rows
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
+from fleetscope.llm.queries import op4_token_counts
 from fleetscope.llm.token_counts import CountViterbi, count_tokens, read_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,3 +72,14 @@ def test_documents(spark):
     got = {r.doc_id: (r.n_tokens, r.score) for r in count_tokens(spark.createDataFrame(data, SCHEMA), PATH).collect()}
     assert got == {r[0]: counter.count(r[1] or "") for r in data}
     assert count_tokens(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_query_on_the_whole_table(spark, sf_dir):
+    """Every whole text against the plain programme, which looks at each start and each piece length."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces = read_pieces(PATH)
+    got = {r.doc_id: (r.n_tokens, r.score) for r in op4_token_counts(spark, sf_dir).collect()}
+    assert sorted(got) == sorted(texts)
+    for doc_id, text in texts.items():
+        n, score = brute(pieces, text)
+        assert got[doc_id][0] == n and abs(got[doc_id][1] - score) < 1e-6 * max(1.0, abs(score))
