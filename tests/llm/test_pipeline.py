@@ -4,11 +4,13 @@ import re
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
+from oracle import connect
 from test_ngram_join import brute as components
 from test_quality_rules import brute as features
 
 from fleetscope.llm.byte_bpe import read_ranks
 from fleetscope.llm.common import documents
+from fleetscope.llm.queries import ORACLES
 
 
 def run_stages(spark, sf_dir, path):
@@ -71,6 +73,22 @@ def test_stages_judge_rows_not_ids(spark, sf_dir):
     assert set(ids(mixed)) <= set(ids(single)) and mixed.columns == docs.columns
 
 
+def test_learned_cutoffs_take_effect(spark):
+    """At sf0.01 there are labels enough for cutoffs: the stage keeps what the SQL of its query keeps."""
+    sf_dir = "/root/testdata/sf0.01"
+    verdicts = connect(sf_dir).sql(ORACLES["op9_quality_rules"]).df()
+    assert (~verdicts["base_failed"] & ~verdicts["kept"]).sum() > 10
+    kept = stage(spark, documents(spark, sf_dir), sf_dir, 0)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(verdicts.loc[verdicts["kept"], "doc_id"])
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = documents(spark, sf_dir).limit(0)
+    for k in range(5):
+        out = stage(spark, docs, sf_dir, k)
+        assert out.count() == 0 and set(docs.columns) <= set(out.columns)
+
+
 def stage(spark, docs, sf_dir, k):
     return corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
 
