@@ -91,18 +91,25 @@ def neighbours(embeddings: np.ndarray, k: int) -> np.ndarray:
 
 
 def _attention_forward(x: np.ndarray, p: Parts, k: int, prior: np.ndarray, slope: float) -> tuple:
+    """Vectors and results have the rows last (nodes x values x rows), so that every operation runs over long contiguous runs."""
     near = neighbours(p["nodes"], k)
-    moved = x @ p["w"]  # B, N, D
-    around = moved[:, near]  # B, N, k, D
+    moved = p["w"].T @ x  # N, D, B
     bias = np.take_along_axis(prior, near, axis=1)
-    logit = (moved @ p["a_self"])[:, :, None] + around @ p["a_near"] + p["prior"][0] * bias
+    logit = (p["a_self"] @ moved)[:, None] + (p["a_near"] @ moved)[near] + (p["prior"][0] * bias)[:, :, None]  # N, k, B
     bent = np.where(logit > 0, logit, slope * logit)
-    raw = np.exp(bent - bent.max(2, keepdims=True))
-    alpha = raw / raw.sum(2, keepdims=True)
-    mixed = np.einsum("bnk,bnkd->bnd", alpha, around)
-    gated = np.maximum(mixed, 0) * p["nodes"]
-    inner = np.maximum(gated @ p["g1"] + p["c1"], 0)
-    return near, moved, around, bias, logit, alpha, mixed, gated, inner, inner @ p["g2"] + p["c2"]
+    raw = np.exp(bent - bent.max(1, keepdims=True))
+    alpha = raw / raw.sum(1, keepdims=True)
+    mixed = np.zeros_like(moved)
+    for j in range(near.shape[1]):
+        mixed += alpha[:, j, None] * moved[near[:, j]]
+    gated = np.maximum(mixed, 0) * p["nodes"][:, :, None]
+    inner = np.maximum(p["g1"].T @ gated + p["c1"][:, None], 0)
+    return near, moved, bias, logit, alpha, mixed, gated, inner, p["g2"].T @ inner + p["c2"][:, None]
+
+
+def _rows_last(rows: np.ndarray, nodes: int) -> np.ndarray:
+    """The nodes' values of a matrix of rows as nodes x values x rows."""
+    return np.ascontiguousarray(rows.T).reshape(nodes, rows.shape[1] // nodes, len(rows))
 
 
 def graph_attention(nodes: int, width: int, out: int, k: int, prior: np.ndarray | None = None, slope: float = 0.2) -> Network:
@@ -122,25 +129,28 @@ def graph_attention(nodes: int, width: int, out: int, k: int, prior: np.ndarray
     k = min(k, nodes - 1)
 
     def gradient(rows: np.ndarray, p: Parts) -> tuple[float, Parts]:
-        x, y = rows[:, : nodes * width].reshape(-1, nodes, width), rows[:, nodes * width :].reshape(-1, nodes, out)
-        near, moved, around, bias, logit, alpha, mixed, gated, inner, got = _attention_forward(x, p, k, edges, slope)
+        x, y = _rows_last(rows[:, : nodes * width], nodes), _rows_last(rows[:, nodes * width :], nodes)
+        near, moved, bias, logit, alpha, mixed, gated, inner, got = _attention_forward(x, p, k, edges, slope)
+        outer = lambda a, b: (a @ b.transpose(0, 2, 1)).sum(0)
         error = got - y
         back = 2 * error
-        g: Parts = {"g2": np.einsum("bnd,bno->do", inner, back), "c2": back.sum((0, 1))}
-        back = (back @ p["g2"].T) * (inner > 0)
-        g["g1"], g["c1"] = np.einsum("bnd,bne->de", gated, back), back.sum((0, 1))
-        back = back @ p["g1"].T
-        g["nodes"] = (back * np.maximum(mixed, 0)).sum(0)
-        back = back * p["nodes"] * (mixed > 0)  # by the mixture
-        by_alpha = np.einsum("bnd,bnkd->bnk", back, around)
-        by_logit = alpha * (by_alpha - (alpha * by_alpha).sum(2, keepdims=True)) * np.where(logit > 0, 1.0, slope)
-        g["prior"] = np.array([(by_logit * bias).sum()])
-        g["a_self"] = np.einsum("bnk,bnd->d", by_logit, moved)
-        g["a_near"] = np.einsum("bnk,bnkd->d", by_logit, around)
-        by_moved = by_logit.sum(2)[:, :, None] * p["a_self"]
-        by_around = alpha[..., None] * back[:, :, None, :] + by_logit[..., None] * p["a_near"]
-        np.add.at(by_moved, (slice(None), near), by_around)
-        g["w"] = np.einsum("bnd,bne->de", x, by_moved)
+        g: Parts = {"g2": outer(inner, back), "c2": back.sum((0, 2))}
+        back = (p["g2"] @ back) * (inner > 0)
+        g["g1"], g["c1"] = outer(gated, back), back.sum((0, 2))
+        back = p["g1"] @ back
+        g["nodes"] = (back * np.maximum(mixed, 0)).sum(2)
+        back = back * p["nodes"][:, :, None] * (mixed > 0)  # by the mixture
+        by_alpha = np.stack([(back * moved[near[:, j]]).sum(1) for j in range(k)], axis=1)
+        by_logit = alpha * (by_alpha - (alpha * by_alpha).sum(1, keepdims=True)) * np.where(logit > 0, 1.0, slope)
+        g["prior"] = np.array([(by_logit.sum(2) * bias).sum()])
+        own, heard = by_logit.sum(1), np.zeros((nodes, len(rows)))
+        by_moved = own[:, None] * p["a_self"][:, None]
+        for i, j in np.ndindex(near.shape):
+            heard[near[i, j]] += by_logit[i, j]
+            by_moved[near[i, j]] += alpha[i, j] * back[i]
+        by_moved += heard[:, None] * p["a_near"][:, None]
+        g["a_self"], g["a_near"] = outer(moved, own[:, None])[:, 0], outer(moved, heard[:, None])[:, 0]
+        g["w"] = outer(x, by_moved)
         return float((error**2).sum()), g
 
     return Network(shapes, gradient, nodes * out)
@@ -150,7 +160,7 @@ def attention_output(net: Network, rows: np.ndarray, p: Parts, k: int, prior: np
     """What ``graph_attention`` predicts for rows of the nodes' vectors: rows x nodes x targets."""
     nodes, width = net.shapes["nodes"]
     edges = np.zeros((nodes, nodes)) if prior is None else np.asarray(prior, float)
-    return _attention_forward(rows[:, : nodes * width].reshape(-1, nodes, width), p, min(k, nodes - 1), edges, slope)[-1]
+    return _attention_forward(_rows_last(rows[:, : nodes * width], nodes), p, min(k, nodes - 1), edges, slope)[-1].transpose(2, 0, 1)
 
 
 def margin_prototypes(prototypes: int, width: int, margin: float) -> Network:
@@ -183,13 +193,18 @@ def margin_prototypes(prototypes: int, width: int, margin: float) -> Network:
     return Network(shapes, gradient, 1)
 
 
-def row_blocks(rows: DataFrame, owner: str, x: str = "x") -> DataFrame:
+def row_blocks(rows: DataFrame, owner: str, x: str = "x", packed: bool = False, per: int = 1) -> DataFrame:
     """``owner, n, x``: the vectors of up to ``BLOCK`` rows of one owner, one after the other; no shuffle.
 
-    Rows with a null vector are left out; all vectors have one length.
+    Rows with a null vector are left out; all vectors have one length.  A vector
+    may hold ``per`` rows of the network, one after the other.  ``packed`` blocks
+    are the bytes of the doubles, which tasks store and read many times faster
+    than an array.
     """
     kept = rows.where(F.col(x).isNotNull()).select(F.col(owner).alias("owner"), F.col(x).cast("array<double>").alias("x"))
-    schema = T.StructType([kept.schema["owner"], T.StructField("n", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    kind = T.BinaryType() if packed else T.ArrayType(T.DoubleType())
+    schema = T.StructType([kept.schema["owner"], T.StructField("n", T.LongType()), T.StructField("x", kind)])
+    most = max(1, BLOCK // per)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,19 +213,32 @@ def row_blocks(rows: DataFrame, owner: str, x: str = "x") -> DataFrame:
             for i, o in enumerate(owners):
                 places.setdefault(o, []).append(i)
             for o, found in places.items():
-                for start in range(0, len(found), BLOCK):
-                    part = pa.array(found[start : start + BLOCK])
+                for start in range(0, len(found), most):
+                    part = pa.array(found[start : start + most])
                     flat = batch.column(1).take(part).flatten()
-                    lists = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array([o], batch.column(0).type), pa.array([len(part)]), lists], names=schema.names)
+                    if packed:
+                        block = pa.array([flat.to_numpy(zero_copy_only=False).tobytes()], pa.binary())
+                    else:
+                        block = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([pa.array([o], batch.column(0).type), pa.array([len(part) * per]), block], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
+def _block_rows(x: pa.Scalar, n: pa.Scalar) -> np.ndarray:
+    """A block of ``row_blocks`` as a matrix."""
+    flat = np.frombuffer(x.as_buffer()) if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type) else x.values.to_numpy(zero_copy_only=False)
+    return flat.reshape(n.as_py(), -1)
+
+
 def parameter_table(owners: DataFrame, net: Network, flat: np.ndarray | None = None, seed: int = 42) -> DataFrame:
-    """``owner, params`` with the same start for all owners."""
+    """``owner, params`` with the same start for all owners.
+
+    The table is written, so that its size is known and the first step's join
+    does not shuffle the rows by owner.
+    """
     start = net.start(seed) if flat is None else flat
-    return owners.select("owner").distinct().withColumn("params", F.lit(start.tolist()).cast("array<double>"))
+    return stored(owners.select("owner").distinct().withColumn("params", F.lit(start.tolist()).cast("array<double>")), "parameters")
 
 
 def gradient_sums(blocks: DataFrame, params: DataFrame, net: Network) -> DataFrame:
@@ -225,7 +253,7 @@ def gradient_sums(blocks: DataFrame, params: DataFrame, net: Network) -> DataFra
         for batch in batches:
             kind = batch.column(0).type
             for o, n, x, flat in zip(*batch.columns, strict=True):
-                rows = x.values.to_numpy().reshape(n.as_py(), -1)
+                rows = _block_rows(x, n)
                 loss, grad = net.gradient(rows, net.unpack(flat.values.to_numpy()))
                 part = np.concatenate([[loss], net.pack(grad)])
                 count, known = sums.get(o.as_py(), (0, 0.0))
@@ -350,7 +378,7 @@ def replica_losses(blocks: DataFrame, replicas: DataFrame, net: Network, count:
         for batch in batches:
             kind = batch.column(0).type
             for o, n, x, ids, flats in zip(*batch.columns, strict=True):
-                rows = x.values.to_numpy().reshape(n.as_py(), -1)
+                rows = _block_rows(x, n)
                 for replica, flat in zip(ids.as_py(), flats.values, strict=True):
                     loss, _ = net.gradient(rows, net.unpack(flat.values.to_numpy()))
                     count, known = sums.get((o.as_py(), replica), (0, 0.0))

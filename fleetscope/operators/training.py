@@ -203,7 +203,7 @@ def refine_with_adam(rows: DataFrame, prototypes: DataFrame, client: str, margin
     codes = F.concat(F.flatten(F.transform("bank", lambda b: b["vec"].cast("array<double>"))), F.array_repeat(F.lit(0.0), (missing * width).cast("int")))
     labels = F.concat(F.transform("bank", lambda b: b["label"].cast("double")), F.array_repeat(F.lit(float("nan")), missing.cast("int")))
     start = listed.select(F.col(client).alias("owner"), F.concat(codes, labels).alias("params"))
-    blocks = row_blocks(rows.where("label is not null").select(client, F.concat(F.col("vec").cast("array<double>"), F.array(F.col("label").cast("double"))).alias("x")), client)
+    blocks = row_blocks(rows.where("label is not null").select(client, F.concat(F.col("vec").cast("array<double>"), F.array(F.col("label").cast("double"))).alias("x")), client, packed=True)
     moved, _ = trained(stored(blocks, "blocks"), start, net, steps, rate, adam=True)
     joined = listed.join(moved.select(F.col("owner").alias(client), "params"), client, "left")
     each = joined.select(client, "params", F.posexplode("bank").alias("at", "b"))

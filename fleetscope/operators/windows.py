@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,18 +77,45 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     return sums.select(*df.columns, *added)
 
 
+#: Following rows that a row may look at, one column each; wider windows copy rows instead.
+MOST_AHEAD = 48
+
+
 def count_windows(df: DataFrame, session: Sequence[str], seq: str, value: Column, width: int, stride: int) -> DataFrame:
     """Full windows of ``width`` rows that start every ``stride`` rows and never cross a session.
 
+    Rows are sorted once and never copied: runs as long as the greatest common
+    divisor of width and stride become one row each, and a window is the runs
+    from its first one on.  ``x`` is ordered by row; a session's numbers are
+    unique.  Where that would look at more than ``MOST_AHEAD`` rows or runs,
+    each row is copied to its windows.
+    """
+    run = math.gcd(width, stride)
+    if max(run, width // run) > MOST_AHEAD:
+        return _copied_windows(df, session, seq, value, width, stride)
+    # A null value counts as a row.
+    rows = df.select(*session, F.col(seq).cast("long").alias("__seq"), F.array(value).alias("__x"))
+    ahead = Window.partitionBy(*session).orderBy("__seq")
+    for size, steps, every in ((1, run, run), (run, width // run, stride)):
+        if steps == 1:
+            continue
+        looks = rows.select("*", *[F.lead("__x", i).over(ahead).alias(f"__x{i}") for i in range(1, steps)], F.lead("__seq", steps - 1).over(ahead).alias("__last"))
+        full = looks.where((F.col("__seq") % every == 0) & (F.col("__last") == F.col("__seq") + size * (steps - 1)))
+        rows = full.select(*session, "__seq", F.concat("__x", *[f"__x{i}" for i in range(1, steps)]).alias("__x"))
+    starts = rows.where((F.col("__seq") >= 0) & (F.col("__seq") % stride == 0))
+    return starts.select(*session, F.floor(F.col("__seq") / stride).alias("k"), F.col("__x").alias("x"))
+
+
+def _copied_windows(df: DataFrame, session: Sequence[str], seq: str, value: Column, width: int, stride: int) -> DataFrame:
+    """As ``count_windows``.
+
     Row ``r`` belongs to windows ``max(0, ceil((r - width + 1) / stride)) ..
     floor(r / stride)``; each row is copied to those only (about width / stride
-    times), and one aggregation builds the windows.  ``x`` is ordered by row.
+    times), and one aggregation builds the windows.
     """
     row = F.col(seq)
-    first = F.greatest(F.ceil((row - (width - 1)) / stride), F.lit(0))
-    spread = df.select(
-        *session, seq, value.alias("__x"), F.explode(F.sequence(first, F.floor(row / stride))).alias("k")
-    )
+    first, last = F.greatest(F.ceil((row - (width - 1)) / stride), F.lit(0)), F.floor(row / stride)
+    spread = df.where(first <= last).select(*session, seq, value.alias("__x"), F.explode(F.sequence(first, last)).alias("k"))
     packed = spread.groupBy(*session, "k").agg(
         F.count(F.lit(1)).alias("__n"), F.sort_array(F.collect_list(F.struct(seq, "__x"))).alias("__rows")
     )

@@ -34,7 +34,7 @@ def node_windows(spark, sf_dir) -> DataFrame:
 
 def node_encoder(spark, sf_dir) -> DataFrame:
     """``owner, params``: per client trained from one shared start, then averaged by rows as one round of federation."""
-    blocks = stored(parameters.row_blocks(node_windows(spark, sf_dir), "client"), "blocks")
+    blocks = stored(parameters.row_blocks(node_windows(spark, sf_dir), "client", packed=True), "blocks")
     local, history = parameters.trained(blocks, parameters.parameter_table(blocks, ENCODER), ENCODER, STEPS, RATE, adam=True)
     sizes = history.where(F.col("step") == 0).select("owner", "n")
     mean = parameters.averaged(local.join(sizes, "owner").withColumn("all", F.lit(0)), "all").select("params")
@@ -81,7 +81,7 @@ def _structure(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def att02(spark, sf_dir):
     """Residual per window and node of a graph attention head trained per client: neighbours and weights are learned."""
     rows = stored(deviations(spark, sf_dir), "deviations")
-    blocks = stored(parameters.row_blocks(rows, "client"), "blocks")
+    blocks = stored(parameters.row_blocks(rows, "client", packed=True), "blocks")
     params, _ = parameters.trained(blocks, parameters.parameter_table(blocks, STRUCTURE), STRUCTURE, STEPS, RATE, adam=True)
     found = parameters.applied(rows, params, "client", "x", "expected", _structure)
     gap = lambda i: sq_distance(F.slice("x", i * WIDTH + 1, WIDTH), F.slice("expected", i * WIDTH + 1, WIDTH))
@@ -93,7 +93,7 @@ def att02(spark, sf_dir):
 @register("att01_learned_neighbours")
 def att01(spark, sf_dir):
     """The neighbours that each client's trained node embeddings choose, nearest first."""
-    blocks = stored(parameters.row_blocks(deviations(spark, sf_dir), "client"), "blocks")
+    blocks = stored(parameters.row_blocks(deviations(spark, sf_dir), "client", packed=True), "blocks")
     params, _ = parameters.trained(blocks, parameters.parameter_table(blocks, STRUCTURE), STRUCTURE, STEPS, RATE, adam=True)
     size = NODES * WIDTH
     nodes = params.select("owner", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(NODES - 1)), lambda i: F.slice(F.slice("params", 1, size), i * WIDTH + 1, WIDTH))).alias("node", "vec"))
@@ -115,35 +115,37 @@ def standardized_rows(spark, sf_dir, flag=None) -> DataFrame:
 
 
 def forecast_rows(spark, sf_dir) -> DataFrame:
-    """Per supplier's windows: ``client, session, k, x``, the sensors' last values and, behind them, their values ahead."""
-    packed = windows.count_windows(standardized_rows(spark, sf_dir), ["session"], "seq", F.col("v"), SPAN, STRIDE)
-    paired = windows.forecast_pairs(packed, ["session"], "k", 1).transform(lambda w: windows.future_values(w, ["session"], "k", "x", STRIDE, 1)).where("paired")
-    by_node = lambda column: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(SENSORS) - 1)), lambda i: F.transform(column, lambda row: row[i])))
-    return paired.select((F.col("session") % 4).alias("client"), "session", "k", F.concat(by_node(F.col("x")), by_node(F.col("future"))).alias("x"))
+    """Per supplier's windows: ``client, session, k, x``, the sensors' last values and, behind them, their values ahead.
+
+    A window and its successor are together one window that is a stride longer.
+    """
+    pairs = windows.count_windows(standardized_rows(spark, sf_dir), ["session"], "seq", F.col("v"), SPAN + STRIDE, STRIDE)
+    by_node = [F.col("x")[row][i] for part in (range(SPAN), range(SPAN, SPAN + STRIDE)) for i in range(len(SENSORS)) for row in part]
+    return pairs.select((F.col("session") % 4).alias("client"), "session", "k", F.array(*by_node).alias("x"))
 
 
 def _forecast(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return parameters.attention_output(FORECAST, x, FORECAST.unpack(flat), 3)
 
 
-def forecasts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The windows with ``ahead``, each sensor's forecast from the other sensors, and the losses of the training steps."""
-    rows = stored(forecast_rows(spark, sf_dir), "forecast-rows")
-    blocks = stored(parameters.row_blocks(rows, "client"), "blocks")
-    params, history = parameters.trained(blocks, parameters.parameter_table(blocks, FORECAST), FORECAST, STEPS, RATE, adam=True)
-    return parameters.applied(rows, params, "client", "x", "ahead", _forecast), history
+def forecast_head(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trained parameters of each client and the losses of the training steps."""
+    blocks = stored(parameters.row_blocks(rows, "client", packed=True), "blocks")
+    return parameters.trained(blocks, parameters.parameter_table(blocks, FORECAST), FORECAST, STEPS, RATE, adam=True)
 
 
 @register("fcs01_attention_forecast")
 def fcs01(spark, sf_dir):
     """Losses of the forecast head per client and training step."""
-    return forecasts(spark, sf_dir)[1].select(F.col("owner").alias("client"), "step", "n", F.round("loss", 9).alias("loss"))
+    _, history = forecast_head(forecast_rows(spark, sf_dir))
+    return history.select(F.col("owner").alias("client"), "step", "n", F.round("loss", 9).alias("loss"))
 
 
 @register("fcs02_learned_residual")
 def fcs02(spark, sf_dir):
     """Summed squared forecast error per window and sensor, over the rows ahead, for whole series."""
-    found, _ = forecasts(spark, sf_dir)
+    rows = stored(forecast_rows(spark, sf_dir), "forecast-rows")
+    found = parameters.applied(rows, forecast_head(rows)[0], "client", "x", "ahead", _forecast)
     start = len(SENSORS) * SPAN
     gap = lambda i: sq_distance(F.slice("x", start + i * STRIDE + 1, STRIDE), F.slice("ahead", i * STRIDE + 1, STRIDE))
     residuals = F.transform(F.sequence(F.lit(0), F.lit(len(SENSORS) - 1)), gap)
@@ -156,7 +158,7 @@ def fed13(spark, sf_dir):
     """Rounds of clustered federation: warm-up, choice of a replica, local steps, means per cluster, respawn."""
     rows = embedded(spark, sf_dir).select("client", F.col("v").alias("x"))
     plan = parameters.ClusteredRounds(parameters.autoencoder(NODES * WIDTH, 4), replicas=3, rounds=4, rate=0.2, patience=1)
-    history, _ = plan.run(stored(parameters.row_blocks(rows, "client"), "blocks"))
+    history, _ = plan.run(stored(parameters.row_blocks(rows, "client", packed=True), "blocks"))
     return history.withColumnRenamed("owner", "client").withColumn("loss", F.round("loss", 9))
 
 
