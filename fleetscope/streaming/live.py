@@ -69,8 +69,9 @@ WINDOW_SCHEMA = "session long, k long, total double, late long"
 class CountWindows(StatefulProcessor):
     """Windows of ``width`` rows every ``stride`` rows of a session, whatever the order its rows arrive in.
 
-    A session's state is a map from row number to value and the number of the
-    next window.  A window is put out as soon as its rows and all windows
+    A session's state is the rows that wait, as two arrays, and the number of the
+    next window: one read and one write per trigger, however many rows came.  A
+    window is put out as soon as its rows and all windows
     before it are there.  A gap holds later windows back until the session's
     timer fires, ``idle`` of event time after its newest row: then the complete
     windows that are left come out and the session's state goes.  A row before
@@ -85,8 +86,15 @@ class CountWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "seq long", "value double")
-        self.place = handle.getValueState("place", "next long, late long, newest long")
+        self.place = handle.getValueState("place", "next long, late long, newest long, seqs array<long>, values array<double>")
+
+    def _state(self) -> tuple[int, int, int | None, dict[int, float]]:
+        """The next window, late rows not yet put out, the newest time (none without state) and the rows that wait."""
+        known = self.place.get()
+        if known is None:
+            return 0, 0, None, {}
+        k, late, newest, seqs, values = known
+        return k, late, newest, dict(zip(seqs, values, strict=True))
 
     def _total(self, held: dict[int, float], k: int) -> float | None:
         """The sum of a window, none where a row is missing."""
@@ -94,41 +102,31 @@ class CountWindows(StatefulProcessor):
         return float(sum(held[s] for s in places)) if all(s in held for s in places) else None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        k, late, newest = self.place.get() if self.place.exists() else (0, 0, 0)
-        held = {s[0]: v[0] for s, v in self.rows.iterator()}
-        fresh: dict[int, float] = {}
+        k, late, before, held = self._state()
+        newest = before or 0
         for part in rows:
-            for seq, value, at in zip(part["seq"], part["value"], part["ts"], strict=True):
-                if seq < k * self.stride:
-                    late += 1
-                else:
-                    fresh[int(seq)] = float(value)
-                newest = max(newest, int(at.timestamp() * 1000))
-        held |= fresh
+            due = part["seq"] >= k * self.stride
+            late += int((~due).sum())
+            held |= zip(part["seq"][due].tolist(), part["value"][due].tolist(), strict=True)
+            newest = max(newest, int(part["ts"].max().timestamp() * 1000))
         found = []
         while (total := self._total(held, k)) is not None:
             found.append((k, total))
             k += 1
-        for seq in list(held):
-            if seq < k * self.stride:
-                if self.rows.containsKey((seq,)):
-                    self.rows.removeKey((seq,))
-            elif seq in fresh:
-                self.rows.updateValue((seq,), (held[seq],))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest + self.idle_ms)
+        if newest != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle_ms)
+            self.handle.registerTimer(newest + self.idle_ms)
         if found:
             yield self._frame(key, found, late)
             late = 0
-        self.place.update((k, late, newest))
+        left = {s: v for s, v in held.items() if s >= k * self.stride}
+        self.place.update((k, late, newest, list(left), list(left.values())))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        k, late, _ = self.place.get() if self.place.exists() else (0, 0, 0)
-        held = {s[0]: v[0] for s, v in self.rows.iterator()}
+        k, late, _, held = self._state()
         later = sorted(s // self.stride for s in held if s % self.stride == 0 and s >= k * self.stride)
         found = [(w, total) for w in later if (total := self._total(held, w)) is not None]
-        self.rows.clear()
         self.place.clear()
         if found or late:
             yield self._frame(key, found or [(-1, 0.0)], late)

@@ -1,12 +1,16 @@
 """Steps whose work must grow no faster than the table: plans and equal results of the cheaper forms."""
 
+from datetime import timedelta
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.operators import windows
 from fleetscope.operators.parameters import autoencoder, gradient_sums, parameter_table, row_blocks
 from fleetscope.plans.storage import stored
+from fleetscope.streaming import live
 
 
 def planned(df) -> str:
@@ -39,3 +43,42 @@ def test_vectors_of_several_rows(spark):
     df = spark.createDataFrame([(1, [float(v) for v in range(6 * i, 6 * i + 6)]) for i in range(3)], "client long, x array<double>").coalesce(1)
     block = row_blocks(df, "client", packed=True, per=2).first()
     assert block.n == 6 and np.array_equal(np.frombuffer(block.x), np.arange(18.0))
+
+
+class _Handle:
+    """Counts the calls that a processor makes to its state and timers."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def _counted(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValueState(self, name, schema):  # noqa: N802
+        handle = self
+
+        class State:
+            exists = staticmethod(lambda: handle._counted(name in handle.kept))
+            get = staticmethod(lambda: handle._counted(handle.kept.get(name)))
+            update = staticmethod(lambda v: handle._counted(handle.kept.__setitem__(name, v)))
+            clear = staticmethod(lambda: handle._counted(handle.kept.pop(name, None)))
+
+        return State
+
+    registerTimer = lambda self, at: self._counted(self.timers.add(at))  # noqa: E731, N815
+    deleteTimer = lambda self, at: self._counted(self.timers.remove(at))  # noqa: E731, N815
+
+
+def test_calls_to_the_state_do_not_grow_with_the_rows():
+    calls = {}
+    for n in (30, 3000):
+        handle, windows_of = _Handle(), live.CountWindows(8, 4, timedelta(days=30))
+        windows_of.init(handle)
+        found = []
+        for step in range(3):  # as the query's files: no window is whole before the last
+            part = pd.DataFrame({"seq": range(step, n, 3), "value": 1.0, "ts": pd.Timestamp(2024, 1, 1) + pd.to_timedelta(range(step, n, 3), unit="s")})
+            found += [k for frame in windows_of.handleInputRows((1,), iter([part]), None) for k in frame["k"]]
+        assert found == list(range((n - 8) // 4 + 1)) and len(handle.timers) == 1
+        calls[n] = handle.calls
+    assert calls[30] == calls[3000] <= 12
