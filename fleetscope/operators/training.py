@@ -143,7 +143,8 @@ def kmeans(rows: DataFrame, k: int, rounds: int = 5) -> DataFrame:
     per group; the new means are one aggregation.
     """
     order = Window.partitionBy("group").orderBy("key")
-    centres = rows.withColumn("c", F.row_number().over(order) - 1).where(F.col("c") < k).select("group", "c", "vec", F.lit(0).cast("long").alias("n"))
+    first = rows.withColumn("c", F.row_number().over(order)).where(F.col("c") <= k)  # so each task keeps k rows of a group only
+    centres = stored(first.select("group", (F.col("c") - 1).alias("c"), "vec", F.lit(0).cast("long").alias("n")), "centres")
     for _ in range(rounds):
         book = centres.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("c", "vec"))).alias("codes"))
         best = F.array_min(F.transform("codes", lambda p: F.struct(sq_distance(F.col("vec"), p["vec"]).alias("d"), p["c"].alias("c"))))
@@ -220,7 +221,7 @@ def kmeans_grid(rows: DataFrame, grid: Sequence[int], rounds: int = 5) -> DataFr
     """
     sizes = sorted(set(grid))
     order = Window.partitionBy("group").orderBy("key")
-    first = rows.withColumn("c", F.row_number().over(order) - 1).where(F.col("c") < max(sizes))
+    first = rows.withColumn("c", F.row_number().over(order)).where(F.col("c") <= max(sizes)).withColumn("c", F.col("c") - 1)
     centres = first.select(F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"), "group", "c", "vec").where("c < size")
     centres = stored(centres.select("group", "size", "c", "vec", F.lit(0).cast("long").alias("n")), "centres")
     for _ in range(rounds):

@@ -81,8 +81,8 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("client").orderBy("vec_id")
-    ranked = embedded(spark, sf_dir).withColumn("m", (F.row_number().over(order) - 1).cast("long"))
-    return ranked.where(F.col("m") < PROTOTYPES).select("client", "m", "z", F.col("vec_id").alias("gid"), "label")
+    ranked = embedded(spark, sf_dir).withColumn("m", F.row_number().over(order)).where(F.col("m") <= PROTOTYPES)
+    return ranked.select("client", (F.col("m") - 1).cast("long").alias("m"), "z", F.col("vec_id").alias("gid"), "label")
 
 
 def prototype_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

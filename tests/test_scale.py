@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetscope.operators import windows
+from fleetscope.operators import training, windows
 from fleetscope.operators.parameters import autoencoder, gradient_sums, parameter_table, row_blocks
 from fleetscope.plans.storage import stored
+from fleetscope.plans.views import prototypes
 from fleetscope.streaming import live
 
 
@@ -82,3 +83,14 @@ def test_calls_to_the_state_do_not_grow_with_the_rows():
         assert found == list(range((n - 8) // 4 + 1)) and len(handle.timers) == 1
         calls[n] = handle.calls
     assert calls[30] == calls[3000] <= 12
+
+
+def test_first_centres_leave_the_rows_where_they_are(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(training, "stored", lambda df, name: plans.append(planned(df)) or stored(df, name))
+    rows = spark.range(200).select((F.col("id") % 2).alias("group"), F.col("id").alias("key"), F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    centres = training.kmeans(rows, 3, 0)
+    assert sorted((r.group, r.c, r.n, round(r.vec[0], 12)) for r in centres.collect()) == [(g, c, 0, round(float(np.sin(2 * c + g)), 12)) for g in (0, 1) for c in range(3)]
+    training.kmeans_grid(rows, [2, 3], 0)
+    assert len(plans) == 2 and all("WindowGroupLimit" in p for p in plans)
+    assert "WindowGroupLimit" in planned(prototypes(spark, sf_dir))
