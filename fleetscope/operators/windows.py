@@ -23,8 +23,12 @@ PART_ROWS = 1_000_000
 
 
 def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join of rows with equal groups, where null equals null; the group's columns are the left ones."""
-    other = right.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    """Join of rows with equal groups, where null equals null; the group's columns are the left ones.
+
+    ``right`` holds a row or a few per group.  It is written, so that its size
+    is known and the left rows are not shuffled by group where it is small.
+    """
+    other = stored(right, "groups").withColumnsRenamed({c: f"__of_{c}" for c in by})
     equal = F.lit(True)
     for c in by:
         equal = equal & F.col(c).eqNullSafe(F.col(f"__of_{c}"))

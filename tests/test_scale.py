@@ -94,3 +94,9 @@ def test_first_centres_leave_the_rows_where_they_are(spark, sf_dir, monkeypatch)
     training.kmeans_grid(rows, [2, 3], 0)
     assert len(plans) == 2 and all("WindowGroupLimit" in p for p in plans)
     assert "WindowGroupLimit" in planned(prototypes(spark, sf_dir))
+
+
+def test_rows_are_not_dealt_out_by_their_few_groups(spark):
+    rows = stored(spark.range(1000).select((F.col("id") % 2).alias("client"), F.col("id").alias("v")), "rows")
+    plan = planned(windows.same_group(rows, rows.groupBy("client").agg(F.count("v").alias("n")), ["client"]))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
