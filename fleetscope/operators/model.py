@@ -96,7 +96,7 @@ class JointDetector(Estimator, _DetectorParams):
         model._set(nodes=sizes["nodes"], width=sizes["width"])
         if self.getOrDefault("steps"):
             fitted = _deviations(assigned.where(~F.col("calib")) if flag else assigned, codebook)
-            blocks = stored(parameters.row_blocks(fitted, "client", "__x", packed=True), "blocks")
+            blocks = parameters.stored_blocks(fitted, "client", "__x")
             net = model._head()
             trained, _ = parameters.trained(blocks, parameters.parameter_table(blocks, net), net, self.getOrDefault("steps"), 0.02, adam=True)
             tables["attention"] = trained.select(F.col("owner").alias("client"), "params")

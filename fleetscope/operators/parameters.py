@@ -23,8 +23,12 @@ from fleetscope.plans.storage import discard, stored
 
 #: Rows of a block at most.
 BLOCK = 1024
-#: Bytes of parameters that may travel with every block.
+#: Bytes of parameters that may travel with every block, or be broadcast.
 MOST_BYTES = 64 << 20
+#: Blocks that a reader holds at once.
+GROUP_BLOCKS = 64
+#: Rows of one owner that share a copy of its parameters where these are too large to broadcast.
+COPY_ROWS = 256 * BLOCK
 #: Adam's decay rates and floor (fixed values).
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
@@ -225,6 +229,11 @@ def row_blocks(rows: DataFrame, owner: str, x: str = "x", packed: bool = False,
     return kept.mapInArrow(run, schema)
 
 
+def stored_blocks(rows: DataFrame, owner: str, x: str = "x", per: int = 1) -> DataFrame:
+    """Packed blocks, written for the steps; a task reads ``GROUP_BLOCKS`` of them at a time, however many its file has."""
+    return stored(row_blocks(rows, owner, x, packed=True, per=per), "blocks", GROUP_BLOCKS)
+
+
 def _block_rows(x: pa.Scalar, n: pa.Scalar) -> np.ndarray:
     """A block of ``row_blocks`` as a matrix."""
     flat = np.frombuffer(x.as_buffer()) if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type) else x.values.to_numpy(zero_copy_only=False)
@@ -241,9 +250,29 @@ def parameter_table(owners: DataFrame, net: Network, flat: np.ndarray | None = N
     return stored(owners.select("owner").distinct().withColumn("params", F.lit(start.tolist()).cast("array<double>")), "parameters")
 
 
+def beside(rows: DataFrame, params: DataFrame, owner: str, per: int = 1) -> DataFrame:
+    """Inner join of rows, each of which stands for up to ``per`` rows, with their owners' ``params``.
+
+    Owners are few, so a join that deals rows out by owner gives a few tasks all
+    of them.  Parameters are broadcast, by their size and not by the session's
+    threshold.  Above ``MOST_BYTES`` the rows are dealt out by owner and salt,
+    one salt for every ``COPY_ROWS`` of an owner's rows with a copy of the parameters.
+    """
+    few = params.select(owner, "params")
+    values = few.agg(F.sum(F.size("params"))).first()[0] or 0
+    if 8 * values <= MOST_BYTES:
+        return rows.join(F.broadcast(few), owner)  # size checked
+    sizes = rows.groupBy(owner).agg((F.count(F.lit(1)) * per).alias("__n")).where(F.col("__n") > COPY_ROWS)
+    large = F.broadcast(stored(sizes.select(owner, F.ceil(F.col("__n") / COPY_ROWS).alias("__salts")), "salts"))  # one per COPY_ROWS rows at most
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+    salted = rows.join(large, owner, "left").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts)).drop("__salts")
+    copies = few.join(large, owner, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__salts")
+    return salted.join(copies, [owner, "__salt"]).drop("__salt")
+
+
 def gradient_sums(blocks: DataFrame, params: DataFrame, net: Network) -> DataFrame:
     """``owner, n, loss, grad``: sums over all rows of an owner, at the owner's parameters."""
-    joined = blocks.join(params.select("owner", "params"), "owner").select("owner", "n", "x", "params")
+    joined = beside(blocks, params, "owner", BLOCK).select("owner", "n", "x", "params")
     owner = joined.schema["owner"]
     schema = T.StructType([owner, T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
@@ -311,7 +340,7 @@ def applied(rows: DataFrame, params: DataFrame, owner: str, x: str, out: str, fu
 
     Rows travel to Python with their key only once per owner and batch.
     """
-    joined = rows.drop(out).join(params.select(F.col("owner").alias(owner), "params"), owner)
+    joined = beside(rows.drop(out), params.select(F.col("owner").alias(owner), "params"), owner)
     fields = [f for f in joined.schema.fields if f.name != "params"]
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
     names, own, at = joined.columns, joined.columns.index(owner), joined.columns.index(x)

@@ -35,6 +35,15 @@ def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str =
     return left.join(other, equal, how).drop(*[f"__of_{c}" for c in by])
 
 
+def dealt(df: DataFrame, group: Sequence[str], rows: int, part_rows: int | None = None) -> DataFrame:
+    """The rows dealt out by group, about ``part_rows`` a task at most, where the session's number of shuffle partitions gives more.
+
+    For ``rows`` rows in many groups; a window by these groups does not shuffle them again.
+    """
+    parts = -(-rows // (part_rows or PART_ROWS))
+    return df.repartition(parts, *group) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _ranged(df: DataFrame, keys: Sequence[Column], part_rows: int | None) -> DataFrame:
     """The stored rows in range partitions numbered by ``__part``; a table of one part's size stays whole."""
     kept = stored(df, "rows")

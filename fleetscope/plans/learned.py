@@ -34,7 +34,7 @@ def node_windows(spark, sf_dir) -> DataFrame:
 
 def node_encoder(spark, sf_dir) -> DataFrame:
     """``owner, params``: per client trained from one shared start, then averaged by rows as one round of federation."""
-    blocks = stored(parameters.row_blocks(node_windows(spark, sf_dir), "client", packed=True), "blocks")
+    blocks = parameters.stored_blocks(node_windows(spark, sf_dir), "client")
     local, history = parameters.trained(blocks, parameters.parameter_table(blocks, ENCODER), ENCODER, STEPS, RATE, adam=True)
     sizes = history.where(F.col("step") == 0).select("owner", "n")
     mean = parameters.averaged(local.join(sizes, "owner").withColumn("all", F.lit(0)), "all").select("params")
@@ -81,7 +81,7 @@ def _structure(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def att02(spark, sf_dir):
     """Residual per window and node of a graph attention head trained per client: neighbours and weights are learned."""
     rows = stored(deviations(spark, sf_dir), "deviations")
-    blocks = stored(parameters.row_blocks(rows, "client", packed=True), "blocks")
+    blocks = parameters.stored_blocks(rows, "client")
     params, _ = parameters.trained(blocks, parameters.parameter_table(blocks, STRUCTURE), STRUCTURE, STEPS, RATE, adam=True)
     found = parameters.applied(rows, params, "client", "x", "expected", _structure)
     gap = lambda i: sq_distance(F.slice("x", i * WIDTH + 1, WIDTH), F.slice("expected", i * WIDTH + 1, WIDTH))
@@ -93,7 +93,7 @@ def att02(spark, sf_dir):
 @register("att01_learned_neighbours")
 def att01(spark, sf_dir):
     """The neighbours that each client's trained node embeddings choose, nearest first."""
-    blocks = stored(parameters.row_blocks(deviations(spark, sf_dir), "client", packed=True), "blocks")
+    blocks = parameters.stored_blocks(deviations(spark, sf_dir), "client")
     params, _ = parameters.trained(blocks, parameters.parameter_table(blocks, STRUCTURE), STRUCTURE, STEPS, RATE, adam=True)
     size = NODES * WIDTH
     nodes = params.select("owner", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(NODES - 1)), lambda i: F.slice(F.slice("params", 1, size), i * WIDTH + 1, WIDTH))).alias("node", "vec"))
@@ -111,7 +111,7 @@ def standardized_rows(spark, sf_dir, flag=None) -> DataFrame:
     scaled = [(F.col(s) - F.col(f"{s}_mean")) / F.greatest(F.col(f"{s}_std"), F.lit(1e-8)) for s in SENSORS]
     order = ["l_shipdate", "l_orderkey", "l_linenumber"]
     values = rows.crossJoin(F.broadcast(moments)).select(F.col("l_suppkey").alias("session"), *order, F.array(*scaled).alias("v"), "flag")  # one row
-    return windows.numbered(values, ["session"], order)
+    return windows.numbered(windows.dealt(values, ["session"], rows.count()), ["session"], order)
 
 
 def forecast_rows(spark, sf_dir) -> DataFrame:
@@ -130,7 +130,7 @@ def _forecast(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 def forecast_head(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The trained parameters of each client and the losses of the training steps."""
-    blocks = stored(parameters.row_blocks(rows, "client", packed=True), "blocks")
+    blocks = parameters.stored_blocks(rows, "client")
     return parameters.trained(blocks, parameters.parameter_table(blocks, FORECAST), FORECAST, STEPS, RATE, adam=True)
 
 
@@ -158,7 +158,7 @@ def fed13(spark, sf_dir):
     """Rounds of clustered federation: warm-up, choice of a replica, local steps, means per cluster, respawn."""
     rows = embedded(spark, sf_dir).select("client", F.col("v").alias("x"))
     plan = parameters.ClusteredRounds(parameters.autoencoder(NODES * WIDTH, 4), replicas=3, rounds=4, rate=0.2, patience=1)
-    history, _ = plan.run(stored(parameters.row_blocks(rows, "client", packed=True), "blocks"))
+    history, _ = plan.run(parameters.stored_blocks(rows, "client"))
     return history.withColumnRenamed("owner", "client").withColumn("loss", F.round("loss", 9))
 
 

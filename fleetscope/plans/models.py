@@ -72,7 +72,7 @@ def federated_scores(spark, sf_dir) -> DataFrame:
     """
     found = stored(labelled_windows(spark, sf_dir), "windows")
     fit = found.where("split = 'fit'").select("client", F.flatten("nodes").alias("x"))
-    blocks = stored(parameters.row_blocks(fit, "client", packed=True, per=len(SENSORS)), "blocks")
+    blocks = parameters.stored_blocks(fit, "client", per=len(SENSORS))
     encoder, _ = parameters.federated_rounds(blocks, CODER, rounds=3, local_steps=2, rate=0.2)
     flat = found.withColumn("x", F.flatten("nodes"))
     coded = parameters.applied(flat, encoder, "client", "x", "codes", lambda x, p: parameters.encoded(x.reshape(-1, SPAN), CODER.unpack(p)))

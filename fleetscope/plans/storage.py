@@ -43,19 +43,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet and read back.
 
     This cuts the lineage; the files are on storage that every executor sees,
     so a lost executor costs at most its running tasks.  The shuffle files of
     the write go at once, as nothing reads them again.  ``discard`` removes the
     table, at the latest the end of the driver's JVM does.
+
+    Readers hold the values of one row group at least; ``group_rows`` limits its
+    rows, for tables whose rows are large.
     """
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        write = df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", group_rows)
+        write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)

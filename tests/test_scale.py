@@ -5,10 +5,13 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 
-from fleetscope.operators import training, windows
-from fleetscope.operators.parameters import autoencoder, gradient_sums, parameter_table, row_blocks
+from fleetscope.operators import parameters, training, windows
+from fleetscope.operators.parameters import applied, autoencoder, gradient_sums, parameter_table, row_blocks
+from fleetscope.plans import catalog
+from fleetscope.plans.learned import STEPS, forecast_rows
 from fleetscope.plans.storage import stored
 from fleetscope.plans.views import prototypes
 from fleetscope.streaming import live
@@ -40,6 +43,61 @@ def test_first_step_joins_without_a_shuffle_of_the_rows(spark):
     assert "BroadcastHashJoin" in planned(gradient_sums(packed, parameter_table(packed, net), net))
 
 
+@pytest.fixture
+def no_broadcast_by_threshold(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_rows_meet_parameters_without_being_dealt_out_by_owner(spark, sf_dir, monkeypatch, no_broadcast_by_threshold):
+    plans = []
+    monkeypatch.setattr(parameters, "gradient_sums", lambda b, p, n: plans.append(planned(found := gradient_sums(b, p, n))) or found)
+    residual = planned(catalog.QUERIES["fcs02_learned_residual"](spark, sf_dir))
+    assert "BroadcastHashJoin" in residual and "hashpartitioning" not in residual
+    rows = spark.range(60).select((F.col("id") % 2).alias("client"), F.array(F.sin("id"), F.cos("id")).alias("x"))
+    rounds = parameters.ClusteredRounds(autoencoder(2, 1), replicas=1, rounds=1)  # its parameters are a join of clients and replicas
+    rounds.run(stored(row_blocks(rows, "client", packed=True), "blocks"))
+    above_blocks = [p.split("MapInArrow")[1].split("FileScan")[0] for p in plans]
+    assert len(plans) == STEPS + 1 and all("BroadcastHashJoin" in p and "hashpartitioning" not in p for p in above_blocks)
+
+
+def test_parameters_too_large_to_broadcast_are_copied_for_parts_of_the_rows(spark, monkeypatch, no_broadcast_by_threshold):
+    rows = spark.range(900).select(F.when(F.col("id") < 800, F.col("id") % 2).otherwise(F.col("id")).alias("client"), F.array(F.sin("id"), F.cos("id")).alias("x"))
+    params = parameter_table(rows.select(F.col("client").alias("owner")), autoencoder(2, 1)).withColumn("params", F.transform("params", lambda v: v + F.col("owner")))
+    run = lambda: applied(rows, params, "client", "x", "z", lambda x, p: x * p[:1])
+    known = sorted((r.client, r.x, r.z) for r in run().collect())
+    monkeypatch.setattr(parameters, "MOST_BYTES", 0)
+    monkeypatch.setattr(parameters, "COPY_ROWS", 50)
+    assert sorted((r.client, r.x, r.z) for r in run().collect()) == known and len(known) == 900
+    joined = parameters.beside(rows, params.withColumnRenamed("owner", "client"), "client")
+    assert joined.columns == ["client", "x", "params"] and "hashpartitioning(client" in planned(joined) and "__salt" in planned(joined)
+
+
+def test_parts_of_sessions_grow_in_number_with_the_table(spark, sf_dir, monkeypatch):
+    known = {(r.session, r.k): r.x for r in forecast_rows(spark, sf_dir).collect()}
+    monkeypatch.setattr(windows, "PART_ROWS", 500)
+    found = forecast_rows(spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in planned(found) and planned(found).count("hashpartitioning(session") == 1
+    assert {(r.session, r.k): r.x for r in found.collect()} == known
+    rows = spark.range(20_000).select((F.col("id") % 400).alias("session"))
+    sizes = windows.dealt(rows, ["session"], 20_000).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(sizes) == 40 and max(r["count"] for r in sizes) <= 1500
+    assert "Exchange" not in planned(windows.dealt(rows, ["session"], 2000))  # the session's own number is enough
+
+
+def test_a_reader_of_blocks_holds_few_of_them(spark, monkeypatch):
+    monkeypatch.setattr(parameters, "GROUP_BLOCKS", 4)
+    rows = spark.range(20_000).coalesce(1).select((F.col("id") % 2).alias("client"), F.array(F.sin("id")).alias("x"))
+    blocks = parameters.stored_blocks(rows, "client")
+    (path,) = blocks.inputFiles()
+    found = ParquetFile(path.removeprefix("file://")).metadata
+    assert found.num_rows == 20 and [found.row_group(i).num_rows for i in range(found.num_row_groups)] == [4] * 5
+    assert blocks.agg(F.sum("n")).first()[0] == 20_000
+
+
 def test_vectors_of_several_rows(spark):
     df = spark.createDataFrame([(1, [float(v) for v in range(6 * i, 6 * i + 6)]) for i in range(3)], "client long, x array<double>").coalesce(1)
     block = row_blocks(df, "client", packed=True, per=2).first()
